@@ -50,3 +50,14 @@ def ascii_lower(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def salted_group(rows: DataFrame, keys: list[str], first: list[Column], merge: list[Column]) -> DataFrame:
+    """Aggregates rows by keys and returns the result once for each (keys, salt) that rows have.
+
+    rows needs a column salt. first aggregates within (keys, salt), merge combines those at most 64 partial
+    results of a key. Rows join the result on keys and salt, so a hot key is 64 keys in either direction.
+    """
+    part = rows.groupBy(*keys, "salt").agg(*first)
+    whole = part.groupBy(*keys).agg(*merge, F.bit_or(salt_bit(F.col("salt"))).alias("salts"))
+    return whole.withColumn("salt", F.explode(salts_in(F.col("salts")))).drop("salts")
