@@ -1,9 +1,11 @@
 """The queries over the tables of a training-data corpus, and their SQL where there is one."""
 
-from maploom.llm import exact_dedup, simhash, toxicity
+from maploom.llm import exact_dedup, packing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_secrets": secrets.op3_secrets,
+    "op4_packing": packing.op4_packing,
     "op9_simhash": simhash.op9_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }

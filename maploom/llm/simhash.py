@@ -197,5 +197,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_diff: int = 4) -> DataFrame:
+    """The row of each component that bears its least id, with all columns; rows without any id all stay."""
+    found = near_duplicates(docs, id_col, text_col, max_diff).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = found.select(F.col(id_col).alias("_kept")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(kept, F.col(f"row.{id_col}").eqNullSafe(F.col("_kept")), "left_semi").select("row.*")
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
