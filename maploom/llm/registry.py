@@ -1,9 +1,10 @@
 """The queries over the tables of a training-data corpus, and their SQL where there is one."""
 
-from maploom.llm import exact_dedup, packing, secrets, simhash, toxicity
+from maploom.llm import exact_dedup, packing, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_warc": warc.op2_warc,
     "op3_secrets": secrets.op3_secrets,
     "op4_packing": packing.op4_packing,
     "op9_simhash": simhash.op9_simhash,
@@ -12,4 +13,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op2_warc": warc.OP2_SQL,
 }
