@@ -1,12 +1,14 @@
 """The queries over the tables of a training-data corpus, and their SQL where there is one."""
 
-from maploom.llm import exact_dedup, packing, secrets, simhash, toxicity, warc
+from maploom.llm import chat, exact_dedup, packing, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_warc": warc.op2_warc,
     "op3_secrets": secrets.op3_secrets,
     "op4_packing": packing.op4_packing,
+    "op5_chat": chat.op5_chat,
+    "op7_quality": quality.op7_quality,
     "op9_simhash": simhash.op9_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
