@@ -1,6 +1,6 @@
 """The queries over the tables of a training-data corpus, and their SQL where there is one."""
 
-from maploom.llm import byte_bpe, chat, exact_dedup, packing, quality, secrets, simhash, toxicity, warc
+from maploom.llm import byte_bpe, chat, exact_dedup, packing, quality, repeats, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_secrets": secrets.op3_secrets,
     "op4_packing": packing.op4_packing,
     "op5_chat": chat.op5_chat,
+    "op6_repeats": repeats.op6_repeats,
     "op7_quality": quality.op7_quality,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_simhash": simhash.op9_simhash,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A group's rows are dealt over so many salts; one bit of a long names each.
 SALTS = 64
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -26,9 +27,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: it is computed once, and lost executors cost nothing."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    before = spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")  # its shuffle files go when it is written, not when the driver collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def salt_of(*cols: str | Column) -> Column:
