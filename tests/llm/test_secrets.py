@@ -1,0 +1,75 @@
+import re
+
+from maploom.llm import secrets
+
+KEY = "AKIA" + "MD62HKU6VBLCCCCE"
+HEX = "28bca0e1aeaae1e7f9d1038507b90e9dfef016d4"
+PROSE = "Remarkably straightforward documentation accompanies unquestionably "
+TEXTS = [
+    f"{PROSE} deploy with {KEY} tomorrow",
+    f'{PROSE}\n token = "{HEX}" and so on',
+    f"{PROSE} password=5197f409e51a76f6b0 or so",
+    f"{PROSE} mail dgpklldm.94@mail3.example.com please",
+    f"{PROSE} card 4851551512582697 expired",
+    f"{PROSE} see https://www.example.com/page/1234567890",
+    f"{PROSE} id 123e4567-e89b-12d3-a456-426614174000 end",
+    f"{PROSE} twice {KEY} and {KEY}",
+    "",
+    None,
+    "z" * 200_000 + f" {KEY}",
+]
+COLUMNS = "doc_id long, text string, source string, word string, _values int, run string"
+
+
+def frame(spark, rows=None):
+    rows = list(enumerate(TEXTS * 12)) + [(None, TEXTS[0]), (3, TEXTS[3])] if rows is None else rows
+    return spark.createDataFrame([(*r, "src", "clash", 1, "r") for r in rows], COLUMNS).repartition(4)
+
+
+def test_candidates_are_the_words_that_match(spark):
+    java = secrets.CANDIDATE.replace("(?i)", "")
+    pattern = re.compile(java.replace(secrets.NAME.removeprefix("(?i)"), "(?i:" + secrets.NAME.removeprefix("(?i)") + ")"))
+    want = []
+    for i, t in enumerate(TEXTS):
+        words = re.split(r"[\x20\x09-\x0D]+", t.strip()) if t else []
+        want += [(i, n, w) for n, w in enumerate(words) if pattern.search(w)]
+    got = [(r.id, r.place, r.word) for r in secrets.candidates(frame(spark, list(enumerate(TEXTS)))).collect()]
+    assert sorted(got) == want
+
+
+def test_forest_keeps_secrets_and_drops_the_rest(spark):
+    rows = secrets.scan(frame(spark)).collect()
+    values = {r.value for r in rows if r.is_secret}
+    assert values == {KEY, HEX, "5197f409e51a76f6b0"}
+    assert {r.word for r in rows if not r.is_secret} >= {"dgpklldm.94@mail3.example.com", "4851551512582697"}
+    assert sum(r.doc_id == 7 and r.is_secret for r in rows) == 2
+
+
+def test_no_python_in_the_plan(spark):
+    plan = secrets.scan(frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_redaction_leaves_other_texts_and_columns(spark):
+    docs = frame(spark)
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    for r in out.collect():
+        assert not r.text or not any(s in r.text for s in (KEY, HEX, "5197f409e51a76f6b0"))
+        assert r.doc_id is None or r.doc_id % 11 not in (3, 4, 5, 6, 8, 9) or r.text == TEXTS[r.doc_id % 11]
+
+
+def test_without_anything_to_learn_from_formats_decide(spark):
+    rows = secrets.scan(frame(spark, [(1, f"key {KEY}")])).collect()
+    assert [(r.doc_id, r.is_secret) for r in rows] == [(1, True)]
+
+
+def test_own_findings_train_the_forest(spark):
+    found = secrets.candidates(frame(spark)).withColumn("label", secrets.F.when(secrets.F.contains("word", secrets.F.lit("@")), 1.0).otherwise(0.0))
+    rows = secrets.scan(frame(spark), findings=found).collect()
+    assert all(r.is_secret == ("@" in r.word) for r in rows)
+
+
+def test_empty_table(spark):
+    assert secrets.scan(frame(spark, [])).collect() == []
+    assert secrets.redact(frame(spark, [])).collect() == []
