@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 
 import numpy as np
 import regex
 
-CACHED = 200_000
+CACHED = 400_000
 NONE = np.int64(1) << 40
 #: Text that normalisation changes letter by letter only; the rest goes to the tokenizer library.
-PLAIN = regex.compile(r"[\x21-\x7e\xa1-ɏ]+")
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PLAIN = regex.compile(r"[\n\x21-\x7e\xa1-ɏ]+")
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
+#: Divides the ids of pieces; no id is as large.
+DIVIDER = b"\xff" * 4
 
 
 def byte_letters() -> list[str]:
@@ -114,24 +115,26 @@ class WordBpe:
         ends = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
         return [buffer[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _learn(self, pieces: Iterable[bytes]) -> None:
-        plain: dict[bytes, list[bytes]] = {}
-        for piece in pieces:
-            text = piece.decode()
-            if b"<|" not in piece and PLAIN.fullmatch(text):
-                plain[piece] = [p.encode() for p in PARTS.findall(text.lower())]
-            else:
-                self.cache[piece] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = sorted({p for own in plain.values() for p in own})
-        ids = dict(zip(parts, self.merge(parts), strict=True))
-        for piece, own in plain.items():
-            self.cache[piece] = b"".join([ids[p] for p in own])
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Caches the ids of pieces; those of plain letters are cut and merged together."""
+        text = b"\n".join(pieces).decode()
+        if "<|" in text or not PLAIN.fullmatch(text):
+            plain = [p for p in pieces if b"<|" not in p and PLAIN.fullmatch(p.decode())]
+            for piece in set(pieces).difference(plain):
+                self.cache[piece] = np.array(self.library.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            pieces, text = plain, b"\n".join(plain).decode()
+        if not pieces:
+            return
+        parts = PARTS.findall(text.lower())
+        names = list(set(parts) - {"\n"})
+        ids = dict(zip(names, self.merge([n.encode() for n in names]), strict=True)) | {"\n": DIVIDER}
+        self.cache.update(zip(pieces, b"".join([ids[p] for p in parts]).split(DIVIDER), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers; null counts as empty."""
         rows = [(t or "").encode().split() for t in texts]
         if len(self.cache) > CACHED:
             self.cache.clear()
-        self._learn(set().union(*rows) - self.cache.keys())
+        self._learn(list(set().union(*rows) - self.cache.keys()))
         get = self.cache.__getitem__
         return [b"".join(map(get, row)) for row in rows]
