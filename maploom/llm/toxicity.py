@@ -3,8 +3,9 @@
 The learner gets confirmed toxic texts (P) and texts without any label (U, a sample of all). With class prior
 pi it minimises pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)) over a linear model, stepping back on the second
 part whenever it goes negative (Kiryo et al. 2017). The prior is the share of toxic rows among labels that may
-be learned from. Features are a text's distinct words and their beginnings, hashed; those that best part P
-from what U holds beside P stay. Fitting is numpy on the driver over a bounded sample (max_positive,
+be learned from. Features are a text's words and their beginnings, hashed and counted, up to five times each (one
+word that begins like an insult is chance, several are not); those that best part P from what U holds beside P
+stay. Fitting is numpy on the driver over a bounded sample (max_positive,
 max_unlabelled texts, as sparse feature lists); scoring covers every whole text in the tasks.
 
 Ids choose the rows to learn from (crc32 of the id as text, modulo folds, 0 is held out) and the sample, and
@@ -18,6 +19,7 @@ result. Only the named columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 WORD = re.compile(r"[^\W\d_]+")
 SPACE = 1 << 20
 CACHED = 200_000
+MOST = 5
 
 
 def word_features(word: str) -> list[int]:
@@ -39,24 +42,34 @@ def word_features(word: str) -> list[int]:
 
 
 def text_features(text: str | None) -> np.ndarray:
-    return np.array(sorted({f for w in set(WORD.findall((text or "").lower())) for f in word_features(w)}), dtype=np.int32)
+    """The features of a text in ascending order, each as often as it occurs, MOST times at most."""
+    counts: Counter[int] = Counter()
+    for word, n in Counter(WORD.findall((text or "").lower())).items():
+        for f in word_features(word):
+            counts[f] += n
+    return np.array(sorted(f for f, n in counts.items() for _ in range(min(n, MOST))), dtype=np.int32)
 
 
 @dataclass
 class Model:
     bias: float
     weights: dict[int, float]
-    words: dict[str, float] = field(default_factory=dict, repr=False)
+    words: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
-    def word(self, word: str) -> float:
+    def word(self, word: str) -> tuple[int, ...]:
+        """Those features of a word that have a weight."""
         if (found := self.words.get(word)) is None:
             if len(self.words) >= CACHED:
                 self.words.clear()
-            found = self.words[word] = sum(self.weights.get(f, 0.0) for f in word_features(word))
+            found = self.words[word] = tuple(f for f in word_features(word) if f in self.weights)
         return found
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(map(self.word, sorted(set(WORD.findall((text or "").lower())))))
+        counts: Counter[int] = Counter()
+        for word, n in Counter(WORD.findall((text or "").lower())).items():
+            for f in self.word(word):
+                counts[f] += n
+        z = self.bias + sum(self.weights[f] * min(counts[f], MOST) for f in sorted(counts))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
     def __getstate__(self):
@@ -64,17 +77,22 @@ class Model:
 
 
 def select_features(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, keep: int) -> np.ndarray:
-    """The features whose share in P most exceeds their share in what U holds beside P, in standard errors."""
-    share = lambda rows: np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=SPACE) / max(len(rows), 1)
-    p, u = share(pos), share(unl)
-    n = np.clip((u - prior * p) / (1 - prior), 0, 1)
-    error = np.sqrt((p * (1 - p) + 1 / len(pos)) / len(pos) + (n * (1 - n) + 1 / len(unl)) / len(unl))
-    z = (p - n) / error
+    """The features whose mean in P most exceeds their mean in what U holds beside P, in standard errors."""
+
+    def moments(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own = [np.unique(r, return_counts=True) for r in rows]
+        f, n = np.concatenate([x for x, _ in own]).astype(np.int64), np.concatenate([x for _, x in own])
+        mean = np.bincount(f, n, minlength=SPACE) / len(rows)
+        return mean, np.bincount(f, n * n, minlength=SPACE) / len(rows) - mean**2
+
+    (p, vp), (u, vu) = moments(pos), moments(unl)
+    n = np.maximum((u - prior * p) / (1 - prior), 0)
+    z = (p - n) / np.sqrt((vp + 1 / len(pos)) / len(pos) + (vu + 1 / len(unl)) / len(unl))
     best = np.argsort(-z, kind="stable")[:keep]
-    return best[z[best] > 3]
+    return best[z[best] > 2]
 
 
-def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 5e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear model, by Adam on the logistic loss."""
     w, b = np.zeros(xp.shape[1]), np.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -107,7 +125,7 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, keep: int =
         x = np.zeros((len(rows), len(chosen)), np.float32)
         for i, row in enumerate(rows):
             own = at[row]
-            x[i, own[own >= 0]] = 1
+            np.add.at(x[i], own[own >= 0], 1)
         return x
 
     w, b = fit_nnpu(dense(pos), dense(unl), prior)
