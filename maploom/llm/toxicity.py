@@ -156,9 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     unl = rows.where(place < cut(max_unlabelled, rows.count()))
     sample = pos.select(F.lit(True).alias("p"), _features("text").alias("f")).unionByName(unl.select(F.lit(False).alias("p"), _features("text").alias("f")))
     found = sample.toArrow()
-    lists = [np.array(x, dtype=np.int32) for x in found.column("f").to_pylist()]
+    lists = [row for chunk in found.column("f").chunks if len(chunk) for row in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
     is_pos = found.column("p").to_pylist()
-    order = sorted(range(len(lists)), key=lambda i: lists[i].tobytes())
+    order = sorted(range(len(lists)), key=lambda i: (len(lists[i]), crc32(lists[i].tobytes())))
     return fit([lists[i] for i in order if is_pos[i]], [lists[i] for i in order if not is_pos[i]], toxic / n)
 
 
