@@ -33,7 +33,7 @@ def test_ids_equal_the_library_and_decode(library):
         assert ids == library.encode_ordinary(text)
         data, begin = own.decode(np.array(ids, np.int64))
         assert data == text.encode()
-        assert [data[a:b] for a, b in zip(begin, [*begin[1:], len(data)], strict=True)] == [library.decode_single_token_bytes(i) for i in ids]
+        assert [data[a:b] for a, b in zip(begin, [*begin[1:], len(data)][: len(ids)], strict=True)] == [library.decode_single_token_bytes(i) for i in ids]
 
 
 def test_every_code_point_has_the_class_of_the_pattern(library):
