@@ -156,7 +156,7 @@ def translate_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_to_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places on a 1200 by 800 stage to pixels of a 1000 by 500 image in a letterbox, zoomed by 1.5 and moved by 10, 20."""
     f = view(spark, sf_dir, "v_features")
-    fit = 1.2 * 1.5
+    fit = 1.8  # 1.2 by the letterbox, 1.5 by the zoom
     u, v = (F.col("x") - 10) / (1000 * fit), (F.col("y") - 20 - 100 * 1.5) / (500 * fit)
     on = u.between(0, 1) & v.between(0, 1)
     return f.groupBy("image_id").agg(F.count_if(on).alias("on_image"), F.round(F.avg(F.when(on, u * 999)), 4).alias("mean_column"), F.round(F.avg(F.when(on, v * 499)), 4).alias("mean_row"))
