@@ -10,7 +10,9 @@ share a trigger. The dictionary of a trigger is its distinct phrases; the parse
 1. Tasks hash their texts (Karp-Rabin, all prefixes at once), find triggers, and compare the phrases that they
    have themselves: of equal ones only that of the smallest id goes on, the others are known to be repeated.
    So a passage in millions of documents is one row for each batch of text, not for each document.
-2. (trigger, id, place) rows meet by trigger. Triggers of one document alone end here.
+2. (trigger, id, place) rows meet by trigger. A window holds, beside its trigger, half of what is left before
+   it or after it; phrases that share neither half with another document (by 16-bit hashes, which may keep too
+   much, never too little) end here.
 3. For the others, phrases are cut from the texts and meet by trigger in the order of ids. Within a trigger the
    first phrase that has a window has the smallest id for it; windows are ordered and compared by two 64-bit
    hashes. Only what has been seen of one trigger is kept in memory.
@@ -92,13 +94,13 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(texts: list[bytes], length: int) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end: their hashes, and each phrase's trigger hash, text number, first and last window."""
+    """Of texts laid end to end: their hashes, and each phrase's trigger, text number, first and last window."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     hashes, ends = Hashes(data), np.cumsum(sizes)
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return hashes, none.view(np.uint64), none, none, none
+        return hashes, none, none, none, none
     grams = hashes.grams(GRAM)
     low = np.uint64((1 << 24) - 1)
     least = _sliding_least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), length - GRAM + 1)
@@ -107,10 +109,10 @@ def phrases(texts: list[bytes], length: int) -> tuple[Hashes, np.ndarray, np.nda
     window = np.flatnonzero(np.arange(len(trigger)) + length <= ends[owner[: len(trigger)]])
     trigger, owner = trigger[window], owner[window]
     if not len(window):
-        return hashes, none.view(np.uint64), none, none, none
+        return hashes, none, none, none, none
     first = np.flatnonzero(np.concatenate(([True], (trigger[1:] != trigger[:-1]) | (owner[1:] != owner[:-1]))))
     last = np.append(first[1:], len(window)) - 1
-    return hashes, grams[trigger[first]], owner[first], window[first], window[last]
+    return hashes, trigger[first], owner[first], window[first], window[last]
 
 
 def repeated_here(hashes: Hashes, ids: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
@@ -134,10 +136,13 @@ def stretches(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return owner[new], start[new], reach[np.append(new[1:], len(owner)) - 1]
 
 
-#: n: windows of a phrase after its first; below zero: the negative length of a stretch known to be repeated.
+#: n: of a phrase, 8 bits each for its windows after the first and for where its trigger begins, 16 bits each for
+#: the hashes of what stands before and after the trigger; of a stretch known to be repeated, its negative length.
 PLACE_SQL = "h long, id long, th int, start long, n long"
 SPAN_SQL = PLACE_SQL + ", span binary"
 PLACE = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("th", pa.int32()), ("start", pa.int64()), ("n", pa.int64())])
+KEPT_SQL = "id long, th int, start long, n long"
+KEPT = pa.schema([PLACE.field(c) for c in ("id", "th", "start", "n")])
 SPAN = PLACE.append(pa.field("span", pa.binary()))
 
 
@@ -178,47 +183,87 @@ def _find(length: int):
             for part in _segments(ids, texts, length):
                 row, at = np.array([p[0] for p in part]), np.array([p[1] for p in part])
                 base = np.cumsum([0, *(len(p[2]) for p in part[:-1])])
-                hashes, h, own, first, last = phrases([p[2] for p in part], length)
+                hashes, trigger, own, first, last = phrases([p[2] for p in part], length)
                 known = repeated_here(hashes, ids[row[own]], first, last, length)
                 place = at[own] - base[own]
                 new = ~known
-                yield _rows([h[new].view(np.int64), ids[row[own[new]]], ths[row[own[new]]], (place + first)[new], (last - first)[new]], PLACE)
+                h, n = hashes.of(0, trigger, trigger + GRAM).view(np.int64), _described(hashes, trigger, first, last, length)
+                yield _rows([h[new], ids[row[own[new]]], ths[row[own[new]]], (place + first)[new], n[new]], PLACE)
                 if known.any():
                     yield _rows(_known(ids, ths, row[own[known]], (place + first)[known], (place + last)[known] + length), PLACE)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h: those whose h has several ids, and stretches known to be repeated."""
-    held: list[pa.RecordBatch] = []  # rows of the last h, as long as they are of one id
-    last_h = last_id = None
-    several = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy()
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        stop = np.append(first[1:], len(h))
-        many = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
-        if last_h is not None and h[0] == last_h:
-            if several or many[0] or ids[0] != last_id:
-                many[0] = True
-                yield from held
-                held = []
-        else:
-            held = []
-        keep = np.repeat(many, stop - first) | (n < 0)
-        tail = int(first[-1])
-        if not many[-1]:
-            own = np.arange(tail, len(h))[n[tail:] >= 0]
-            if len(first) > 1:
-                held = []
-            held.append(batch.take(pa.array(own)))
-        else:
-            held = []
-        last_h, last_id, several = h[-1], ids[-1], bool(many[-1])
-        yield batch.filter(pa.array(keep))
+def _described(hashes: Hashes, trigger: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    half = (length - GRAM) // 2
+
+    def side(there: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(there), np.int64)
+        value = hashes.of(1, start[there], end[there]) >> np.uint64(48)
+        out[there] = np.maximum(value, np.uint64(1)).astype(np.int64)
+        return out
+
+    # a window begins at least half before its trigger, or it reaches more than half beyond
+    before = side(first <= trigger - half, trigger - half, trigger + GRAM)
+    after = side(last > trigger - half, trigger, trigger + GRAM + half)
+    return (last - first) | (trigger - first) << 8 | before << 16 | after << 32
+
+
+def _of_several(h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which rows share their trigger, and what stands before or after it, with another id; known ones too."""
+    keep = n < 0
+    for shift in (16, 32):
+        side = (n >> shift) & 0xFFFF
+        rows = np.flatnonzero((side > 0) & (n >= 0))
+        key = _mix(h[rows].view(np.uint64) + (side[rows].astype(np.uint64) << np.uint64(40)))
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
+        if len(first):
+            own = ids[rows]
+            several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+            keep[rows[np.repeat(several, np.diff(np.append(first, len(key))))]] = True
+    return keep
+
+
+def _shared(most: int = 1 << 20):
+    """Rows sorted by h to those that may be shared. Of an h with more than most rows all count as shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, passing = 0, None
+
+        def chosen(table: pa.Table, every: bool = False) -> Iterator[pa.RecordBatch]:
+            h, ids, n = (table.column(c).to_numpy() for c in ("h", "id", "n"))
+            keep = np.ones(len(h), bool) if every else _of_several(h, ids, n)
+            columns = [table.column(c).combine_chunks().filter(pa.array(keep)) for c in ("id", "th", "start")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.where(n < 0, n, n & 0xFFFF)[keep])], schema=KEPT)
+
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            if len(h) and passing is not None:
+                stop = int(np.searchsorted(h != passing, True))
+                yield from chosen(pa.Table.from_batches([batch.slice(0, stop)]), True)
+                batch, h = batch.slice(stop), h[stop:]
+            if not len(h):
+                continue
+            passing = None
+            tail = int(np.flatnonzero(h == h[-1])[0])
+            if held and (tail or held[-1].column(0)[0].as_py() != h[0]):
+                yield from chosen(pa.Table.from_batches([*held, batch.slice(0, tail)]))
+                held, size = [], 0
+            elif tail:
+                yield from chosen(pa.Table.from_batches([batch.slice(0, tail)]))
+            held.append(batch.slice(tail))
+            size += len(h) - tail
+            if size > most:
+                yield from chosen(pa.Table.from_batches(held), True)
+                held, size, passing = [], 0, h[-1]
+        if held:
+            yield from chosen(pa.Table.from_batches(held))
+
+    return run
 
 
 def _cut(length: int):
@@ -238,24 +283,26 @@ def _cut(length: int):
 
     def cut(group, ids, ths, texts, lists) -> Iterator[pa.RecordBatch]:
         spans: list[bytes] = []
-        rows, starts, sizes, hs = [], [], [], []
+        rows, starts, sizes, offsets = [], [], [], []
         for row in group:
             text, own = (texts[row].as_py() or "").encode(), lists[row].values
-            start, n, h = (own.field(c).to_numpy() for c in ("start", "n", "h"))
+            start, n = (own.field(c).to_numpy() for c in ("start", "n"))
+            offsets.append(n >> 8)
+            n = n & 0xFF
             spans += [text[a:b] for a, b in zip(start.tolist(), (start + n + length).tolist(), strict=True)]
             rows.append(np.full(len(start), row))
             starts.append(start)
             sizes.append(n)
-            hs.append(h)
-        row, start, n, h = (np.concatenate(x) for x in (rows, starts, sizes, hs))
+        row, start, n, offset = (np.concatenate(x) for x in (rows, starts, sizes, offsets))
         for a in range(0, len(row), 1 << 13):  # as many phrases as the powers suffice for
             cut_one = slice(a, a + (1 << 13))
             own = spans[cut_one]
             base = np.cumsum([0, *(len(x) for x in own[:-1])])
             r, s, m = row[cut_one], start[cut_one], n[cut_one]
-            known = repeated_here(Hashes(np.frombuffer(b"".join(own), np.uint8)), ids[r], base, base + m, length)
-            new = ~known
-            yield _rows([h[cut_one][new], ids[r[new]], ths[r[new]], s[new], m[new], [own[k] for k in np.flatnonzero(new).tolist()]], SPAN)
+            hashes, trigger = Hashes(np.frombuffer(b"".join(own), np.uint8)), base + offset[cut_one]
+            known = repeated_here(hashes, ids[r], base, base + m, length)
+            new, h = ~known, hashes.of(0, trigger, trigger + GRAM).view(np.int64)
+            yield _rows([h[new], ids[r[new]], ths[r[new]], s[new], m[new], [own[k] for k in np.flatnonzero(new).tolist()]], SPAN)
             if known.any():
                 columns = _known(ids, ths, r[known], s[known], (s + m)[known] + length)
                 yield _rows([*columns, pa.nulls(len(columns[0]), pa.binary())], SPAN)
@@ -343,8 +390,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("th", F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("int"))
     places = rows.select("id", "th", "text").mapInArrow(_find(length), PLACE_SQL)
-    shared = written(places.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_shared, PLACE_SQL))
-    asked = shared.where("n >= 0").groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "h")).alias("places"))
+    shared = written(places.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_shared(), KEPT_SQL))
+    asked = shared.where("n >= 0").groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("places"))
     spans = rows.select("id", "th", "text").join(asked, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(_cut(length), SPAN_SQL)
     found = written(spans.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_resolve(length), "id long, th int, start long, size long"))
     known = shared.where("n < 0").select("id", "th", "start", (-F.col("n")).alias("size"))
