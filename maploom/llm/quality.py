@@ -14,8 +14,10 @@ distance comes from exact counts over fine logarithmic bins, so that no group is
 step reweights: rows within the 0.975 quantile of a chi-square make the estimate used.
 
 Groups of fewer than min_rows rows with words use the estimates of their language, and languages of fewer those
-of all rows. Variances get a floor (floors), below which a difference of a statistic means nothing: most texts
-have no symbols at all. A row is rejected when its squared Mahalanobis distance exceeds cut.
+of all rows. Variances get a small floor (floors) that keeps the covariance from being singular: most texts have no
+symbols and no repeated line, and there the floor stands for the variance. That of letters per word is larger, what
+chance alone gives texts of about 20 words. A row is rejected when its squared
+Mahalanobis distance exceeds cut, by default the 0.9999 quantile of the same chi-square distribution.
 
 Defined results: null texts count as empty and, like others of fewer than 10 words, fail the base rules; null
 language or source is a group of its own; repeated rows count each; an empty table gives an empty result. Only
@@ -38,9 +40,11 @@ SYMBOL = re.compile(r"[#*$%&|<>]")
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 VECTOR = ["x_words", "x_length", "x_symbols", "x_lines", "x_repeats"]
 #: Least standard deviation of each number of VECTOR.
-FLOORS = (0.5, 0.25, 0.06, 0.15, 0.15)
+FLOORS = (0.1, 0.25, 0.03, 0.05, 0.05)
 #: Quantiles of the chi-square distribution with 5 degrees of freedom.
-CHI_975, CHI_MEDIAN = 12.833, 4.351
+CHI_9999, CHI_975, CHI_MEDIAN = 25.745, 12.833, 4.351
+#: What a covariance loses by leaving out the rows beyond CHI_975: 0.975 / P(chi-square with 7 degrees <= CHI_975).
+REWEIGHTED = 1.0555
 BINS = 32
 
 
@@ -160,11 +164,11 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 4, floors: tupl
     half = rows.join(now, "grp").select("grp", *VECTOR, _distance().alias("dist"))
     middle = _nearest(half, 0.5).groupBy("grp").agg(F.max("dist").alias("m"))
     scaled = half.join(middle, "grp").where(F.col("dist") <= CHI_975 * F.greatest(F.col("m") / CHI_MEDIAN, F.lit(1e-9)))
-    return written(_moments(scaled, floors, 1.0))
+    return written(_moments(scaled, floors, REWEIGHTED))
 
 
 def judged(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = 60.0, min_rows: int = 50, min_words: int = 10, max_repeat_percent: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CHI_9999, min_rows: int = 50, min_words: int = 10, max_repeat_percent: int = 20
 ) -> DataFrame:
     """Every row's counts, base_failed, its squared distance (null for rows that fail the base rules) and kept."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

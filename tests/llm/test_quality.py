@@ -58,6 +58,23 @@ def test_outliers_go_and_clean_texts_stay(spark):
         assert (r.distance is None) == r.base_failed
 
 
+def test_each_statistic_can_reject_alone(spark):
+    rng = random.Random(4)
+    rows = [(r[0], r[1], "en", "s") for r in corpus(3, 1500) if not r[4] and 40 < r[1].count(" ")]
+    words = [w for r in rows for w in r[1].split()]
+    lines = "\n".join(f"{w} {i}x{w}\nsame line" for i, w in enumerate(rng.sample(words, 60)))
+    long = " ".join(w for w in (rng.choice(words) for _ in range(2000)) if len(w) > 5)
+    once = [f"{i}{rng.choice(words)[1:]}" for i in range(160)]
+    repeats = " ".join(once[:17] + once)  # 34 of 177 words: nearly what the base rule lets pass
+    docs = spark.createDataFrame([*rows, (-1, lines, "en", "s"), (-2, long, "en", "s"), (-3, repeats, "en", "s")], "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in quality.judged(docs).collect()}
+    bad = [found[i] for i in (-1, -2, -3)]
+    assert not any(r.base_failed or r.kept for r in bad), bad
+    assert found[-1].n_repeat_words == 0 < found[-3].n_repeat_words and found[-1].n_dup_lines == 59
+    # clean texts are not quite normal: a few in a thousand may lie beyond the quantile
+    assert sum(not found[r[0]].kept for r in rows) <= 5
+
+
 def test_concentration_finds_the_clean_majority(spark):
     rng = np.random.default_rng(5)
     clean, dirt = rng.normal(0, 1, (900, 5)), rng.normal(8, 0.3, (180, 5))
