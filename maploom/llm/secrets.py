@@ -1,7 +1,8 @@
 """Secret scanning with a random forest that removes false positives. DataFrame functions and JVM learning only.
 
-A candidate is a word (between ASCII white space) that assigns a value to a key-like name, or that holds a run
-of at least 12 letters, digits and _+/=.@- with a digit. What such words often are (addresses, card numbers,
+A candidate is a word (between ASCII white space) that assigns a value to a key-like name, that holds a run
+of at least 12 letters, digits and _+/=.@- with a digit or a fixed-prefix key, or that is a value of 6 or more
+characters whose key-like name and assignment sign stand in the words before it ("password: x", "token = x"). What such words often are (addresses, card numbers,
 dates, versions, digests, identifiers) makes most of them false; the forest separates them by
 
 - length of the run,
@@ -12,8 +13,8 @@ dates, versions, digests, identifiers) makes most of them false; the forest sepa
 - neighbouring words: key-like names, an assignment sign, quotes, or words for harmless codes.
 
 It is trained from labelled findings. A caller may pass its own (columns word, before2, before1, after1, path,
-label); else verified formats in the corpus itself label them: fixed-prefix keys and quoted values assigned to
-a credential name are secrets; addresses, links, pure numbers, dates and identifiers with hyphens are not, and
+label); else verified formats in the corpus itself label them: fixed-prefix keys and values assigned to a
+credential name that are quoted, long with a digit, or mix letters with digits are secrets; addresses, links, pure numbers, dates and identifiers with hyphens are not, and
 neither are long words of prose, of which hashes choose some in about max_prose texts. Rows whose format decides nothing
 are not learned from. Fitting takes at most about max_findings findings per label, chosen by a hash.
 
@@ -39,10 +40,16 @@ ASSIGNED = NAME + r"[\w-]{0,30}[\x22']?[:=]{1,2}[\x22']?[^\s\x22']{6,}"
 RUN = r"[A-Za-z0-9_+/=.@-]{12,}"
 # tried at the beginning of a run alone, so that a long run is read once
 NUMBERED_RUN = r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/=.@-]*[0-9])" + RUN
-CANDIDATE = f"({ASSIGNED})|({NUMBERED_RUN})"
 #: Beginnings of keys that services hand out.
 PREFIXED = r"\b(AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bgithub_pat_\w{22,}|\bglpat-[\w-]{20}|\bxox[abprs]-[\w-]{10,}|\bAIza[\w-]{35}|\bsk_(live|test)_\w{16,}|\bSG\.[\w-]{16,}\.[\w-]{16,}|\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}"
+CANDIDATE = f"({ASSIGNED})|({NUMBERED_RUN})|({PREFIXED})"
+# a value apart from its name: "name: value", "name = value", "name =value"; in the last of words joined by spaces, and in texts
+VALUE = r"[\x22'(\[]*[^\s\x22']{6,}"
+NAMED_VALUE = NAME + r"[\w-]{0,30}[\x22']?(?: ?[:=]{1,2}>? | [:=]{1,2}>?)" + VALUE + r"\S*$"
+NAMED_IN_TEXT = NAME + rf"[\w-]{{0,30}}[\x22']?(?:(?:{SPACE})?[:=]{{1,2}}>?{SPACE}|{SPACE}[:=]{{1,2}}>?)" + VALUE
 HARMLESS = r"^\W*([\w.+-]+@[\w-]+(\.[\w-]+)+|https?://\S+|[+(]?[0-9][0-9().,:/-]*|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+Z?)\W*$"
+#: What is no secret even after a credential name.
+ADDRESS = r"^\W*([\w.+-]+@[\w-]+(\.[\w-]+)+|https?://\S+|[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+Z?)\W*$"
 #: Words that make a code a placeholder or an ordinary name.
 COMMON = "(?i)(example|sample|dummy|placeholder|changeme|change|default|password|passwd|secret|token|test|demo|your|insert|here|user|admin|login|name|mail|http|https|www|com|org|net|html|the|and|ing|tion|ment|version|release|build|data|file|image|page|index|config|null|none|true|false|foo|bar|baz|qwerty|abc|xxx+|000+|1234+)"
 HARMLESS_WORDS = r"(?i)(sha\d*|md5|commit|checksum|digest|hash|uuid|guid|isbn|doi|version|build|example|sample|card|phone|tel|call|order|invoice|serial|tracking|from|at)\W*$"
@@ -50,22 +57,33 @@ TEST_PATH = r"(?i)(test|spec|mock|fixture|example|sample|doc|readme|demo)"
 FEATURES = ["length", "letter_digit", "case_turns", "digits", "capitals", "hexes", "vowels", "distinct", "coverage", "dots", "at_sign", "test_path", "named_within", "named_before", "assigned_before", "quoted", "harmless_before", "harmless_after"]
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", pattern: str = CANDIDATE) -> DataFrame:
-    """(id, place, word, before2, before1, after1, path) of each word that matches pattern; place counts words from 0."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", pattern: str = CANDIDATE, named: bool = True) -> DataFrame:
+    """(id, place, word, before2, before1, after1, path) of each word that matches pattern, or with named is a value
+    that the words before it name; place counts words from 0."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     # texts without any match are dropped before they are split
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path")).where(F.col("text").rlike(pattern))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path")).where(F.col("text").rlike(f"({pattern})|({NAMED_IN_TEXT})" if named else pattern))
     words = rows.select("id", "path", F.split(F.regexp_replace("text", f"^{SPACE}|{SPACE}$", ""), SPACE).alias("w"))
-    at = F.filter(F.transform("w", lambda x, i: F.when(x.rlike(pattern), i)), lambda i: i.isNotNull())
+    before = lambda i, d: F.coalesce(F.get("w", i - d), F.lit(""))
+    signed = lambda x, i: F.substring(before(i, 1), -1, 1).isin(":", "=", ">") | F.substring(x, 1, 1).isin(":", "=")
+    after_name = lambda x, i: signed(x, i) & F.concat_ws(" ", before(i, 2), before(i, 1), x).rlike(NAMED_VALUE)
+    hit = lambda x, i: x.rlike(pattern) | after_name(x, i) if named else x.rlike(pattern)
+    at = F.filter(F.transform("w", lambda x, i: F.when(hit(x, i), i)), lambda i: i.isNotNull())
     found = words.withColumn("place", F.explode(at))
     near = lambda d: F.coalesce(F.get("w", F.col("place") + d), F.lit(""))
     return found.select("id", "place", near(0).alias("word"), near(-2).alias("before2"), near(-1).alias("before1"), near(1).alias("after1"), "path")
 
 
+def _named() -> Column:
+    return F.concat_ws(" ", "before2", "before1", "word").rlike(NAMED_VALUE)
+
+
 def _run(word: Column) -> Column:
-    """The value in a word: what follows an assignment sign, else the longest part of its characters."""
+    """The value in a word: what follows an assignment sign or a name before the word, else the longest part of its characters."""
+    quoted = F.regexp_extract(word, r"^[:=>(\[]*[\x22']([^\x22']{6,})[\x22']", 1)
+    apart = F.when(quoted != "", quoted).otherwise(F.regexp_replace(word, r"^[:=>(\[\x22']+|[\x22'),;.\]]+$", ""))
     value = F.regexp_extract(word, r"[:=]{1,2}[\x22']?([^\s\x22']{6,})", 1)
-    return F.when((value != "") & word.rlike(ASSIGNED), value).otherwise(F.regexp_replace(word, r"^[^A-Za-z0-9]+|[^A-Za-z0-9=]+$", ""))
+    return F.when((value != "") & word.rlike(ASSIGNED), value).when(_named(), apart).otherwise(F.regexp_replace(word, r"^[^A-Za-z0-9]+|[^A-Za-z0-9=]+$", ""))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -89,7 +107,7 @@ def with_features(found: DataFrame) -> DataFrame:
             "at_sign": flag(F.contains(run, F.lit("@"))),
             "test_path": flag(F.col("path").rlike(TEST_PATH)),
             "named_within": flag(F.col("word").rlike(ASSIGNED)),
-            "named_before": flag(F.concat_ws(" ", "before2", "before1").rlike(NAME + r"[\w-]*[\x22']?( ?[:=]+)?$")),
+            "named_before": flag(F.concat_ws(" ", "before2", "before1").rlike(NAME + r"[\w-]*[\x22']?( ?[:=]+)?$") | _named()),
             "assigned_before": flag(F.col("before1").rlike(r"[:=]$")),
             "quoted": flag(F.col("word").rlike(r"^[^\w]*[\x22'].*[\x22'][^\w]*$")),
             "harmless_before": flag(F.col("before1").rlike(HARMLESS_WORDS)),
@@ -101,11 +119,11 @@ def with_features(found: DataFrame) -> DataFrame:
 def labelled(found: DataFrame) -> DataFrame:
     """The findings whose format tells what they are; label 1 for secrets."""
     word = F.col("word")
-    named = F.concat_ws(" ", "before2", "before1").rlike(NAME + r"[\w-]*[\x22']? ?[:=]+$")
-    secret = word.rlike(PREFIXED) | (named & word.rlike(r"^[\x22'][^\x22']{12,}[\x22']")) | (word.rlike(ASSIGNED) & word.rlike(NUMBERED_RUN))
+    value = word.rlike(r"^\W*[\x22'][^\x22']{6,}[\x22']") | word.rlike(NUMBERED_RUN) | word.rlike(r"(?=\S*[A-Za-z])\S*[0-9]")
+    secret = (_named() & value) | (word.rlike(ASSIGNED) & word.rlike(NUMBERED_RUN))
     prose = word.rlike(r"^\p{L}+[.,;:]?$")
     harmless = word.rlike(HARMLESS) | prose
-    return found.withColumn("label", F.when(word.rlike(PREFIXED), 1.0).when(harmless & ~word.rlike(ASSIGNED), 0.0).when(secret, 1.0)).where("label IS NOT NULL")
+    return found.withColumn("label", F.when(word.rlike(PREFIXED), 1.0).when(harmless & ~word.rlike(ASSIGNED) & ~(_named() & ~word.rlike(ADDRESS)), 0.0).when(secret, 1.0)).where("label IS NOT NULL")
 
 
 def fit_forest(findings: DataFrame, max_findings: int = 5000, trees: int = 30, depth: int = 6) -> PipelineModel | None:
@@ -128,7 +146,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     found = written(candidates(docs, id_col, text_col, path_col))
     if findings is None:
         some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("prose")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_prose / max(docs.count(), 1))))
-        prose = candidates(some, id_col, text_col, path_col, r"\p{L}{12,}").where(F.pmod(F.xxhash64("word", F.lit("prose")), F.lit(64)) == 0)
+        prose = candidates(some, id_col, text_col, path_col, r"\p{L}{12,}", named=False).where(F.pmod(F.xxhash64("word", F.lit("prose")), F.lit(64)) == 0)
         findings = labelled(found.unionByName(prose))
     model = fit_forest(written(findings))
     rows = with_features(found)
