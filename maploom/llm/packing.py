@@ -1,10 +1,15 @@
 """Best-fit packing of documents into sequences, by hierarchical residual packing.
 
 Tasks tokenise their documents, cut those longer than a sequence and best-fit the pieces they have. Nearly
-full bins are final. The others go up a tree: tasks that share a parent hand it their underfull bins, whole,
-as items of another best-fit round, until one task has what is left of all. Texts are not moved; a bin is the
-list of its pieces, which is never longer than the sequence has tokens. A task holds at most block pieces or
-bins at a time: where more underfull bins are left, more than one task ends the tree.
+full bins are final. The others go up a tree: tasks that share a parent hand it their underfull bins as
+items of another best-fit round (whole, or taken apart into their pieces where that makes fewer bins, or as many
+and leaves one of them emptier), until one task has what is left of all. Texts are not moved; a bin is the
+list of its pieces, which is never longer than the sequence has tokens.
+
+A task holds at most about block pieces or bins at a time. Where more underfull bins are left than that, a round has
+several tasks; they are dealt anew as long as that makes at least one bin in 200 less. Then what cannot take even the
+least filled bin is final; since best fit leaves each task one bin at most that is half full or less, these few meet
+in one task, together with as many of the fullest bins, and so on until no two bins that are left fit into one.
 
 Defined results: null and empty texts are the end token alone; a null id is an id like any other; repeated
 rows are packed as often as they occur; an empty table gives an empty result. Only the two named columns are
@@ -124,7 +129,13 @@ def _merge(capacity: int, round_no: int):
         lists, fill = table.column("pieces").combine_chunks(), table.column("fill").to_numpy()
         if isinstance(lists, pa.ChunkedArray):
             lists = pa.concat_arrays(lists.chunks)
-        return pa.Table.from_batches([_gather(lists, fill.astype(np.int64), capacity, round_no, table.column("node")[0].as_py())])
+        node = table.column("node")[0].as_py()
+        whole = _gather(lists, fill.astype(np.int64), capacity, round_no, node)
+        pieces = lists.flatten()
+        single = pa.ListArray.from_arrays(pa.array(np.arange(len(pieces) + 1), pa.int32()), pieces)
+        apart = _gather(single, pieces.field("length").to_numpy(zero_copy_only=False).astype(np.int64), capacity, round_no, node)
+        rank = lambda b: (b.num_rows, min(b.column(2).to_pylist()))
+        return pa.Table.from_batches([min(apart, whole, key=rank)])
 
     return run
 
@@ -150,25 +161,39 @@ def pack(
 ) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id and offset.
 
-    tokenizer is the path of a word-end BPE file. A bin is final once at most spare tokens are free in it.
+    tokenizer is the path of a word-end BPE file. A bin is final once at most spare tokens are free in it, or once
+    no other bin that is left fits into it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bins = written(rows.mapInArrow(_leaves(tokenizer, capacity, end_id, block), BIN_SQL))
     final, round_no = [bins.where(F.col("fill") >= capacity - spare)], 0
-    rest = bins.where(F.col("fill") < capacity - spare)
-    left, nodes = rest.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
-    while nodes > 1:
-        parents = max(-(-nodes // fan_in), -(-left // block))
-        if parents >= nodes:
-            break
+    rest, small = bins.where(F.col("fill") < capacity - spare), 2 * F.col("fill") <= capacity
+    better, before = True, None
+    while least := rest.agg(F.min("fill")).first()[0]:
+        left, nodes = rest.agg(F.count(F.lit(1)), F.count_distinct("node")).first()
+        parents, apart = max(-(-nodes // fan_in), -(-left // block)), None
         round_no += 1
-        grouped = rest.withColumn("node", F.pmod("node", F.lit(parents)))
+        if parents < nodes:
+            grouped = rest.withColumn("node", F.pmod("node", F.lit(parents)))
+        elif parents > 1 and better:  # tasks get other neighbours as long as that pays
+            better, before = before is None or left < 0.995 * before, left
+            grouped = rest.withColumn("node", F.pmod(F.xxhash64("sequence_id", F.lit(round_no)), F.lit(parents)))
+        else:
+            final.append(rest.where(F.col("fill") > capacity - least))
+            live = rest.where(F.col("fill") <= capacity - least)
+            left, half = live.agg(F.count(F.lit(1)), F.count_if(small)).first()
+            if left < 2:
+                final.append(live)
+                break
+            fullest = live.where(~small).orderBy(F.desc("fill"), "sequence_id").limit(block)
+            apart = live.where(~small).join(fullest.select("sequence_id"), "sequence_id", "left_anti").select(live.columns)
+            grouped = fullest.unionByName(live.where(small)).withColumn("node", F.pmod(F.xxhash64("sequence_id", F.lit(round_no)), F.lit(-(-half // block))))
         bins = written(grouped.groupBy("node").applyInArrow(_merge(capacity, round_no), BIN_SQL))
         final.append(bins.where(F.col("fill") >= capacity - spare))
         rest = bins.where(F.col("fill") < capacity - spare)
-        left, nodes = rest.count(), parents
-    out = rest
-    for done in final:
+        rest = rest if apart is None else written(rest.unionByName(apart))
+    out = final[0]
+    for done in final[1:]:
         out = out.unionByName(done)
     placed = out.select("sequence_id", "pieces").mapInArrow(_placed, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return placed.withColumnRenamed("id", id_col)

@@ -29,6 +29,11 @@ def test_best_fit_takes_the_fullest_bin():
     assert filled.max() <= 4096 and filled.sum() == sizes.sum()
 
 
+def no_two_fit(fills, capacity):
+    fills = sorted(fills)
+    return len(fills) < 2 or fills[0] + fills[1] > capacity
+
+
 @pytest.mark.parametrize("block", [100_000, 7])
 def test_sequences_hold_every_piece_once(spark, block):
     rng = random.Random(4)
@@ -51,8 +56,16 @@ def test_sequences_hold_every_piece_once(spark, block):
             at += length
         assert at <= 64
     least = -(-sum(x[3] for x in want) // 64)
-    if block > 7:
-        assert len(bins) <= 1.05 * least + 1
+    assert len(bins) <= 1.05 * least + 1
+    assert no_two_fit([sum(n for _, n in pieces) for pieces in bins.values()], 64)
+
+
+def test_small_blocks_come_close_to_the_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(32)
+    for block in (20, 7):
+        found = packing.pack(docs, PATH, block=block).groupBy("sequence_id").sum("length").collect()
+        fills = [r[1] for r in found]
+        assert no_two_fit(fills, 4096) and len(fills) <= 1.02 * -(-sum(fills) // 4096) + 1
 
 
 def test_empty_table(spark):
