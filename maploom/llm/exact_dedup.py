@@ -9,16 +9,17 @@ The global winners go back to the rows over (digest, salt), again 64 keys for a
 really stand for several texts, if any, are joined by text.
 
 Defined results: a null text counts as empty; a null id is smaller than any other; rows that repeat the id of
-the row that stays, with the same text, are that row and are all marked kept; an empty table gives an empty
-result. Only the two named columns are read, so other columns may have any name.
+the row that stays, with the same text, are that row and are all marked kept, and drop_exact_duplicates leaves
+one of them; an empty table gives an empty result. Only the two named columns are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maploom.llm.shared import ascii_lower, salt_bit, salt_of, salts_in, written
+from maploom.llm.shared import ascii_lower, row_salt, salt_marks, salts_in, written
 
 
 def sha256(text: Column) -> Column:
@@ -32,19 +33,19 @@ def _with_group(rows: DataFrame) -> DataFrame:
     whole = (
         salted.repartition("digest")
         .groupBy("digest", "norm")
-        .agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.bit_or(salt_bit(F.col("salt"))).alias("salts"))
+        .agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), *salt_marks())
     )
-    narrow = whole.select("digest", "keep_id", "group_size", "salts")
+    narrow = whole.select("digest", "keep_id", "group_size", "salts", "top")
     texts = narrow.groupBy("digest").agg(
-        F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.bit_or("salts").alias("salts")
+        F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.bit_or("salts").alias("salts"), F.max("top").alias("top")
     )
     winners = written(texts)
-    single = winners.where("texts = 1").select("digest", F.explode(salts_in(F.col("salts"))).alias("salt"), "keep_id", "group_size")
+    single = winners.where("texts = 1").select("digest", F.explode(salts_in()).alias("salt"), "keep_id", "group_size")
     found = rows.drop("norm").join(single, ["digest", "salt"])
     several = winners.where("texts > 1").select("digest")
     if several.isEmpty():
         return found
-    by_text = whole.join(several, "digest", "left_semi").select("digest", "norm", F.explode(salts_in(F.col("salts"))).alias("salt"), "keep_id", "group_size")
+    by_text = whole.join(several, "digest", "left_semi").select("digest", "norm", F.explode(salts_in()).alias("salt"), "keep_id", "group_size")
     apart = rows.join(several, "digest", "left_semi").join(by_text, ["digest", "salt", "norm"]).drop("norm")
     return found.unionByName(apart)
 
@@ -55,18 +56,31 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digest maps the normalised text to a key; any function of the text gives the same groups.
     """
     norm = ascii_lower(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), salt_of(F.col(id_col)).alias("salt")).withColumn("digest", digest(F.col("norm")))
+    rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), row_salt(id_col).alias("salt")).withColumn("digest", digest(F.col("norm")))
     return _with_group(rows).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_digest")
     )
 
 
+def _one_of_each(found: DataFrame) -> DataFrame:
+    """Of rows that bear the id that stays, one for each text; rows has digest, salt, keep_id and text_hash.
+
+    Rows of one id have one salt, so that they lie in one partition already. Rows without an id do not: where
+    they alone bear a text, the at most 2 * SALTS that are left of them meet by digest.
+    """
+    first = lambda rows, *keys: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("salt"))).where("_n = 1").drop("_n")
+    local = first(found, "digest", "salt", "text_hash")
+    named, nameless = local.where("keep_id IS NOT NULL"), local.where("keep_id IS NULL")
+    return named.unionByName(first(nameless, "digest", "text_hash"))
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """One row of each text, with all its columns: of those that bear keep_id, any one."""
     rows = docs.select(
-        F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm"), salt_of(F.col(id_col)).alias("salt"), F.struct("*").alias("row")
+        F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm"), row_salt(id_col).alias("salt"), F.struct("*").alias("row")
     ).withColumn("digest", digest(F.col("norm")))
-    return _with_group(rows).where(F.col("id").eqNullSafe(F.col("keep_id"))).select("row.*")
+    found = _with_group(rows).where(F.col("id").eqNullSafe(F.col("keep_id")))
+    return _one_of_each(found.withColumn("text_hash", F.xxhash64(ascii_lower(F.col("row").getField(text_col))))).select("row.*")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,13 @@ FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (local tests) a temporary folder of this machine becomes its value.
+    Where the setting is absent and Spark runs in one process (local tests) a temporary folder of this machine
+    becomes its value. On a cluster there is no such folder that all could see, so its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="maploom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/maploom/{uuid.uuid4().hex}"
@@ -41,14 +45,24 @@ def salt_of(*cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
 
 
-def salts_in(mask: Column) -> Column:
-    """The salts whose bits mask has."""
-    bits = F.array(*(F.when(mask.bitwiseAND(F.lit(1 << s if s < 63 else -(1 << 63))) != 0, F.lit(s)) for s in range(SALTS)))
-    return F.array_compact(bits)
+def row_salt(id_col: str | Column) -> Column:
+    """A salt for rows by their id. Rows without an id get one of SALTS further salts by where they stand, so that many
+    of them are no hot key; what joins them must offer all of these (salts_in does), for a second reading may differ."""
+    id_col = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.when(id_col.isNotNull(), salt_of(id_col)).otherwise(SALTS + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
 
 
-def salt_bit(salt: Column) -> Column:
-    return F.expr("shiftleft(1L, {0})".format(salt)) if isinstance(salt, str) else F.call_function("shiftleft", F.lit(1).cast("long"), salt)
+def salt_marks(salt: str = "salt") -> list[Column]:
+    """Aggregates that salts_in reads: the bits of the salts below SALTS, and the largest salt."""
+    salt = F.col(salt)
+    return [F.bit_or(F.when(salt < SALTS, F.call_function("shiftleft", F.lit(1).cast("long"), salt)).otherwise(F.lit(0).cast("long"))).alias("salts"), F.max(salt).alias("top")]
+
+
+def salts_in(salts: str | Column = "salts", top: str | Column = "top") -> Column:
+    """The salts that the marks name; all those of rows without an id if there is one such row."""
+    salts, top = (F.col(c) if isinstance(c, str) else c for c in (salts, top))
+    named = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.call_function("shiftrightunsigned", salts, s).bitwiseAND(F.lit(1)) == 1)
+    return F.when(top < SALTS, named).otherwise(F.concat(named, F.sequence(F.lit(SALTS), F.lit(2 * SALTS - 1))))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -61,9 +75,9 @@ def ascii_lower(text: Column) -> Column:
 def salted_group(rows: DataFrame, keys: list[str], first: list[Column], merge: list[Column]) -> DataFrame:
     """Aggregates rows by keys and returns the result once for each (keys, salt) that rows have.
 
-    rows needs a column salt. first aggregates within (keys, salt), merge combines those at most 64 partial
-    results of a key. Rows join the result on keys and salt, so a hot key is 64 keys in either direction.
+    rows needs a column salt. first aggregates within (keys, salt), merge combines those at most 2 * SALTS partial
+    results of a key. Rows join the result on keys and salt, so a hot key is many keys in either direction.
     """
     part = rows.groupBy(*keys, "salt").agg(*first)
-    whole = part.groupBy(*keys).agg(*merge, F.bit_or(salt_bit(F.col("salt"))).alias("salts"))
-    return whole.withColumn("salt", F.explode(salts_in(F.col("salts")))).drop("salts")
+    whole = part.groupBy(*keys).agg(*merge, *salt_marks())
+    return whole.withColumn("salt", F.explode(salts_in())).drop("salts", "top")
