@@ -11,20 +11,20 @@ from maploom.llm.shared import salt_of, salted_group, written
 def _with_least(edges: DataFrame) -> DataFrame:
     """Adds m, the least of u and its neighbours; a hub's neighbours are dealt over salts."""
     rows = edges.withColumn("salt", salt_of("v"))
-    least = salted_group(rows, ["u"], [F.min("v").alias("m")], [F.least(F.min("m"), F.first("u")).alias("m")])
+    least = salted_group(rows, ["u"], [F.least(F.min("v"), F.first("u")).alias("m")])
     # merged: a broadcast would gather the edges on the driver
     return rows.join(least.hint("merge"), ["u", "salt"]).select("u", "v", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    both = edges.select(F.inline(F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     met = _with_least(down)
-    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return met.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:

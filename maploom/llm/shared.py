@@ -72,12 +72,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def salted_group(rows: DataFrame, keys: list[str], first: list[Column], merge: list[Column]) -> DataFrame:
+def salted_group(rows: DataFrame, keys: list[str], merge: list[Column]) -> DataFrame:
     """Aggregates rows by keys and returns the result once for each (keys, salt) that rows have.
 
-    rows needs a column salt. first aggregates within (keys, salt), merge combines those at most 2 * SALTS partial
-    results of a key. Rows join the result on keys and salt, so a hot key is many keys in either direction.
+    rows needs a column salt. A task hands on one partial result for each key that it has, so that a hot key is no
+    more rows than there are tasks. Rows join the result on keys and salt: a hot key is many keys in the join.
     """
-    part = rows.groupBy(*keys, "salt").agg(*first)
-    whole = part.groupBy(*keys).agg(*merge, *salt_marks())
+    whole = rows.groupBy(*keys).agg(*merge, *salt_marks())
     return whole.withColumn("salt", F.explode(salts_in())).drop("salts", "top")

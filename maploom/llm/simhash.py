@@ -279,14 +279,14 @@ def near_links(prints: DataFrame, max_diff: int = 4, most: int = 1 << 14) -> Dat
         finer = hot.mapInArrow(_dealt_again(max_diff), "mask long, kept long, fp long").repartition("mask", "kept").sortWithinPartitions("mask", "kept", sortable)
         found = written(finer.mapInArrow(_stars(max_diff, max(most, 1 << 13), False), LINKS_SQL))
         links = links.unionByName(found.where("u IS NOT NULL").select("u", "v"))
-    return links.distinct()
+    return links
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, max_diff: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (id, fp, x, salt); nodes: the (fp, salt) that rows have; placed: each fp with its component's root and least row."""
     rows = written(fingerprints(docs, id_col, text_col)).withColumn("salt", row_salt("id"))
     own = F.struct(F.col("id").isNull().alias("nameless"), "id", "x")
-    nodes = written(salted_group(rows, ["fp"], [F.min(own).alias("least")], [F.min("least").alias("least")]))
+    nodes = written(salted_group(rows, ["fp"], [F.min(own).alias("least")]))
     vertices = nodes.groupBy("fp").agg(F.min("least").alias("least"))
     roots = components(near_links(vertices.select("fp"), max_diff))
     placed = vertices.join(roots.hint("merge"), F.col("fp") == F.col("vertex"), "left")
@@ -296,7 +296,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, max_diff: int) -> tuple
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_diff: int = 4) -> DataFrame:
     """For each row its id, fingerprint (16 hex digits) and component_id, the least id that links reach."""
     rows, nodes, placed = _placed(docs, id_col, text_col, max_diff)
-    ids = salted_group(placed, ["root"], [F.min("least").alias("least")], [F.min("least").alias("least")])
+    ids = salted_group(placed, ["root"], [F.min("least").alias("least")])
     named = placed.drop("least").join(ids.hint("merge"), ["root", "salt"]).select("fp", F.col("least.id").alias("component_id"))
     found = rows.join(nodes.join(named.hint("merge"), "fp").hint("merge"), ["fp", "salt"])
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_diff: int = 4) -> DataFrame:
     """Of each component one row that bears its least id, with all columns; where no row has an id, any one row."""
     _, _, placed = _placed(docs, id_col, text_col, max_diff)
-    kept = placed.groupBy("root", "salt").agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("least"))
+    kept = placed.groupBy("root").agg(F.min("least").alias("least"))
     keys = ["_nameless", "_id", "_x"]
     own = F.col(id_col).cast("long")
     rows = docs.select(F.struct("*").alias("_row"), own.isNull().alias(keys[0]), F.coalesce(own, F.lit(0).cast("long")).alias(keys[1]), F.xxhash64(F.col(text_col).cast("string")).alias(keys[2]))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from maploom.llm.shared import salt_of, salted_group, scratch_dir
+from maploom.llm.shared import row_salt, salted_group, scratch_dir
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, payload binary, source string, position long"
 COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]
@@ -284,9 +284,9 @@ def register(spark: SparkSession) -> None:
 def as_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """A record for each page; copies of a payload of at least min_bytes are revisits of the one with the largest id."""
     body = F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), salt_of(F.col(id_col)).alias("salt"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), row_salt(id_col).alias("salt"))
     rows = rows.select("*", F.octet_length("body").cast("long").alias("n"), F.sha1("body").alias("sha"), F.xxhash64("body").alias("x"))
-    first = salted_group(rows.select("id", "sha", "x", "n", "salt"), ["sha", "x", "n"], [F.max("id").alias("first")], [F.max("first").alias("first")])
+    first = salted_group(rows.select("id", "sha", "x", "n", "salt"), ["sha", "x", "n"], [F.max("id").alias("first")])
     joined = rows.join(first, ["sha", "x", "n", "salt"])
     revisit = (F.col("n") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:x-row:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
