@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from maploom.llm import quality
 
@@ -75,16 +76,31 @@ def test_each_statistic_can_reject_alone(spark):
     assert sum(not found[r[0]].kept for r in rows) <= 5
 
 
-def test_concentration_finds_the_clean_majority(spark):
+@pytest.mark.parametrize("most", [10, 0])
+def test_concentration_finds_the_clean_majority(spark, most):
     rng = np.random.default_rng(5)
     clean, dirt = rng.normal(0, 1, (900, 5)), rng.normal(8, 0.3, (180, 5))
-    rows = [("g", *map(float, x)) for x in np.concatenate([clean, dirt])]
-    found = quality.estimates(spark.createDataFrame(rows, "grp string, " + ", ".join(f"{v} double" for v in quality.VECTOR)), floors=(0.01,) * 5).first()
+    rows = [("g", k % 7, *map(float, x)) for k, x in enumerate(np.concatenate([clean, dirt]))]
+    frame = spark.createDataFrame(rows, "grp string, salt int, " + ", ".join(f"{v} double" for v in quality.VECTOR))
+    found = quality.estimates(frame, quality.Groups(frame, most), floors=(0.01,) * 5).first()
     assert np.allclose(found.mean, clean.mean(axis=0), atol=0.12)
-    inverse = np.zeros((5, 5))
-    for k, (i, j) in enumerate(quality.PAIRS):
-        inverse[i, j] = inverse[j, i] = found.inverse[k]
-    assert np.allclose(np.diag(np.linalg.inv(inverse)), 1, atol=0.25)
+    assert np.allclose([found.cov[k] for k, (i, j) in enumerate(quality.PAIRS) if i == j], 1, atol=0.25)
+
+
+def test_small_groups_have_a_centre_of_their_own(spark):
+    rows = [(r[0], r[1], "en", "s") for r in corpus(6) if not r[4]]
+    rng = random.Random(8)
+    # one word in six bears a sign: far from the rest, but all of them the same
+    style = lambda i: " ".join(w + "#" if k % 6 == 0 else w for k, w in enumerate(rng.choice(rows)[1].split()[:40]))
+    for n in (5, 200):
+        own = [(10_000 + i, style(i), "en", "own") for i in range(n)]
+        docs = spark.createDataFrame(rows + own, "doc_id long, text string, lang string, source string").repartition(4)
+        found = {most: {r.doc_id: (r.kept, r.distance) for r in quality.judged(docs, most_broadcast=most).collect()} for most in (100, 0)}
+        assert {k: v[0] for k, v in found[100].items()} == {k: v[0] for k, v in found[0].items()}
+        away = np.median([found[0][r[0]][1] for r in own])
+        if n == 5:
+            few = away
+    assert away < 10 and away < 0.7 * few
 
 
 def test_empty_table(spark):
