@@ -192,10 +192,11 @@ def fit_forest(findings: DataFrame, bits: Column | None = None, max_findings: in
         limit = F.when(F.col("label") == label, F.lit(int((1 << 30) * min(1.0, max_findings / n)))).otherwise(limit)
     sample = with_features(findings.where(place < limit), bits).select("label", *FEATURES)
     nameless = sample.where("label = 0 OR length >= 16").withColumns({c: F.lit(0.0) for c in ("named_within", "named_before", "assigned_before")})
+    # in one order, whatever the partitions: the same forest each time
+    learned = written(sample.unionByName(nameless)).orderBy(*FEATURES, "label").coalesce(1)
     steps = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=7)
-    # in one order, whatever the partitions: the same forest each time
-    return PipelineModel([steps, forest.fit(steps.transform(sample.unionByName(nameless).orderBy(*FEATURES, "label").coalesce(1)))])
+    return PipelineModel([steps, forest.fit(steps.transform(learned))])
 
 
 def _scored(docs: DataFrame, id_col: str, text_col: str, path_col: str | None, findings: DataFrame | None, threshold: float, max_prose: int) -> DataFrame:
