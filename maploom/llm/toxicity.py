@@ -2,8 +2,8 @@
 
 The learner gets confirmed toxic texts (P) and texts without any label (U, a sample of all). With class prior
 pi it minimises pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)) over a linear model, stepping back on the second
-part whenever it goes negative (Kiryo et al. 2017). The prior is the share of toxic rows among labels that may
-be learned from. Features are a text's words and their beginnings, hashed and counted, up to five times each (one
+part whenever it goes negative (Kiryo et al. 2017). The prior is a parameter; by default it is the share of toxic
+rows among labels that may be learned from, and PRIOR where these are all toxic. Features are a text's words and their beginnings, hashed and counted, up to five times each (one
 word that begins like an insult is chance, several are not); those that best part P from what U holds beside P
 stay. Fitting is numpy on the driver over a bounded sample (max_positive,
 max_unlabelled texts, as sparse feature lists); scoring covers every whole text in the tasks.
@@ -33,6 +33,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SPACE = 1 << 20
 CACHED = 200_000
 MOST = 5
+#: The class prior where no text is labelled as not toxic.
+PRIOR = 0.05
 
 
 def word_features(word: str) -> list[int]:
@@ -65,12 +67,26 @@ class Model:
         return found
 
     def score(self, text: str | None) -> float:
-        counts: Counter[int] = Counter()
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
-            for f in self.word(word):
-                counts[f] += n
-        z = self.bias + sum(self.weights[f] * min(counts[f], MOST) for f in sorted(counts))
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return float(self.scores([text])[0])
+
+    def scores(self, texts) -> np.ndarray:
+        """Scores of many texts: a table of words with their weighted features, then counts and sums by arrays."""
+        row, found = [], []
+        known = self.words
+        for k, text in enumerate(texts):
+            for word in WORD.findall((text or "").lower()):
+                own = known.get(word)
+                if own is None:
+                    own = self.word(word)
+                if own:
+                    found.extend(own)
+                    row.extend([k] * len(own))
+        z = np.full(len(texts), self.bias)
+        if found:
+            key, n = np.unique(np.array(row, np.int64) * SPACE + np.array(found, np.int64), return_counts=True)
+            weight = np.array([self.weights[f] for f in (key % SPACE).tolist()])
+            np.add.at(z, key // SPACE, weight * np.minimum(n, MOST))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def __getstate__(self):
         return {"bias": self.bias, "weights": self.weights, "words": {}}
@@ -142,13 +158,17 @@ def _features(texts: pd.Series) -> pd.Series:
     return texts.map(text_features)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, max_positive: int = 2000, max_unlabelled: int = 4000) -> Model:
-    """Fits on about max_positive toxic and max_unlabelled other texts at most, chosen by a hash of their ids."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, max_positive: int = 2000, max_unlabelled: int = 4000, prior: float | None = None) -> Model:
+    """Fits on about max_positive toxic and max_unlabelled other texts at most, chosen by a hash of their ids.
+
+    prior: the share of toxic texts among all; by default that among the labels, or PRIOR where all labels are toxic.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~held_out("id", folds))
     marked = labels.select(F.col("doc_id").alias("id"), "toxic").where(F.col("toxic").isNotNull() & ~held_out("id", folds)).groupBy("id").agg(F.max("toxic").alias("toxic"))
     n, toxic = marked.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    if not n or not toxic or toxic == n:
+    if not n or not toxic:
         return Model(-40.0, {})
+    prior = prior or (toxic / n if toxic < n else PRIOR)
     place = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 30))
     cut = lambda most, of: int((1 << 30) * min(1.0, most / max(of, 1)))
     known = marked.where((F.col("toxic") == 1) & (place < cut(max_positive, toxic))).select("id")
@@ -159,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lists = [row for chunk in found.column("f").chunks if len(chunk) for row in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
     is_pos = found.column("p").to_pylist()
     order = sorted(range(len(lists)), key=lambda i: (len(lists[i]), crc32(lists[i].tobytes())))
-    return fit([lists[i] for i in order if is_pos[i]], [lists[i] for i in order if not is_pos[i]], toxic / n)
+    return fit([lists[i] for i in order if is_pos[i]], [lists[i] for i in order if not is_pos[i]], prior)
 
 
 def score(model: Model, text: str | Column) -> Column:
@@ -167,7 +187,7 @@ def score(model: Model, text: str | Column) -> Column:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(model.score).astype("float64")
+        return pd.Series(model.scores(texts.tolist()), texts.index, dtype="float64")
 
     return run(text)
 

@@ -1,15 +1,22 @@
 """A Python data source for WARC archives, and payload deduplication into revisit records.
 
-Reading. The driver plans one partition per group of files. Within a task each record's headers are parsed
-first; filters on record_type, target_uri, record_id, refers_to, payload_digest and source are pushed down to
-them (spark.sql.python.filterPushdown.enabled), and a record that they reject, or whose payload is not asked
-for (option payload=false), is passed over by its length without inflating or decoding it. Plain files,
-gzipped records with a skip-length extra field ("sl", as the standard's annex describes) and other gzipped
-records are read; of the last kind only the length makes inflating necessary.
+Reading. The driver plans one partition per group of files, and several for a gzipped file of more than
+partition_bytes: each takes the records that begin in its range of bytes, the first of which is found by trying what
+looks like a gzip member. Within a task each record's headers are parsed first; filters on record_type, target_uri,
+date, record_id, refers_to and payload_digest are pushed down to them (spark.sql.python.filterPushdown.enabled), and
+those on source to the plan of files. A record that they reject, or whose payload is not asked for (option
+payload=false), is passed over by its length without inflating or decoding it. Plain files, gzipped records with a
+skip-length extra field ("sl", as the standard's annex describes) and other gzipped records are read; of the last kind
+only the length makes inflating necessary.
+
+The payload of a record is its block, of an HTTP message what follows the HTTP headers; revisits have none, and their
+payload_length is what their HTTP headers say. Names of headers are read in any case, bytes that are no UTF-8 are
+replaced, and a header that goes on in a line with leading white space is joined.
 
 Writing. Each task writes files of its own under names of its attempt; the driver gives the files of
-successful attempts their final names on commit and deletes the others, so lost executors leave no records.
-A file ends at max_bytes, which bounds the work of a reading task.
+successful attempts their final names on commit and deletes the others of the same job, so lost executors leave no
+records. mode("overwrite") deletes the archives that were there once the new ones are complete. A file ends at
+max_bytes.
 
 Paths are local or of any store that pyarrow reaches by URI.
 
@@ -22,7 +29,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +50,7 @@ ARROW = pa.schema([(n, pa.int64() if n in ("payload_length", "position") else pa
 HEADERS = {"WARC-Record-ID": "record_id", "WARC-Type": "record_type", "WARC-Target-URI": "target_uri", "WARC-Date": "date", "WARC-Refers-To": "refers_to", "WARC-Payload-Digest": "payload_digest"}
 BATCH_BYTES = 8 << 20
 PEEK = 4096
+GZIP = b"\x1f\x8b\x08"
 
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -125,34 +135,78 @@ class _Member:
         self.file.seek(self.file.tell() - len(self.inflate.unused_data))
 
 
-def records(file, length: int, wanted, payload: bool) -> Iterator[dict]:
-    """The records of an open file whose headers pass wanted; payload: whether to inflate theirs."""
-    while (at := file.tell()) < length:
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines by their names in small letters; lines that go on are joined."""
+    lines: list[str] = []
+    for line in re.split(r"\r?\n", head.decode(errors="replace"))[1:]:
+        if line[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + line.strip()
+        else:
+            lines.append(line)
+    return {name.strip().lower(): value.strip() for name, colon, value in (x.partition(":") for x in lines) if colon}
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"[0-9]+", text) else None
+
+
+def records(file, start: int, end: int, wanted, payload: bool) -> Iterator[dict]:
+    """The records of an open file from start, which must begin one, that begin before end and whose headers pass
+    wanted; payload: whether to inflate theirs."""
+    file.seek(start)
+    while (at := file.tell()) < end:
         magic = file.read(2)
         file.seek(at)
         source = _Member(file) if magic == b"\x1f\x8b" else _Plain(file)
         data = b""
         while b"\r\n\r\n" not in data and (more := source.more()):
             data += more
-        head, _, have = data.partition(b"\r\n\r\n")
-        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
-        row = {c: fields.get(h) for h, c in HEADERS.items()} | {"position": at, "payload": None, "payload_length": None}
-        size = int(fields.get("Content-Length", 0))
+        head, found, have = data.partition(b"\r\n\r\n")
+        if not head.startswith(b"WARC/") or not found:
+            raise ValueError(f"no WARC record at byte {at}")
+        fields = _fields(head)
+        row = {c: fields.get(h.lower()) for h, c in HEADERS.items()} | {"position": at, "payload": None, "payload_length": None}
+        size = _number(fields.get("content-length")) or 0
         if wanted(row):
-            while b"\r\n\r\n" not in have[:size] and len(have) < size and (more := source.more()):
-                have += more
-            http = have[:size].partition(b"\r\n\r\n")[0]
-            sizes = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-            row["payload_length"] = sizes[0] if sizes else None
-            if payload and row["record_type"] == "response":
-                row["payload"] = source.rest(have, size)[len(http) + 4 : size]
+            lead = 0
+            if fields.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+                while b"\r\n\r\n" not in have[:size] and len(have) < size and (more := source.more()):
+                    have += more
+                http, blank, _ = have[:size].partition(b"\r\n\r\n")
+                lead = len(http) + len(blank)
+                row["payload_length"] = _number(_fields(http).get("content-length"))
+            if row["record_type"] != "revisit":
+                row["payload_length"] = size - lead
+                if payload:
+                    row["payload"] = source.rest(have, size)[lead:size]
             yield row
         source.skip(len(head) + 4 + size + 4)
 
 
+def first_record(file, start: int, end: int) -> int:
+    """Where the first gzipped record at or after start begins; end if there is none before."""
+    at = start
+    while at < end:
+        file.seek(at)
+        data = file.read(min(1 << 20, end - at) + len(GZIP) - 1)
+        place = data.find(GZIP)
+        while 0 <= place < 1 << 20:
+            if at + place >= end:
+                return end
+            file.seek(at + place)
+            try:
+                if _Member(file).more().startswith(b"WARC/"):
+                    return at + place
+            except (zlib.error, struct.error):
+                pass
+            place = data.find(GZIP, place + 1)
+        at += 1 << 20
+    return end
+
+
 @dataclass
 class Files(InputPartition):
-    paths: list[tuple[str, int]]
+    paths: list[tuple[str, int, int]]
 
 
 class WarcReader(DataSourceReader):
@@ -163,22 +217,25 @@ class WarcReader(DataSourceReader):
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Takes what headers decide; the rest stays with Spark."""
+        """Takes what headers and names of files decide; the rest stays with Spark."""
         for f in filters:
             name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if name in HEADERS.values() and isinstance(f, EqualTo):
+            known = name == "source" or name in HEADERS.values()
+            if known and isinstance(f, EqualTo):
                 self.tests.append((name, "in", (f.value,)))
-            elif name in HEADERS.values() and isinstance(f, In):
+            elif known and isinstance(f, In):
                 self.tests.append((name, "in", tuple(f.value)))
-            elif name in HEADERS.values() and isinstance(f, StringStartsWith):
+            elif known and isinstance(f, StringStartsWith):
                 self.tests.append((name, "starts", f.value))
-            elif name in HEADERS.values() and isinstance(f, IsNotNull):
+            elif known and isinstance(f, IsNotNull):
                 self.tests.append((name, "there", None))
             else:
                 yield f
 
     def wanted(self, row: dict) -> bool:
         for name, how, value in self.tests:
+            if name not in row:
+                continue
             own = row[name]
             if own is None or how == "in" and own not in value or how == "starts" and not own.startswith(value):
                 return False
@@ -188,22 +245,28 @@ class WarcReader(DataSourceReader):
         fs, path = store(self.path)
         found = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
         out: list[Files] = []
-        room = 0
+        room = self.partition_bytes
         for info in sorted((f for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz")) and not f.base_name.startswith(("_", "."))), key=lambda f: f.path):
-            if not out or room + info.size > self.partition_bytes:
-                out.append(Files([]))
-                room = 0
-            out[-1].paths.append((info.path, info.size))
-            room += info.size
+            if not self.wanted({"source": info.path}):
+                continue
+            # members of a gzipped file can be found from anywhere; records of a plain one follow by their lengths alone
+            step = self.partition_bytes if info.base_name.endswith(".gz") else max(info.size, 1)
+            for at in range(0, info.size, step):
+                end = min(at + step, info.size)
+                if room + end - at > self.partition_bytes:
+                    out.append(Files([]))
+                    room = 0
+                out[-1].paths.append((info.path, at, end))
+                room += end - at
         return out or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = store(self.path)
         rows: list[dict] = []
         size = 0
-        for path, length in partition.paths:
+        for path, start, end in partition.paths:
             with fs.open_input_file(path) as file:
-                for row in records(file, length, self.wanted, self.payload):
+                for row in records(file, first_record(file, start, end) if start else 0, end, self.wanted, self.payload):
                     rows.append(row | {"source": path})
                     size += 500 + len(row["payload"] or b"")
                     if size >= BATCH_BYTES:
@@ -219,10 +282,12 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
         self.path = options["path"]
         self.level = int(options.get("level", 1))
         self.max_bytes = int(options.get("max_bytes", 1 << 30))
+        self.overwrite = overwrite
+        self.job = uuid.uuid4().hex[:12]  # names this job's files, as others may write here at the same time
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -235,7 +300,7 @@ class WarcWriter(DataSourceArrowWriter):
         for batch in iterator:
             for row in batch.to_pylist():
                 if file is None:
-                    names.append(f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):04d}.warc{'.gz' if self.level else ''}")
+                    names.append(f"part-{self.job}-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):04d}.warc{'.gz' if self.level else ''}")
                     file = fs.open_output_stream(f"{path}/_{names[-1]}", compression=None)
                 record = record_bytes(row)
                 file.write(gzipped(record, self.level) if self.level else record)
@@ -248,15 +313,19 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, path = store(self.path)
-        for message in messages:
-            for name in message.names if message else ():
-                fs.move(f"{path}/_{name}", f"{path}/{name}")
-        for info in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
-            if info.base_name.startswith("_part-"):
+        new = {name for message in messages if message for name in message.names}
+        for name in sorted(new):
+            fs.move(f"{path}/_{name}", f"{path}/{name}")
+        for info in fs.get_file_info(pafs.FileSelector(path, recursive=self.overwrite, allow_not_found=True)):
+            old = self.overwrite and info.is_file and info.base_name.endswith((".warc", ".warc.gz")) and not info.base_name.startswith(("_", ".")) and info.base_name not in new
+            if old or info.base_name.startswith(f"_part-{self.job}-"):
                 fs.delete_file(info.path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self.commit([])
+        fs, path = store(self.path)
+        for info in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+            if info.base_name.startswith(f"_part-{self.job}-"):
+                fs.delete_file(info.path)
 
 
 class WarcDataSource(DataSource):
@@ -273,7 +342,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -311,9 +380,9 @@ def base32(hexes):
     return F.concat(*(digit(n, k) for n in groups for k in range(8)))
 
 
-def write_archives(records: DataFrame, path: str, **options) -> None:
+def write_archives(records: DataFrame, path: str, mode: str = "append", **options) -> None:
     register(records.sparkSession)
-    records.write.format("warc").options(**options).mode("append").save(path)
+    records.write.format("warc").options(**options).mode(mode).save(path)
 
 
 def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:

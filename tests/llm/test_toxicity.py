@@ -66,3 +66,24 @@ def test_edges(spark):
     assert {r.predicted for r in toxicity.scored(docs, toxicity.train(docs, nobody)).collect()} == {0}
     assert toxicity.scored(docs.limit(0), toxicity.train(docs.limit(0), labels.limit(0))).collect() == []
     assert toxicity.drop_toxic(docs, toxicity.train(docs, nobody)).columns == docs.columns
+
+
+def test_scores_of_a_batch_are_those_of_its_texts():
+    rng = random.Random(5)
+    words = ["moron", "idiots", "x", "lowlife", "and"]
+    model = toxicity.Model(-2.0, {f: rng.uniform(-1, 2) for w in words[:4] for f in toxicity.word_features(w)})
+    texts = [None, "", *(" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(50))]
+    got = model.scores(texts)
+    for text, score in zip(texts, got, strict=True):
+        z = -2.0 + sum(model.weights.get(int(f), 0.0) for f in toxicity.text_features(text))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_confirmed_positives_alone_suffice(spark):
+    rows = corpus(1200, 3)
+    docs, labels = tables(spark, rows)
+    out = toxicity.scored(docs, toxicity.train(docs, labels.where("toxic = 1"), prior=0.15)).collect()
+    truth = {i: y for i, _, y in rows}
+    test = [(r.predicted, truth[r.doc_id]) for r in out if r.held_out]
+    assert np.mean([p for p, y in test if y]) > 0.8 and np.mean([p for p, y in test if not y]) < 0.05
+    assert any(r.predicted for r in toxicity.scored(docs, toxicity.train(docs, labels.where("toxic = 1"))).collect())

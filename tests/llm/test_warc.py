@@ -61,6 +61,37 @@ def test_members_are_gzip_and_are_passed_over(tmp_path):
     assert gzip.decompress(ours) == warc.record_bytes(row)
     other = gzip.compress(warc.record_bytes(row | {"record_id": "<b>"}))
     data = ours + other + ours
-    every = list(warc.records(io.BytesIO(data), len(data), lambda r: True, True))
+    every = list(warc.records(io.BytesIO(data), 0, len(data), lambda r: True, True))
     assert [r["record_id"] for r in every] == ["<a>", "<b>", "<a>"] and {len(r["payload"]) for r in every} == {99_999}
-    assert [r["position"] for r in warc.records(io.BytesIO(data), len(data), lambda r: r["record_id"] == "<b>", False)] == [len(ours)]
+    assert [r["position"] for r in warc.records(io.BytesIO(data), 0, len(data), lambda r: r["record_id"] == "<b>", False)] == [len(ours)]
+    starts = {at: warc.first_record(io.BytesIO(data), at, len(data)) for at in (1, len(ours), len(ours) + 1, len(ours) + len(other) + 1)}
+    assert list(starts.values()) == [len(ours), len(ours), len(ours) + len(other), len(data)]
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\ncontent-type: text/plain\r\n\r\nno length here"
+
+    def record(kind, block, *lines):
+        return b"WARC/1.0\r\n" + b"".join(x + b"\r\n" for x in (b"warc-type:" + kind, *lines)) + b"CONTENT-LENGTH:%d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    data = record(b"warcinfo", b"software: x\r\n", b"WARC-Record-ID: <1>") + record(b"response", http, b"WARC-Record-ID:<2>", b"Content-Type: application/http;msgtype=response", b"WARC-Target-URI: http://caf\xe9/")
+    data += record(b"conversion", b"plain text", b"warc-record-id: <3>", b"Content-Type: text/plain", b"WARC-Target-URI: http://a/\r\n  b") + record(b"resource", b"", b"WARC-Record-ID: <4>")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(data)
+    (tmp_path / "in" / "b.warc.gz").write_bytes(b"".join(gzip.compress(record(b"resource", b"r%d" % n, b"WARC-Record-ID: <%d>" % n)) for n in range(10, 60)))
+    found = {r.record_id: r for r in warc.read_archives(spark, f"file://{tmp_path}/in", partition_bytes=300).collect()}
+    assert len(found) == 54
+    assert [(found[f"<{n}>"].record_type, bytes(found[f"<{n}>"].payload), found[f"<{n}>"].payload_length) for n in (1, 2, 3, 4)] == [("warcinfo", b"software: x\r\n", 13), ("response", b"no length here", 14), ("conversion", b"plain text", 10), ("resource", b"", 0)]
+    assert found["<2>"].target_uri == "http://caf\ufffd/" and found["<3>"].target_uri == "http://a/ b"
+    assert {bytes(found[f"<{n}>"].payload) for n in range(10, 60)} == {b"r%d" % n for n in range(10, 60)}
+    plain = warc.read_archives(spark, f"file://{tmp_path}/in").where(f"source = '{tmp_path}/in/a.warc'")
+    assert plain.count() == 4
+
+
+def test_overwriting_replaces_and_leaves_other_jobs_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    warc.write_archives(warc.as_records(frame(spark, PAGES[:2])), path)
+    (tmp_path / "out" / "_part-other-000000-0-0000.warc.gz").write_bytes(b"of another job")
+    warc.write_archives(warc.as_records(frame(spark, PAGES[2:5])), path, mode="overwrite")
+    assert {r.record_id for r in warc.read_archives(spark, path).collect()} == {"<urn:x-row:3>", "<urn:x-row:4>", "<urn:x-row:5>"}
+    assert (tmp_path / "out" / "_part-other-000000-0-0000.warc.gz").exists()
