@@ -13,17 +13,18 @@ share a trigger. The dictionary of a trigger is its distinct phrases; the parse
 2. (trigger, id, place) rows meet by trigger. A window holds, beside its trigger, half of what is left before
    it or after it; phrases that share neither half with another document (by 16-bit hashes, which may keep too
    much, never too little) end here.
-3. For the others, phrases are cut from the texts and meet by trigger in the order of ids. Within a trigger the
-   first phrase that has a window has the smallest id for it; windows are ordered and compared by two 64-bit
-   hashes. Only what has been seen of one trigger is kept in memory.
+3. For the others, phrases are cut from the texts and meet by trigger in the order of ids. Each block of them has a
+   dictionary of distinct phrases and a parse, the phrase of each row. Prefix doubling sorts the dictionary's
+   suffixes to the depth of a string, which makes runs of equal strings, bytes alone deciding; the parse brings the
+   least id of a run back to the rows. Only the dictionary of one trigger is kept from block to block.
 4. The covered stretches meet each text, which is read once more and cut.
 
-The corpus-wide suffix order itself is not built: whether a window occurs earlier takes its equal windows
-alone, and those share a trigger.
+The corpus order is (trigger, suffix to the depth of a string): a phrase is cut so that it holds all strings of its
+trigger whole, so the order of parse suffixes, which tells apart what follows a phrase, decides nothing here.
 
 Defined results: null texts count as empty; a null id is larger than any other, and null ids are one document
-id; rows of the same id and different text are told apart by a hash of the text; an empty table gives an empty
-result. Only the two named columns are read.
+id; rows of the same id and different text are told apart by a 64-bit hash of the text; rows that repeat id and text
+have the same result each; an empty table gives an empty result. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -138,10 +139,10 @@ def stretches(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
 
 #: n: of a phrase, 8 bits each for its windows after the first and for where its trigger begins, 16 bits each for
 #: the hashes of what stands before and after the trigger; of a stretch known to be repeated, its negative length.
-PLACE_SQL = "h long, id long, th int, start long, n long"
+PLACE_SQL = "h long, id long, th long, start long, n long"
 SPAN_SQL = PLACE_SQL + ", span binary"
-PLACE = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("th", pa.int32()), ("start", pa.int64()), ("n", pa.int64())])
-KEPT_SQL = "id long, th int, start long, n long"
+PLACE = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+KEPT_SQL = "id long, th long, start long, n long"
 KEPT = pa.schema([PLACE.field(c) for c in ("id", "th", "start", "n")])
 SPAN = PLACE.append(pa.field("span", pa.binary()))
 
@@ -310,50 +311,102 @@ def _cut(length: int):
     return run
 
 
-def _resolve(length: int):
-    """Phrases sorted by h and id to the stretches of them that a smaller id has."""
-    out_schema = pa.schema([("id", pa.int64()), ("th", pa.int32()), ("start", pa.int64()), ("size", pa.int64())])
+def _ranks(codes: np.ndarray) -> np.ndarray:
+    """Numbers from 0 that order codes, equal ones alike."""
+    return np.unique(codes, return_inverse=True)[1]
+
+
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """For each place of data with length bytes from there on, the rank of these bytes among all places: the order of
+    data's suffixes to that depth, by prefix doubling. Places of one rank are a run whose common prefix is that long."""
+    n = len(data) - 7
+    wide = np.zeros(n, np.uint64)
+    for k in range(8):
+        wide = wide << np.uint64(8) | data[k : k + n]
+    rank, depth = _ranks(wide), 8
+    while depth < length:
+        step = min(depth, length - depth)
+        ahead = rank[step:]
+        rank = _ranks(rank[: len(ahead)] * np.int64(len(rank) + 1) + ahead)
+        depth += step
+    return rank
+
+
+def _resolve(length: int, least_rows: int):
+    """Phrases sorted by h and id to the stretches of them that a smaller id has.
+
+    A block of rows has a dictionary (its distinct phrases, each with the least id that has it) and a parse (which phrase
+    a row is). The order of the dictionary's suffixes puts equal strings of length bytes into runs; the least id of a
+    run, brought back through the parse, decides which of a row's strings go. Where a trigger goes on in the next block,
+    its dictionary does as well.
+    """
+    out_schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("size", pa.int64())])
+
+    def decided(rows: pa.Table, carried: list[tuple[bytes, int]]) -> tuple[pa.RecordBatch, list[tuple[bytes, int]]]:
+        h, ids, spans = rows.column("h").to_numpy(), rows.column("id").to_numpy(), rows.column("span").to_pylist()
+        number: dict[bytes, int] = {}
+        least: list[int] = []
+        for span, own in carried:
+            number[span] = len(least)
+            least.append(own)
+        parse = np.empty(len(spans), np.int64)
+        for k, (span, own) in enumerate(zip(spans, ids.tolist(), strict=True)):
+            at = number.setdefault(span, len(least))
+            if at == len(least):  # ids ascend within a trigger: the first is the least
+                least.append(own)
+            parse[k] = at
+        words, first = list(number), np.array(least, np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        counts = sizes - length + 1
+        rank = suffix_ranks(np.frombuffer(b"".join(words), np.uint8), length)
+        owner = np.repeat(np.arange(len(words)), counts)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        rank = rank[(np.cumsum(sizes) - sizes)[owner] + step]
+        best = np.full(int(rank.max()) + 1, LAST)
+        np.minimum.at(best, rank, first[owner])
+        hit = np.flatnonzero(best[rank] < first[owner])
+        word, start, end = stretches(owner[hit], step[hit], step[hit] + length)
+        # rows of a larger id than their phrase's least go whole, the others by the stretches of the phrase
+        later = np.flatnonzero(ids > first[parse])
+        early = np.flatnonzero(ids == first[parse])
+        begin, stop = np.searchsorted(word, parse[early]), np.searchsorted(word, parse[early], side="right")
+        each = np.repeat(early, stop - begin)
+        pick = np.repeat(begin, stop - begin) + np.arange(len(each)) - np.repeat(np.cumsum(stop - begin) - (stop - begin), stop - begin)
+        row = np.concatenate((later, each))
+        place = rows.column("start").to_numpy()[row] + np.concatenate((np.zeros(len(later), np.int64), start[pick]))
+        size = np.concatenate((sizes[parse[later]], (end - start)[pick]))
+        goes_on = dict.fromkeys(parse[h == h[-1]].tolist())
+        if len(h) and h[0] == h[-1]:
+            goes_on = dict.fromkeys([*range(len(carried)), *goes_on])
+        return _rows([ids[row], rows.column("th").to_numpy()[row], place, size], out_schema), [(words[k], least[k]) for k in goes_on]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        seen_h = None
+        held: list[pa.RecordBatch] = []
+        carried: list[tuple[bytes, int]] = []
+        size, last_h = 0, None
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size, carried, last_h
+            table = pa.Table.from_batches(held).combine_chunks()
+            if last_h != table.column("h")[0].as_py():
+                carried = []
+            out, carried = decided(table, carried)
+            held, size, last_h = [], 0, table.column("h")[-1].as_py()
+            return out
+
         for whole in batches:
             n = whole.column(4).to_numpy()
             known = whole.filter(pa.array(n < 0))
             if known.num_rows:
                 yield _rows([known.column(1), known.column(2), known.column(3), -known.column(4).to_numpy()], out_schema)
             open_rows = whole.filter(pa.array(n >= 0))
-            for at in range(0, open_rows.num_rows, 1 << 13):
-                batch = open_rows.slice(at, 1 << 13)
-                h, ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy()
-                spans = batch.column(5).to_pylist()
-                sizes = np.fromiter(map(len, spans), np.int64, len(spans))
-                base = np.cumsum(sizes) - sizes
-                hashes = Hashes(np.frombuffer(b"".join(spans), np.uint8))
-                row = np.repeat(np.arange(len(h)), n + 1)
-                step = np.arange(len(row)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
-                window = base[row] + step
-                a, b = hashes.of(0, window, window + length), hashes.of(1, window, window + length)
-                own = ids[row]
-                past = len(seen[0]) if seen_h is not None and h[0] == seen_h else 0
-                if past:
-                    a, b, own = np.concatenate((seen[0], a)), np.concatenate((seen[1], b)), np.concatenate((seen[2], own))
-                order = np.argsort(a, kind="stable")
-                new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
-                leaders = order[np.flatnonzero(new)]
-                least = np.empty(len(a), np.int64)
-                least[order] = own[leaders][np.cumsum(new) - 1]
-                covered = (own > least)[past:]
-                # what the last trigger has shown so far goes on to the next batch
-                leads = np.zeros(len(a), bool)
-                leads[leaders] = True
-                of_last = np.concatenate((np.full(past, h[-1] == h[0]), h[row] == h[-1]))
-                seen, seen_h = tuple(x[leads & of_last] for x in (a, b, own)), h[-1]
-                hit = np.flatnonzero(covered)
-                if len(hit):
-                    r, s, e = stretches(row[hit], step[hit], step[hit] + length)
-                    begin = batch.column(3).to_numpy()[r] + s
-                    yield _rows([ids[r], batch.column(2).to_numpy()[r], begin, e - s], out_schema)
+            for at in range(0, open_rows.num_rows, least_rows):
+                held.append(open_rows.slice(at, least_rows))
+                size += held[-1].num_rows
+                if size >= max(least_rows, len(carried)):
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
@@ -383,19 +436,23 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """Per row its id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start and end of each removed run, in turn)."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_rows: int = 1 << 13) -> DataFrame:
+    """Per row its id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start and end of each removed run, in turn).
+
+    block_rows: how many phrases a task sorts at a time, at least; it changes no result.
+    """
     if not GRAM <= length <= 64:
         raise ValueError(f"length must be from {GRAM} to 64")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("th", F.pmod(F.xxhash64("text"), F.lit(1 << 20)).cast("int"))
+    rows = rows.withColumn("th", F.xxhash64("text"))  # tells rows of one id apart
     places = rows.select("id", "th", "text").mapInArrow(_find(length), PLACE_SQL)
     shared = written(places.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_shared(), KEPT_SQL))
-    asked = shared.where("n >= 0").groupBy("id", "th").agg(F.collect_list(F.struct("start", "n")).alias("places"))
+    # sets, for rows that repeat an id and its text have the same places
+    asked = shared.where("n >= 0").groupBy("id", "th").agg(F.collect_set(F.struct("start", "n")).alias("places"))
     spans = rows.select("id", "th", "text").join(asked, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(_cut(length), SPAN_SQL)
-    found = written(spans.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_resolve(length), "id long, th int, start long, size long"))
+    found = written(spans.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_resolve(length, block_rows), "id long, th long, start long, size long"))
     known = shared.where("n < 0").select("id", "th", "start", (-F.col("n")).alias("size"))
-    cuts = found.unionByName(known).groupBy("id", "th").agg(F.collect_list(F.struct("start", "size")).alias("cuts"))
+    cuts = found.unionByName(known).groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("cuts"))
     out = rows.join(cuts, ["id", "th"], "left").select("doc", "text", "cuts").mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return out.withColumnRenamed("id", id_col)
 

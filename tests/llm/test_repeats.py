@@ -1,6 +1,7 @@
 import random
 from hashlib import sha256
 
+import numpy as np
 import pytest
 
 from maploom.llm import repeats
@@ -52,5 +53,25 @@ def test_small_batches_equal_brute_force(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_suffix_ranks_order_and_part_suffixes():
+    rng = np.random.default_rng(1)
+    for length in (16, 33, 50, 64):
+        data = rng.integers(97, 99, 400).astype(np.uint8)
+        data[200:300] = data[:100]
+        rank = repeats.suffix_ranks(data, length)
+        strings = [data[k : k + length].tobytes() for k in range(len(data) - length + 1)]
+        names = sorted(set(strings))
+        assert rank.tolist() == [names.index(x) for x in strings]
+
+
+def test_small_blocks_and_many_rows_of_one_id(spark):
+    docs = corpus(4)
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcd ") for _ in range(80))
+    docs += [(None, f"{shared}{i}" + "x" * (i % 70)) for i in range(4000)] + [(3000, shared + " again")] * 1000 + [(-1, "first " + shared)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, repeats.repeated_spans(df, block_rows=3).drop("spans").collect()), key=str) == brute(docs)
+
+
 def test_empty_table(spark):
     assert repeats.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
