@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,19 @@ def lab(r: Column, g: Column, b: Column) -> Column:
     return F.struct((116 * y - 16).alias("L"), (500 * (x - y)).alias("A"), (200 * (y - z)).alias("B"))
 
 
+def rgb_of_lab(l_star: Column, a_star: Column, b_star: Column) -> Column:
+    """struct(r, g, b) of bytes nearest to a LAB colour, channels clipped."""
+    y = (l_star + 16) / 116
+
+    def part(f, white):
+        return white * F.when(f > EPSILON ** (1 / 3), f * f * f).otherwise((f - OFFSET) / KAPPA)
+
+    xyz = [part(f, white) for f, white in zip((y + a_star / 500, y, y - b_star / 200), WHITE, strict=True)]
+    rows = np.linalg.inv(np.array(RGB_TO_XYZ)).tolist()
+    channel = lambda row: F.round(to_srgb(row[0] * xyz[0] + row[1] * xyz[1] + row[2] * xyz[2]) * 255).cast("int")
+    return F.struct(*(channel(row).alias(n) for row, n in zip(rows, "rgb", strict=True)))
+
+
 def with_ciede2000(rows: DataFrame, one: tuple[str, str, str], two: tuple[str, str, str], name: str) -> DataFrame:
     """Adds the CIEDE2000 difference of two LAB colours, given as columns (Sharma, Wu and Dalal 2005).
 

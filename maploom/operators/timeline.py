@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIRST_YEAR = 1400
@@ -76,6 +76,23 @@ def day_window(dates: DataFrame, group: str, date: str = "date") -> DataFrame:
     return agg.select(group, F.trunc(F.add_months("lo", -1), "MM").cast("date").alias("first_day"), F.last_day(F.add_months("hi", 1)).alias("last_day")).withColumn("span", F.datediff("last_day", "first_day"))
 
 
+def tick_lanes(days: DataFrame, group: str) -> DataFrame:
+    """Ticks of a day window (rows: group, date, first_day, span) with their lane of two.
+
+    Both ends of the window are ticks, dates outside it are none. A tick within a tenth of the span from the one before
+    takes the other lane, any other the first. The lane depends on the lane before, but only back to the last gap:
+    within a run of close ticks lanes alternate, so that a tick's lane is its place in its run, even or odd.
+    """
+    day = F.datediff("date", "first_day")
+    inner = days.select(group, "span", day.alias("day")).where(F.col("day").between(0, F.col("span")))
+    ticks = inner.unionByName(days.select(group, "span", F.explode(F.array(F.lit(0), F.col("span"))).alias("day"))).distinct()
+    order = Window.partitionBy(group).orderBy("day")
+    gap = F.coalesce((F.col("day") - F.lag("day").over(order)) * 100.0 / F.col("span") >= 10, F.lit(True))
+    runs = ticks.withColumn("gap", gap).withColumn("run", F.sum(F.col("gap").cast("int")).over(order))
+    place = F.row_number().over(Window.partitionBy(group, "run").orderBy("day")) - 1
+    return runs.select(group, "day", (place % 2).cast("int").alias("lane"))
+
+
 def nearest(value: Column, markers: Column) -> Column:
     """The element of an array of numbers that is nearest to value; the smaller of two."""
     best = F.array_min(F.transform(markers, lambda m: F.struct(F.abs(m - value).alias("d"), m.alias("m"))))
