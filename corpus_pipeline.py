@@ -2,6 +2,9 @@
 
 Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents.
+
+In every stage null texts count as empty, rows that repeat each other are rows of their own until exact_dedup leaves one
+of them, an empty table gives an empty one, and columns that a stage does not name pass through whatever they are called.
 """
 
 from __future__ import annotations
@@ -14,27 +17,28 @@ from maploom.llm.shared import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on docs and the labels table, scores below 0.5 stay."""
+    """Documents that the classifier, fitted on docs and the labels table, scores below 0.5 stay; all of them where no label is toxic."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the one with the largest id stays."""
+    """Of documents with equal text (A-Z as a-z) the one with the largest id stays, one row of it; a null id is the smallest."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join the one with the smallest id stays."""
+    """Of documents that links join the one with the smallest id stays, one row of it; a null id is the largest."""
     return simhash.drop_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, secrets masked in its text and n_chars counted again."""
+    """Every document stays, secrets masked in its text and n_chars counted again; null texts stay null."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 4096 tokens; a null text is its end token."""
     return packing.op4_rows(docs)
 
 

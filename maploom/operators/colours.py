@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from maploom.functions.colour import bin_of, lab, with_ciede2000
 
 CHANNELS = ("r", "g", "b")
+#: CIEDE2000 differences up to which a pixel belongs to a layer, and to the paper.
+NEAR, PAPER = 5.0, 10.0
 
 
 def dominant(pixels: DataFrame, *by: str, order: tuple[str, ...] = CHANNELS) -> DataFrame:
@@ -42,7 +44,7 @@ def gains(pixels: DataFrame, *by: str) -> DataFrame:
     return means.select(*by, *(F.when(F.col(c) == 0, 1.0).otherwise(common / F.col(c)).alias(f"gain_{c}") for c in CHANNELS))
 
 
-def nearest_centres(pixels: DataFrame, centres: list[tuple[float, float, float]], most: float) -> DataFrame:
+def nearest_centres(pixels: DataFrame, centres: list[tuple[float, float, float]], most: float = NEAR) -> DataFrame:
     """pixels with layer: the index of the LAB centre nearest by CIEDE2000, the first of equals; null beyond most.
 
     Each distinct colour is compared once, and comes back to its pixels over its bytes.

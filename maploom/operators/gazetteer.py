@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\-']*[\p{L}\p{N}_])?"
 
@@ -12,24 +16,42 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def folded(name: Column) -> Column:
-    """A name for comparison: without accents of Latin letters, in lower case, trimmed."""
-    accented, plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.replace(F.translate(F.lower(F.trim(name)), accented, plain), F.lit("ß"), F.lit("ss"))
+def fold(name: str) -> str:
+    """A name for comparison: compatibility forms and accents dissolved (NFKD), marks dropped, case folded, trimmed."""
+    if name.isascii():
+        return name.lower().strip()
+    return "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).casefold().strip()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _fold_each(lists: pd.Series) -> pd.Series:
+    known: dict[str, str] = {}
+    one = lambda w: known[w] if w in known else known.setdefault(w, fold(w))
+    return lists.map(lambda ws: None if ws is None else [one(w) for w in ws])
+
 
+def folded_words(words: Column) -> Column:
+    """Each of an array's words folded. Arrays of ASCII words stay in the JVM; only the others go through Python."""
+    joined = F.array_join(words, "")
+    plain = F.octet_length(joined) == F.char_length(joined)
+    return F.coalesce(_fold_each(F.when(~plain, words)), F.transform(words, lambda w: F.trim(F.lower(w))))
 
-def longest_matches(docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = 4) -> DataFrame:
+
+def longest_matches(docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = 4, most_broadcast: int = 100_000) -> DataFrame:
     """Names found from left to right, the longest at each place first; matched words are not used again.
 
     Returns id, place (of the first word, from 0), words, name. gazetteer has a column name, already folded.
-    Spans of one to max_words words meet the gazetteer by name; the fold per text runs over its matches alone.
+    A place is looked at only if its word begins some name; spans of one to max_words words then meet the gazetteer.
+    Both are broadcast up to most_broadcast names, and joined by shuffling beyond. The fold per text runs over its matches alone.
     """
-    w = docs.select(id_col, F.transform(tokens(F.col(text_col)), folded).alias("w"))
-    span = lambda i, n: F.struct(i.alias("place"), n.alias("words"), F.array_join(F.slice("w", i + 1, n), " ").alias("name"))
-    places = lambda n: F.transform("w", lambda _, i: span(i, n))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), places))
-    each = w.select(id_col, F.size("w").alias("n"), F.explode(spans).alias("s")).where("s.place + s.words <= n").select(id_col, "s.*")
-    hits = each.join(gazetteer.select("name").distinct(), "name", "left_semi")
+    names = gazetteer.select("name").distinct()
+    sized = (lambda df: F.broadcast(df)) if names.count() <= most_broadcast else (lambda df: df)
+    firsts = names.select(F.substring_index("name", " ", 1).alias("w")).distinct()
+    w = docs.select(id_col, folded_words(tokens(F.col(text_col))).alias("ws"))
+    each = w.select(id_col, F.inline(F.transform("ws", lambda x, i: F.struct(i.alias("place"), x.alias("w"), F.slice("ws", i + 1, max_words).alias("next")))))
+    begun = each.join(sized(firsts), "w", "left_semi")
+    spans = F.transform(F.sequence(F.lit(1), F.size("next")), lambda n: F.struct(n.alias("words"), F.array_join(F.slice("next", 1, n), " ").alias("name")))
+    hits = begun.select(id_col, "place", F.inline(spans)).join(sized(names), "name", "left_semi")
     listed = hits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("place", (-F.col("words")).alias("r"), "name"))).alias("hits"))
     start = F.struct(F.lit(0).alias("free"), F.slice("hits", 1, 0).alias("taken"))
     step = lambda acc, h: F.when(h["place"] >= acc["free"], F.struct((h["place"] - h["r"]).alias("free"), F.array_append(acc["taken"], h).alias("taken"))).otherwise(acc)
@@ -37,6 +59,15 @@ def longest_matches(docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id
     return chosen.select(id_col, "h.place", (-F.col("h.r")).alias("words"), "h.name")
 
 
+def containing(names: DataFrame, gazetteer: DataFrame, most: int = 10) -> DataFrame:
+    """For names without an equal in the gazetteer (columns name, population): up to `most` of its names that have name
+    as one of their words, the most populous first. Each meets the gazetteer over single words."""
+    missing = names.join(gazetteer, "name", "left_anti")
+    parts = gazetteer.select("population", F.col("name").alias("candidate"), F.explode(F.array_distinct(F.split("name", " "))).alias("name"))
+    order = Window.partitionBy("name").orderBy(F.desc("population"), "candidate")
+    return missing.join(parts, "name").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def best_candidates(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Each name with its most populous candidate, the first listed of equals; found is false where there is none."""
     best = gazetteer.groupBy("name").agg(F.max_by(F.struct("population", "lat", "lon", "place_id"), F.struct(F.coalesce("population", F.lit(0)), -F.col("place_id"))).alias("c"))
@@ -51,7 +82,5 @@ def safe_name(name: Column) -> Column:
 
 def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
     """rows whose name gets _2, _3 and so on from its second occurrence."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy(name).orderBy(*order))
     return rows.withColumn(name, F.when(n > 1, F.concat_ws("_", F.col(name), n.cast("string"))).otherwise(F.col(name)))

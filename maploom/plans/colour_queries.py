@@ -32,17 +32,17 @@ def rgb_to_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_palette_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = colours.nearest_centres(view(spark, sf_dir, "v_pixels"), CENTRES, 25.0)
+    pixels = colours.nearest_centres(view(spark, sf_dir, "v_pixels"), CENTRES)
     return pixels.groupBy("image_id", "layer").agg(F.count(F.lit(1)).alias("pixels"))
 
 
 def layer_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = colours.nearest_centres(view(spark, sf_dir, "v_pixels"), CENTRES, 25.0)
+    pixels = colours.nearest_centres(view(spark, sf_dir, "v_pixels"), CENTRES)
     return pixels.groupBy("image_id").agg(*(F.round(F.count_if(F.col("layer") == k) / F.greatest(F.lit(1), F.count(F.lit(1))), 6).alias(f"ratio_{k}") for k in range(len(CENTRES))))
 
 
 def paper_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = colours.nearest_centres(view(spark, sf_dir, "v_pixels"), [(100.0, 0.0, 0.0)], 40.0)
+    pixels = colours.nearest_centres(view(spark, sf_dir, "v_pixels"), [(100.0, 0.0, 0.0)], colours.PAPER)
     return pixels.groupBy("image_id").agg(F.count("layer").alias("paper"), F.count(F.lit(1)).alias("pixels"))
 
 
@@ -129,12 +129,12 @@ QUERIES = {
         "WITH e AS (SELECT image_id, " + ", ".join(f"quantile_cont({c}::DOUBLE, [0.01, 0.99]) AS p{c}" for c in "rgb") + f" FROM v_pixels GROUP BY image_id) SELECT image_id, {STRETCH} FROM v_pixels JOIN e USING (image_id) GROUP BY image_id",
     ),
     "rgb_to_lab": (rgb_to_lab, f"WITH {LAB} SELECT r, g, b, round(l1, 5) AS l_star, round(a1, 5) AS a_star, round(b1, 5) AS b_star FROM lab"),
-    "nearest_palette_assignment": (nearest_palette_assignment, f"WITH {_delta(CENTRES)} SELECT image_id, CASE WHEN d <= 25 THEN k END AS layer, count(*) AS pixels FROM v_pixels JOIN best USING (r, g, b) GROUP BY ALL"),
+    "nearest_palette_assignment": (nearest_palette_assignment, f"WITH {_delta(CENTRES)} SELECT image_id, CASE WHEN d <= 5 THEN k END AS layer, count(*) AS pixels FROM v_pixels JOIN best USING (r, g, b) GROUP BY ALL"),
     "layer_ratio": (
         layer_ratio,
-        f"WITH {_delta(CENTRES)} SELECT image_id, " + ", ".join(f"round(count(CASE WHEN d <= 25 AND k = {k} THEN 1 END) / count(*)::DOUBLE, 6) AS ratio_{k}" for k in range(4)) + " FROM v_pixels JOIN best USING (r, g, b) GROUP BY image_id",
+        f"WITH {_delta(CENTRES)} SELECT image_id, " + ", ".join(f"round(count(CASE WHEN d <= 5 AND k = {k} THEN 1 END) / count(*)::DOUBLE, 6) AS ratio_{k}" for k in range(4)) + " FROM v_pixels JOIN best USING (r, g, b) GROUP BY image_id",
     ),
-    "paper_background": (paper_background, f"WITH {_delta([(100.0, 0.0, 0.0)])} SELECT image_id, count(CASE WHEN d <= 40 THEN 1 END) AS paper, count(*) AS pixels FROM v_pixels JOIN best USING (r, g, b) GROUP BY image_id"),
+    "paper_background": (paper_background, f"WITH {_delta([(100.0, 0.0, 0.0)])} SELECT image_id, count(CASE WHEN d <= 10 THEN 1 END) AS paper, count(*) AS pixels FROM v_pixels JOIN best USING (r, g, b) GROUP BY image_id"),
     "dominant_colour_mode": (dominant_colour_mode, MODE % ("r, g, b", "")),
     "sampled_colour": (sampled_colour, MODE % ("b, g, r", "WHERE abs(px - 150) <= 400 AND abs(py - 25) <= 20")),
     "dominant_colour_bins": (

@@ -109,7 +109,7 @@ def shape_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = rows.join(met.select("p_partkey").distinct().withColumn("near", F.lit(True)), "p_partkey", "left")
     roundness = 4 * F.pi() * F.col("area") / (F.col("p") * F.col("p"))
     rect = F.col("area") / ((F.col("box.max_x") - F.col("box.min_x")) * (F.col("box.max_y") - F.col("box.min_y")))
-    kind = F.when((roundness > 0.72) & F.col("near"), "Circle").when(rect > 0.85, "Rectangle").otherwise("Shape unknown")
+    kind = F.when((roundness > 0.85) & F.col("near"), "Circle").when(rect > 0.85, "Rectangle").otherwise("Shape unknown")
     return marked.groupBy(kind.alias("shape")).agg(F.count(F.lit(1)).alias("shapes"), F.round(F.sum("area"), 3).alias("area"))
 
 
@@ -219,7 +219,7 @@ QUERIES = {
     "shape_classify": (
         shape_classify,
         f"""WITH {RING}, q AS (SELECT *, {AREA} AS area, {EDGES} AS p, x + (w*h*w/2 - w*t/2*w*2/3) / {AREA} AS cx, y + (w*h*h/2 - w*t/2*t/3) / {AREA} AS cy FROM r),
-            k AS (SELECT area, CASE WHEN 4 * pi() * area / (p * p) > 0.72 AND EXISTS (SELECT 1 FROM {{supplier}} WHERE abs((s_suppkey * 31) % 900 - cx) <= 15 AND abs((s_suppkey * 17) % 700 - cy) <= 15) THEN 'Circle' WHEN area / (w * h) > 0.85 THEN 'Rectangle' ELSE 'Shape unknown' END AS shape FROM q)
+            k AS (SELECT area, CASE WHEN 4 * pi() * area / (p * p) > 0.85 AND EXISTS (SELECT 1 FROM {{supplier}} WHERE abs((s_suppkey * 31) % 900 - cx) <= 15 AND abs((s_suppkey * 17) % 700 - cy) <= 15) THEN 'Circle' WHEN area / (w * h) > 0.85 THEN 'Rectangle' ELSE 'Shape unknown' END AS shape FROM q)
             SELECT shape, count(*) AS shapes, round(sum(area), 3) AS area FROM k GROUP BY shape""",
     ),
     "text_overlap_filter": (

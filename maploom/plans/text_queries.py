@@ -15,20 +15,36 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded names of benchmark items' first two words, and of nations."""
-    t = tables(spark, sf_dir, ["benchmark", "conversations"])
-    names = t["benchmark"].select(F.transform(gazetteer.tokens(F.col("text")), gazetteer.folded).alias("w"))
-    pairs = names.where(F.size("w") >= 2).select(F.array_join(F.slice("w", 1, 2), " ").alias("name")).distinct()
-    single = names.where(F.size("w") >= 1).select(F.get("w", F.lit(0)).alias("name")).where(F.length("name") > 5).distinct()
-    return pairs.unionByName(single)
+    """Folded names of one to four words, from how benchmark items begin."""
+    bench = tables(spark, sf_dir, ["benchmark"])["benchmark"]
+    words = bench.select(gazetteer.folded_words(gazetteer.tokens(F.col("text"))).alias("w"))
+    names = words.select("w", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n")).where(F.size("w") >= F.col("n"))
+    return names.select(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("name"), "n").where("n > 1 OR length(name) > 5").select("name").distinct()
 
 
 def gazetteer_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, ["documents"])["documents"]
-    found = gazetteer.longest_matches(docs, _gazetteer(spark, sf_dir), max_words=2)
+    found = gazetteer.longest_matches(docs, _gazetteer(spark, sf_dir))
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("names"), F.sum("words").cast("long").alias("words"), F.min("place").alias("first_place"))
 
 
+def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of part types that are no part name, with the part names that hold them."""
+    t = tables(spark, sf_dir, ["part"])["part"]
+    names = t.select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).unionByName(t.select(F.lower("p_name").alias("name"))).distinct()
+    places = t.groupBy(F.lower("p_name").alias("name")).agg(F.max("p_size").alias("population"))
+    return gazetteer.containing(names, places).select("name", "candidate", "rank")
+
+
+def city_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A black point feature for each asked name; it shows where a candidate was found, and lies at 0, 0 where not."""
+    t = tables(spark, sf_dir, ["part", "nation"])
+    places = t["part"].select(F.col("p_name").alias("name"), F.col("p_partkey").alias("place_id"), F.col("p_size").alias("population"), (F.col("p_partkey") % 90).cast("double").alias("lat"), (F.col("p_partkey") % 180).cast("double").alias("lon"))
+    asked = t["nation"].select(F.col("n_name").alias("name")).unionByName(t["part"].where("p_partkey % 7 = 0").select(F.col("p_name").alias("name"))).distinct()
+    found = gazetteer.best_candidates(asked, places)
+    return found.select("name", F.col("found").alias("show"), documents.feature(F.col("lon"), F.col("lat"), F.struct(F.lit("#000000").alias("color"))).alias("f")).select("name", "show", F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"), "f.properties.color")
+
+
 def gazetteer_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir, ["part", "nation"])
     places = t["part"].select(F.col("p_name").alias("name"), (F.col("p_size") * 1000).cast("long").alias("population"), (F.col("p_partkey") % 90).cast("double").alias("lat"), (F.col("p_partkey") % 180).cast("double").alias("lon"), F.col("p_partkey").alias("place_id"))
@@ -44,7 +60,7 @@ def sanitised_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, ["documents"])["documents"]
-    return docs.select("doc_id", F.explode(F.array_distinct(F.transform(gazetteer.tokens(F.col("text")), gazetteer.folded))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("documents"))
+    return docs.select("doc_id", F.explode(F.array_distinct(gazetteer.folded_words(gazetteer.tokens(F.col("text"))))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def json_property_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,21 +110,31 @@ def snapshot_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\-'']*[\p{L}\p{N}_])?"
-FOLD = "replace(translate(lower(trim({0})), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), 'ß', 'ss')"
+FOLD = "replace(strip_accents(lower(trim({0}))), 'ß', 'ss')"
 WORDS = f"list_transform(regexp_extract_all(text, '{TOKEN}'), lambda t: {FOLD.format('t')})"
 
 QUERIES = {
     "token_counts": (token_counts, f"SELECT doc_id, cast(len(regexp_extract_all(text, '{TOKEN}')) AS INT) AS tokens FROM {{documents}}"),
     "gazetteer_longest_match": (
         gazetteer_longest_match,
-        f"""WITH b AS (SELECT {WORDS} AS w FROM {{benchmark}}), g AS (SELECT DISTINCT w[1] || ' ' || w[2] AS name FROM b WHERE len(w) >= 2 UNION SELECT DISTINCT w[1] FROM b WHERE length(w[1]) > 5),
+        f"""WITH b AS (SELECT {WORDS} AS w FROM {{benchmark}}), n AS (SELECT w, unnest([1, 2, 3, 4]) AS n FROM b), g AS (SELECT DISTINCT array_to_string(w[1:n], ' ') AS name FROM n WHERE len(w) >= n AND (n > 1 OR length(w[1]) > 5)),
             d AS (SELECT doc_id, {WORDS} AS w FROM {{documents}}),
-            i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-            h AS (SELECT doc_id, i - 1 AS place, 2 AS words FROM i WHERE i < len(w) AND w[i] || ' ' || w[i + 1] IN (SELECT name FROM g) UNION ALL SELECT doc_id, i - 1, 1 FROM i WHERE w[i] IN (SELECT name FROM g)),
+            i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), s AS (SELECT *, unnest([1, 2, 3, 4]) AS n FROM i),
+            h AS (SELECT doc_id, i - 1 AS place, n AS words FROM s WHERE i + n - 1 <= len(w) AND array_to_string(w[i:i + n - 1], ' ') IN (SELECT name FROM g)),
             l AS (SELECT doc_id, list(struct_pack(p := place, n := words) ORDER BY place, words DESC) AS hs FROM h GROUP BY doc_id),
             f AS (SELECT doc_id, list_reduce(hs, lambda a, x: CASE WHEN x.p >= a.free THEN struct_pack(free := x.p + x.n, names := a.names + 1, words := a.words + x.n, first := coalesce(a.first, x.p)) ELSE a END, struct_pack(free := 0::BIGINT, names := 0::BIGINT, words := 0::BIGINT, first := NULL::BIGINT)) AS r FROM l)
             SELECT doc_id, r.names AS names, r.words AS words, cast(r.first AS INT) AS first_place FROM f""",
     ),
+    "fuzzy_candidates": (
+        fuzzy_candidates,
+        """WITH w AS (SELECT lower(p_name) AS p, max(p_size) AS size FROM {part} GROUP BY 1), u AS (SELECT p, size, unnest(list_distinct(string_split(p, ' '))) AS name FROM w)
+           SELECT name, p AS candidate, cast(row_number() OVER (PARTITION BY name ORDER BY size DESC, p) AS INT) AS rank FROM u WHERE name NOT IN (SELECT p FROM w) QUALIFY row_number() OVER (PARTITION BY name ORDER BY size DESC, p) <= 10""",
+    ),
+    "city_features": (
+        city_features,
+        """WITH n AS (SELECT n_name AS name FROM {nation} UNION SELECT p_name FROM {part} WHERE p_partkey % 7 = 0), c AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) AS k FROM {part})
+           SELECT name, p_name IS NOT NULL AS show, coalesce(p_partkey % 180, 0)::DOUBLE AS lon, coalesce(p_partkey % 90, 0)::DOUBLE AS lat, '#000000' AS color FROM n LEFT JOIN c ON p_name = name AND k = 1""",
+    ),
     "gazetteer_best_candidate": (
         gazetteer_best_candidate,
         """WITH n AS (SELECT DISTINCT p_name AS name FROM {part} UNION ALL SELECT n_name FROM {nation}), c AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) AS k FROM {part})

@@ -1,6 +1,8 @@
 import subprocess
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -12,6 +14,7 @@ def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_imports_without_the_corpus_operators():
-    code = "import sys; sys.modules['maploom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'maps_alive_per_year' in q and not any(n.startswith('op1') for n in q)"
+@pytest.mark.parametrize("missing", ["maploom.llm", "xxhash"])
+def test_imports_without_the_corpus_operators(missing):
+    code = f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e; q = e.queries(); assert 'maps_alive_per_year' in q and not any(n.startswith('op1') for n in q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=entry.__file__.rsplit("/", 1)[0]).returncode == 0
