@@ -37,9 +37,10 @@ def as_array(value: Column) -> Column:
 
 
 def signature(rows: DataFrame, group: str, key: str, *content: str) -> DataFrame:
-    """A digest of each group's rows, whatever their order: the sum and number of the digests of single rows."""
-    own = F.xxhash64(key, *content)
-    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.pmod(own, F.lit(1 << 31))).alias("low"), F.bit_xor(own).alias("mixed"))
+    """A digest of each group's rows, whatever their order: their number and the sums of two parts of each row's MD5."""
+    own = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *content))))
+    part = lambda at: F.sum(F.conv(F.substring(own, at, 8), 16, 10).cast("long"))
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("rows"), part(1).alias("low"), part(9).alias("high"))
 
 
 def _rename(value, change):

@@ -38,6 +38,19 @@ def alive_on(date: Column) -> Column:
     return ~known | date.between(F.col("start_date"), F.col("end_date"))
 
 
+def alive_counts(periods: DataFrame, name: str) -> DataFrame:
+    """How many periods (first, last year) live in each year that has any.
+
+    A period counts once where it begins and once less after its end; the sums run over years, not over periods.
+    """
+    known = periods.where("first <= last")
+    steps = known.select(F.inline(F.array(F.struct(F.col("first").alias("year"), F.lit(1).alias("n")), F.struct((F.col("last") + 1).alias("year"), F.lit(-1).alias("n")))))
+    years = steps.groupBy("year").agg(F.sum("n").alias("n"))
+    order = Window.orderBy("year")  # one row a year
+    runs = years.select("year", F.sum("n").over(order).alias(name), F.lead("year").over(order).alias("next")).where(F.col(name) > 0)
+    return runs.select(F.explode(F.sequence("year", F.col("next") - 1)).alias("year"), name)
+
+
 def bounds(maps: DataFrame, *by: str) -> DataFrame:
     """First and last year of each group; 1400 and this year where there are none."""
     low, high = F.min(F.year("start_date")), F.max(F.year("end_date"))

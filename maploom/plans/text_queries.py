@@ -106,7 +106,8 @@ def key_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.signature(view(spark, sf_dir, "v_features"), "project_id", "feature_id", "x", "y", "kind")
+    rows = view(spark, sf_dir, "v_features").withColumns({c: F.col(c).cast("long") for c in "xy"})
+    return documents.signature(rows, "project_id", "feature_id", "x", "y", "kind")
 
 
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\-'']*[\p{L}\p{N}_])?"
@@ -162,5 +163,9 @@ QUERIES = {
         """SELECT p_partkey, '{"mapElementType":' || p_partkey || ',"nestedPart":{"colorRGB":' || p_size || ',"fillOpacity":[{"startDate2":"' || p_brand || '"}]}}' AS camel,
                   '{"map_element_type":' || p_partkey || ',"nested_part":{"color_r_g_b":' || p_size || ',"fill_opacity":[{"start_date2":"' || p_brand || '"}]}}' AS snake FROM {part}""",
     ),
-    "snapshot_signature": (snapshot_signature, None),
+    "snapshot_signature": (
+        snapshot_signature,
+        """WITH m AS (SELECT project_id, md5(concat_ws('|', feature_id, cast(x AS BIGINT), cast(y AS BIGINT), kind)) AS m FROM v_features)
+           SELECT project_id, count(*) AS rows, cast(sum(cast('0x' || substr(m, 1, 8) AS BIGINT)) AS BIGINT) AS low, cast(sum(cast('0x' || substr(m, 9, 8) AS BIGINT)) AS BIGINT) AS high FROM m GROUP BY project_id""",
+    ),
 }

@@ -18,8 +18,7 @@ def _typed(features: DataFrame) -> DataFrame:
 
 
 def maps_alive_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = view(spark, sf_dir, "v_maps")
-    return maps.select("map_id", F.explode(F.sequence(F.year("start_date"), F.year("end_date"))).alias("year")).groupBy("year").agg(F.count(F.lit(1)).alias("maps"))
+    return timeline.alive_counts(view(spark, sf_dir, "v_maps").select(F.year("start_date").alias("first"), F.year("end_date").alias("last")), "maps")
 
 
 def temporal_visible_features(spark: SparkSession, sf_dir: str) -> DataFrame:
