@@ -111,3 +111,36 @@ def test_components_of_long_chains(spark):
     random.Random(1).shuffle(edges)
     found = {r.vertex: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {k: 0 for k in range(1, 201)} | {1000: -5, 1001: -5, 1002: -5}
+
+
+def test_keys_of_too_many_prints_are_dealt_again(spark):
+    rng = np.random.default_rng(9)
+    free = rng.choice(1 << 40, 30_000, replace=False).astype(np.uint64)
+    prints = np.concatenate([free, free[:300] ^ np.uint64(0b1011), free[300:600] ^ (np.uint64(1) << np.uint64(33))])  # the upper 24 bits are equal
+    prints = np.unique(prints)
+    edges = simhash.near_links(spark.createDataFrame([(int(x),) for x in prints], "fp long"), most=1 << 13).collect()
+    root = {int(x): int(x) for x in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in edges:
+        a, b = find(r.u), find(r.v)
+        root[max(a, b)] = min(a, b)
+    for x in prints[np.isin(prints, free[:600])].tolist():
+        for near in (x ^ 0b1011, x ^ (1 << 33)):
+            if near in root:
+                assert find(x) == find(near)
+    # brute force: what lies within 4 bits, by blocks
+    groups = {}
+    for k in range(0, len(prints), 512):
+        a, b = np.nonzero(np.bitwise_count(prints[k : k + 512, None] ^ prints[None, :]) <= 4)
+        for x, y in zip(prints[a + k].tolist(), prints[b].tolist(), strict=True):
+            if x < y:
+                groups.setdefault(x, []).append(y)
+    assert all(find(x) == find(y) for x, ys in groups.items() for y in ys)
+    pairs = sum(map(len, groups.values()))
+    parts = len({find(int(x)) for x in prints})
+    assert len(prints) - parts <= pairs
