@@ -118,3 +118,64 @@ def filled(mask: np.ndarray) -> np.ndarray:
         if (grown == outside).all():
             return ~outside
         outside = grown
+
+
+#: Steps of an outline through a square of four pixels, whose set corners add up to the key (top left 1, top
+#: right 2, bottom right 4, bottom left 8); doubled places of a step's ends from the square's top left; set pixels to its right.
+TOP, RIGHT, BOTTOM, LEFT = (1, 0), (2, 1), (1, 2), (0, 1)
+STEPS = {
+    1: [(TOP, LEFT)], 2: [(RIGHT, TOP)], 3: [(RIGHT, LEFT)], 4: [(BOTTOM, RIGHT)], 5: [(TOP, LEFT), (BOTTOM, RIGHT)], 6: [(BOTTOM, TOP)], 7: [(BOTTOM, LEFT)],
+    8: [(LEFT, BOTTOM)], 9: [(TOP, BOTTOM)], 10: [(RIGHT, TOP), (LEFT, BOTTOM)], 11: [(RIGHT, BOTTOM)], 12: [(LEFT, RIGHT)], 13: [(TOP, RIGHT)], 14: [(LEFT, TOP)],
+}
+
+
+def outlines(mask: np.ndarray) -> list[np.ndarray]:
+    """Chains of doubled (x, y) places between the set and the other pixels of mask; a closed one repeats its first place.
+
+    Pixels that touch at a corner alone are apart. Chains are open where they meet the border of mask.
+    """
+    m = mask.astype(np.int64)
+    code = m[:-1, :-1] + 2 * m[:-1, 1:] + 4 * m[1:, 1:] + 8 * m[1:, :-1]
+    follows: dict[tuple[int, int], tuple[int, int]] = {}
+    for key, steps in STEPS.items():
+        ys, xs = np.nonzero(code == key)
+        for a, b in steps:
+            starts, ends = zip((2 * xs + a[0]).tolist(), (2 * ys + a[1]).tolist(), strict=True), zip((2 * xs + b[0]).tolist(), (2 * ys + b[1]).tolist(), strict=True)
+            follows.update(zip(starts, ends, strict=True))
+    found = []
+    for first in [*(follows.keys() - set(follows.values())), *sorted(follows)]:
+        chain = [first]
+        while chain[-1] in follows:
+            chain.append(follows.pop(chain[-1]))
+        if len(chain) > 1:
+            found.append(np.array(chain))
+    return found
+
+
+def bell(sigma: float, radius: int) -> np.ndarray:
+    """Weights of a normal curve from -radius to radius that add up to 1."""
+    w = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma * sigma))
+    return w / w.sum()
+
+
+def blurred(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """values weighted along both axes, where the weights fit within them."""
+    for axis in (0, 1):
+        n = values.shape[axis] - len(weights) + 1
+        values = sum(w * values.take(range(k, k + n), axis) for k, w in enumerate(weights))
+    return values
+
+
+def bilateral(values: np.ndarray, radius: int, alike: float, near: float, disk_only: bool, distance) -> np.ndarray:
+    """Means of (height, width, channels) values over windows, weighted by nearness and by likeness to the middle one."""
+    h, w = values.shape[0] - 2 * radius, values.shape[1] - 2 * radius
+    middle = values[radius : radius + h, radius : radius + w]
+    total, weight = np.zeros_like(middle), np.zeros((h, w, 1))
+    for y in range(-radius, radius + 1):
+        for x in range(-radius, radius + 1):
+            if disk_only and y * y + x * x > radius * radius:
+                continue
+            other = values[radius + y : radius + y + h, radius + x : radius + x + w]
+            one = np.exp(-(y * y + x * x) / (2 * near * near) - distance(other - middle) ** 2 / (2 * alike * alike))[:, :, None]
+            total, weight = total + one * other, weight + one
+    return total / weight
