@@ -75,6 +75,26 @@ def clipped(ring: np.ndarray, window: np.ndarray) -> np.ndarray:
     return out
 
 
+def is_simple(ring: np.ndarray) -> bool:
+    """Whether ring has an area, no point twice, and no two sides that cross or touch but at their common corner."""
+    if len(ring) < 3 or len(np.unique(ring, axis=0)) < len(ring) or area(ring) == 0:
+        return False
+    order = np.argsort(np.minimum(ring[:, 0], np.roll(ring[:, 0], -1)), kind="stable")
+    a, b = ring[order], np.roll(ring, -1, axis=0)[order]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    turn = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+    within = lambda p, q, r: (np.minimum(p, q) <= r).all(axis=-1) & (r <= np.maximum(p, q)).all(axis=-1)
+    for k, end in enumerate(np.searchsorted(low[:, 0], high[:, 0], side="right")):
+        c, d = a[k + 1 : end], b[k + 1 : end]
+        one, two, three, four = turn(a[k], b[k], c), turn(a[k], b[k], d), turn(c, d, a[k]), turn(c, d, b[k])
+        met = (one * two < 0) & (three * four < 0)
+        for side, p, q, r, other in ((one, a[k], b[k], c, b[k]), (two, a[k], b[k], d, a[k]), (three, c, d, a[k], d), (four, c, d, b[k], c)):
+            met |= (side == 0) & within(p, q, r) & (r != other).any(axis=-1)
+        if met.any():
+            return False
+    return True
+
+
 def overlap_ratio(one: np.ndarray, two: np.ndarray) -> float:
     """Intersection over union of two convex rings."""
     turn = lambda r: r if area(r) >= 0 else r[::-1]

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from maploom.functions import geometry, kernels
+
+RING = "array<struct<x: double, y: double>>"
 
 
 def affine_fit(pairs: DataFrame, by: str, x: str = "x", y: str = "y", gx: str = "gx", gy: str = "gy") -> DataFrame:
@@ -77,3 +86,71 @@ def spaced_keypoints(points: DataFrame, by: str, apart: float = 10.0, most: int
 
     chosen = listed.select(by, F.aggregate("ps", F.slice("ps", 1, 0), take).alias("chosen"))
     return chosen.select(by, F.posexplode("chosen").alias("rank", "p")).select(by, "rank", "p.id", "p.x", "p.y", (-F.col("p.r")).alias("response"))
+
+
+def _points(ring) -> np.ndarray:
+    """The corners of a closed ring."""
+    return np.array([(p["x"], p["y"]) for p in ring[:-1]]).reshape(-1, 2)
+
+
+def snapped_rings(shapes: DataFrame, segments: DataFrame, tolerance: float, key: str) -> DataFrame:
+    """shapes (key, ring) with the corners of their closed rings on the nearest segment, and how many of them moved.
+
+    A ring that would cross or touch itself keeps its place and counts none. key is one column, unique.
+    """
+    c = F.col
+    corners = shapes.select(c(key), F.posexplode(F.slice("ring", 1, F.size("ring") - 1)).alias("n", "p")).select(F.struct(c(key).alias("k"), "n").alias("corner"), "p.x", "p.y")
+    moved = snap_to_lines(corners, segments, tolerance, "corner").where("moved")
+    placed = moved.groupBy(c("corner.k").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("corner.n", geometry.point(c("x"), c("y"))))).alias("to"))
+    at = lambda n, p: F.coalesce(F.try_element_at("to", n), p)
+    new = geometry.closed(F.transform(F.slice("ring", 1, F.size("ring") - 1), lambda p, n: at(n, p)))
+    rows = shapes.join(placed, key, "left").withColumn("new", F.when(c("to").isNotNull(), new)).withColumn("fits", _simple(c("new")))
+    return rows.withColumns({"ring": F.when(c("fits"), c("new")).otherwise(c("ring")), "snapped": F.when(c("fits"), F.size("to")).otherwise(0)}).drop("to", "new", "fits")
+
+
+@F.pandas_udf(T.BooleanType())
+def _simple(rings: pd.Series) -> pd.Series:
+    return pd.Series([r is not None and kernels.is_simple(_points(r)) for r in rings], dtype=bool)
+
+
+def clipped_to_land(shapes: DataFrame, land: DataFrame, key: str, least: float = 0.01, side: float = 64.0) -> DataFrame:
+    """key, parts and land_share of shapes (key, ring) of which at least `least` lies on land; others are left out.
+
+    Land is a table of convex, counter-clockwise rings (part_id, ring) that do not overlap, so land of any form is given
+    by what it is cut into. Rings are closed. Both sides are dealt to the cells of a grid that their boxes touch.
+    """
+    c = F.col
+    cells = lambda d: F.explode(F.sequence(F.floor(c(f"box.min_{d}") / side), F.floor(c(f"box.max_{d}") / side)))
+    deal = lambda rows: rows.withColumn("box", geometry.box(c("ring"))).withColumn("gx", cells("x")).withColumn("gy", cells("y"))
+    met = deal(shapes.select(key, "ring")).join(deal(land.select("part_id", c("ring"))).select("part_id", "gx", "gy", c("ring").alias("land"), c("box").alias("around")), ["gx", "gy"])
+    # a pair meets in many cells and counts in the first of them
+    first = lambda d: c(f"g{d}") == F.floor(F.greatest(f"box.min_{d}", f"around.min_{d}") / side)
+    pairs = met.where(first("x") & first("y")).select(key, "ring", "part_id", "land")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            parts = [kernels.clipped(_points(r), _points(w)) for r, w in zip(f["ring"], f["land"], strict=True)]
+            keep = [len(p) > 2 and abs(kernels.area(p)) > 0 for p in parts]
+            closed = [[{"x": x, "y": y} for x, y in [*p, p[0]]] for p, k in zip(parts, keep, strict=True) if k]
+            share = [abs(kernels.area(p)) / abs(kernels.area(_points(r))) for p, r, k in zip(parts, f["ring"], keep, strict=True) if k]
+            yield pd.DataFrame({key: f.loc[keep, key].to_numpy(), "part_id": f.loc[keep, "part_id"].to_numpy(), "part": pd.Series(closed, dtype=object), "share": pd.Series(share, dtype=float)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    found = pairs.where(geometry.signed_area(c("ring")) != 0).mapInPandas(run, f"`{key}` {kinds[key]}, part_id {kinds['part_id']}, part {RING}, share double")
+    whole = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part_id", "part"))).alias("p"), F.sum("share").alias("land_share"))
+    return whole.where(c("land_share") >= least).select(key, F.transform("p", lambda p: p["part"]).alias("parts"), "land_share")
+
+
+def georeferenced(features: DataFrame, pairs: DataFrame, by: str, key: str, segments: DataFrame | None = None, tolerance: float = 200.0) -> DataFrame:
+    """features (by, key, ring in pixels) in degrees, with what a georeferenced feature says of itself.
+
+    pairs (by, x, y, gx, gy) are pixels and their Web Mercator metres; features of a group without a fit of three pairs
+    or more are left out. Corners no further than tolerance metres from segments go there (snapped_rings). key is unique.
+    """
+    c = F.col
+    fits = affine_fit(pairs, by).select(by, *"abcdef", "rmse")
+    to = lambda p: geometry.point(c("a") * p["x"] + c("b") * p["y"] + c("c"), c("d") * p["x"] + c("e") * p["y"] + c("f"))
+    rows = features.join(fits, by).withColumn("ring", F.transform(geometry.closed(c("ring")), to)).drop(*"abcdef")
+    rows = rows.withColumn("snapped", F.lit(0)) if segments is None else snapped_rings(rows, segments, tolerance, key)
+    says = {"is_pixel_space": F.lit(False), "is_georeferenced": F.lit(True), "crs": F.lit("EPSG:4326"), "transform_method": F.lit("affine"), "rmse_meters": F.round(F.coalesce("rmse", F.lit(0.0)), 2)}
+    return rows.withColumns({"ring": F.transform("ring", lambda p: geometry.lon_lat(p["x"], p["y"])), **says}).drop("rmse")

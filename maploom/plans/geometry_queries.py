@@ -162,6 +162,25 @@ def stage_to_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("image_id").agg(F.count_if(on).alias("on_image"), F.round(F.avg(F.when(on, u * 999)), 4).alias("mean_column"), F.round(F.avg(F.when(on, v * 499)), 4).alias("mean_row"))
 
 
+def georeference_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quadrilaterals of ten images in degrees, their corners on a coast from north to south where they are near it."""
+    shapes = _rings(spark, sf_dir).select("p_partkey", (F.col("p_partkey") % 10).alias("image_id"), "ring")
+    metre = lambda v: F.lit(float(v))
+    coast = spark.range(1).select(F.lit(1).alias("sid"), metre(1500).alias("x1"), metre(-300).alias("y1"), metre(1500).alias("x2"), metre(3000).alias("y2"))
+    found = georeference.georeferenced(shapes, view(spark, sf_dir, "v_control"), "image_id", "p_partkey", coast, 1.0)
+    total = lambda c: F.round(F.aggregate("ring", F.lit(0.0), lambda acc, p: acc + p[c]), 8)
+    return found.select("image_id", "p_partkey", "snapped", total("x").alias("lon"), total("y").alias("lat"), "is_georeferenced", "crs", "transform_method", "rmse_meters")
+
+
+def land_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the parts on land that is cut into boxes."""
+    p, k = tables(spark, sf_dir, ["part"])["part"], F.col("s_suppkey")
+    box = lambda x, y, w, h: F.array(geometry.point(x, y), geometry.point(x + w, y), geometry.point(x + w, y + h), geometry.point(x, y + h), geometry.point(x, y))
+    boxes = p.select("p_partkey", box(F.col("p_partkey") % 900, F.col("p_partkey") % 700, F.col("p_size") + 3, F.col("p_partkey") % 37 + 2).alias("ring"))
+    land = tables(spark, sf_dir, ["supplier"])["supplier"].select(k.alias("part_id"), box(k % 10 * 90, F.floor(k / 10) * 70, F.lit(60), F.lit(50)).alias("ring"))
+    return georeference.clipped_to_land(boxes, land, "p_partkey").select("p_partkey", F.size("parts").alias("parts"), F.round("land_share", 6).alias("land_share"))
+
+
 PAIR_SUMS = """m AS (SELECT image_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(gx) AS mg, avg(gy) AS mh FROM v_control GROUP BY image_id),
   d AS (SELECT image_id, x - mx AS x, y - my AS y, gx - mg AS g, gy - mh AS h FROM v_control JOIN m USING (image_id)),
   s AS (SELECT image_id, sum(x*x) AS xx, sum(x*y) AS xy, sum(y*y) AS yy, sum(x*g) AS xg, sum(y*g) AS yg, sum(x*h) AS xh, sum(y*h) AS yh, sum(g*g) AS gg, sum(h*h) AS hh FROM d GROUP BY image_id),
@@ -174,6 +193,19 @@ SEGMENT = """c AS (SELECT s_suppkey AS sid, s_suppkey * 20.0::DOUBLE AS x1, ((s_
   b AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY d2, sid) AS k FROM n WHERE d2 <= 225)"""
 
 QUERIES = {
+    "georeference_collection": (
+        georeference_collection,
+        f"""WITH {RING}, {PAIR_SUMS}, v AS (SELECT p_partkey, p_partkey % 10 AS image_id, unnest([0, 1, 2, 3, 0]) AS n, unnest([x, x + w, x + w, x, x]) AS px, unnest([y, y + t, y + h, y + h, y]) AS py, unnest([1, 1, 1, 1, 0]) AS own FROM r),
+            m1 AS (SELECT *, a * px + b * py + c AS gx, d * px + e * py + f AS gy FROM v JOIN fit USING (image_id)), m2 AS (SELECT *, abs(gx - 1500) <= 1 AND gy BETWEEN -300 AND 3000 AS near FROM m1)
+            SELECT image_id, p_partkey, cast(sum(CASE WHEN near THEN own ELSE 0 END) AS INT) AS snapped, round(sum(degrees(CASE WHEN near THEN 1500 ELSE gx END / 6378137.0::DOUBLE)), 8) AS lon, round(sum(degrees(2 * atan(exp(gy / 6378137.0::DOUBLE)) - pi() / 2)), 8) AS lat,
+                   true AS is_georeferenced, 'EPSG:4326' AS crs, 'affine' AS transform_method, round(coalesce(any_value(rmse), 0), 2) AS rmse_meters FROM m2 GROUP BY image_id, p_partkey""",
+    ),
+    "land_clip": (
+        land_clip,
+        f"""WITH {RING}, l AS (SELECT (s_suppkey % 10 * 90)::DOUBLE AS lx, (s_suppkey // 10 * 70)::DOUBLE AS ly FROM {{supplier}}),
+            o AS (SELECT p_partkey, greatest(0, least(x + w, lx + 60) - greatest(x, lx)) * greatest(0, least(y + h, ly + 50) - greatest(y, ly)) / (w * h) AS share FROM r, l)
+            SELECT p_partkey, cast(count(*) AS INT) AS parts, round(sum(share), 6) AS land_share FROM o WHERE share > 0 GROUP BY p_partkey HAVING sum(share) >= 0.01""",
+    ),
     "mercator_forward": (
         mercator_forward,
         "SELECT p_partkey, round(6378137.0 * radians(p_partkey % 361 - 180), 3) + 0.0::DOUBLE AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(greatest(-89.9, least(89.9, (p_partkey * 7) % 181 - 90))) / 2)), 3) + 0.0::DOUBLE AS y FROM {part}",
