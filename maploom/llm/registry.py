@@ -1,6 +1,6 @@
 """The queries over the tables of a training-data corpus, and their SQL where there is one."""
 
-from maploom.llm import byte_bpe, chat, exact_dedup, packing, quality, repeats, secrets, simhash, toxicity, warc
+from maploom.llm import byte_bpe, chat, exact_dedup, merkle, packing, quality, repeats, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_simhash": simhash.op9_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
