@@ -1,6 +1,6 @@
 """The queries over the tables of a training-data corpus, and their SQL where there is one."""
 
-from maploom.llm import alignment, byte_bpe, chat, exact_dedup, merkle, packing, quality, repeats, secrets, simhash, toxicity, warc
+from maploom.llm import alignment, byte_bpe, chat, exact_dedup, merkle, minhash, packing, quality, repeats, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_merkle": merkle.op11_merkle,
     "op12_alignment": alignment.op12_alignment,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 ORACLES = {
