@@ -19,6 +19,26 @@ def dominant(pixels: DataFrame, *by: str, order: tuple[str, ...] = CHANNELS) ->
     return counts.groupBy(*by).agg(best).select(*by, "c.*")
 
 
+def sampled(pixels: DataFrame, clicks: DataFrame, side: int = 64) -> DataFrame:
+    """The most frequent colour around each click; of equally frequent ones the least r, g, b. Returns image_id, click, r, g, b, n, hex.
+
+    pixels: (image_id, px, py, r, g, b). clicks: (image_id, click, x, y, width, height, radius): places from 0 to 1 of an
+    image of so many pixels, and half the side of the square around the pixel that they round to (halves to even); a null
+    radius is 20, one below 0 is 0. Clicks outside 0 to 1, and squares without pixels, have no colour. Pixels and squares
+    meet over cells of side pixels.
+    """
+    c = F.col
+    near = clicks.where(c("x").between(0, 1) & c("y").between(0, 1) & (c("width") > 0) & (c("height") > 0))
+    middle = lambda d, size: F.rint(c(d) * (c(size) - 1)).cast("long")
+    radius = F.greatest(F.lit(0), F.coalesce(c("radius").cast("int"), F.lit(20)))
+    squares = near.select("image_id", "click", middle("x", "width").alias("cx"), middle("y", "height").alias("cy"), radius.alias("reach"))
+    cells = lambda d: F.explode(F.sequence(F.floor((c(f"c{d}") - c("reach")) / side), F.floor((c(f"c{d}") + c("reach")) / side)))
+    dealt = squares.withColumn("gx", cells("x")).withColumn("gy", cells("y"))
+    met = pixels.withColumns({"gx": F.floor(c("px") / side), "gy": F.floor(c("py") / side)}).join(dealt, ["image_id", "gx", "gy"])
+    found = dominant(met.where((F.abs(c("px") - c("cx")) <= c("reach")) & (F.abs(c("py") - c("cy")) <= c("reach"))), "image_id", "click")
+    return found.withColumn("hex", F.concat(F.lit("#"), *(F.lower(F.lpad(F.hex(v), 2, "0")) for v in CHANNELS)))
+
+
 def dominant_bin(pixels: DataFrame, *by: str) -> DataFrame:
     """The middle of the fullest cell of an 8 by 8 by 8 grid; of equally full ones the least."""
     counts = pixels.groupBy(*by, bin_of(*map(F.col, CHANNELS)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

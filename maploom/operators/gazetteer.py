@@ -59,13 +59,29 @@ def longest_matches(docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id
     return chosen.select(id_col, "h.place", (-F.col("h.r")).alias("words"), "h.name")
 
 
+def _grams(text: Column, n: Column) -> Column:
+    """The distinct substrings of n characters of a text that has at least so many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda k: F.substring(text, k, n)))
+
+
 def containing(names: DataFrame, gazetteer: DataFrame, most: int = 10) -> DataFrame:
-    """For names without an equal in the gazetteer (columns name, population): up to `most` of its names that have name
-    as one of their words, the most populous first. Each meets the gazetteer over single words."""
-    missing = names.join(gazetteer, "name", "left_anti")
-    parts = gazetteer.select("population", F.col("name").alias("candidate"), F.explode(F.array_distinct(F.split("name", " "))).alias("name"))
+    """For names without an equal in the gazetteer (columns name, population): up to `most` of its names that contain
+    name, anywhere in them, the most populous first.
+
+    Names meet the gazetteer over three characters, or as many as they have: over those of a name's that fewest gazetteer
+    names share, so that frequent ones are no keys. An empty name has no candidates.
+    """
+    c = F.col
+    missing = names.join(gazetteer, "name", "left_anti").where(F.char_length("name") > 0)
+    width = F.least(F.lit(3), F.char_length("name"))
+    widths = F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: n <= F.char_length("name"))
+    parts = gazetteer.where(F.char_length("name") > 0).select("population", c("name").alias("candidate"), F.explode(F.flatten(F.transform(widths, lambda n: _grams(c("name"), n)))).alias("gram"))
+    counts = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = missing.select("name", F.explode(_grams(c("name"), width)).alias("gram")).join(counts, "gram", "left")
+    rarest = asked.groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("name", c("g.gram").alias("gram"))
+    found = rarest.join(parts, "gram").where(F.contains("candidate", "name")).drop("gram")
     order = Window.partitionBy("name").orderBy(F.desc("population"), "candidate")
-    return missing.join(parts, "name").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return found.withColumn("rank", F.row_number().over(order)).where(c("rank") <= most)
 
 
 def best_candidates(names: DataFrame, gazetteer: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maploom.functions import geometry, kernels
+from maploom.operators import polygons
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -53,22 +52,36 @@ def snap_tolerance(diagonal: Column, metres: Column) -> Column:
     return F.greatest(F.lit(200.0), F.least(F.lit(50000.0), pixels * metres))
 
 
-def snap_to_lines(points: DataFrame, segments: DataFrame, tolerance: float, key: str) -> DataFrame:
+#: Cells of points with tolerances of their own: the powers of two from 256 to 65,536 cover 200 to 50,000 metres.
+LEVELS = (8, 16)
+
+
+def snap_to_lines(points: DataFrame, segments: DataFrame, tolerance: float | str, key: str) -> DataFrame:
     """points (key, x, y) with the nearest place on segments (sid, x1, y1, x2, y2) at most tolerance away, else as they are.
 
     Both sides are dealt to square cells of the tolerance: a segment to all cells its box touches or borders on,
-    so that only neighbours meet. Returns key, x, y, moved.
+    so that only neighbours meet. tolerance may name a column of points, up to 65,536: then cells are powers of two, and
+    segments are dealt to each size. Returns key, x, y, moved.
     """
     c = F.col
-    cell = lambda v: F.floor(v / tolerance).cast("long")
+    if isinstance(tolerance, str):
+        low, high = LEVELS
+        level = F.greatest(F.lit(low), F.ceil(F.log2(c(tolerance)))).cast("int")
+        points = points.withColumns({"level": level, "reach": c(tolerance).cast("double")})
+        segments = segments.withColumn("level", F.explode(F.sequence(F.lit(low), F.lit(high))))
+        side = F.pow(F.lit(2.0), c("level"))
+    else:
+        points, segments = points.withColumns({"level": F.lit(0), "reach": F.lit(float(tolerance))}), segments.withColumn("level", F.lit(0))
+        side = F.lit(float(tolerance))
+    cell = lambda v: F.floor(v / side).cast("long")
     span = lambda p, q: F.sequence(cell(F.least(p, q)) - 1, cell(F.greatest(p, q)) + 1)
     spread = segments.select("*", F.explode(span(c("x1"), c("x2"))).alias("cx")).select("*", F.explode(span(c("y1"), c("y2"))).alias("cy"))
-    met = points.select(key, "x", "y", cell(c("x")).alias("cx"), cell(c("y")).alias("cy")).join(spread, ["cx", "cy"])
+    met = points.select(key, "x", "y", "reach", "level", cell(c("x")).alias("cx"), cell(c("y")).alias("cy")).join(spread, ["level", "cx", "cy"])
     dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
     size = dx * dx + dy * dy
     along = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c("x") - c("x1")) * dx + (c("y") - c("y1")) * dy) / size)))
-    placed = met.withColumn("t", along).select(key, "x", "y", "sid", (c("x1") + c("t") * dx).alias("nx"), (c("y1") + c("t") * dy).alias("ny"))
-    away = placed.withColumn("d2", (c("nx") - c("x")) * (c("nx") - c("x")) + (c("ny") - c("y")) * (c("ny") - c("y"))).where(c("d2") <= tolerance * tolerance)
+    placed = met.withColumn("t", along).select(key, "x", "y", "reach", "sid", (c("x1") + c("t") * dx).alias("nx"), (c("y1") + c("t") * dy).alias("ny"))
+    away = placed.withColumn("d2", (c("nx") - c("x")) * (c("nx") - c("x")) + (c("ny") - c("y")) * (c("ny") - c("y"))).where(c("d2") <= c("reach") * c("reach"))
     best = away.groupBy(key).agg(F.min(F.struct("d2", "sid", "nx", "ny")).alias("best"))
     return points.select(key, "x", "y").join(best, key, "left").select(key, F.coalesce("best.nx", "x").alias("x"), F.coalesce("best.ny", "y").alias("y"), c("best").isNotNull().alias("moved"))
 
@@ -113,34 +126,6 @@ def _simple(rings: pd.Series) -> pd.Series:
     return pd.Series([r is not None and kernels.is_simple(_points(r)) for r in rings], dtype=bool)
 
 
-def clipped_to_land(shapes: DataFrame, land: DataFrame, key: str, least: float = 0.01, side: float = 64.0) -> DataFrame:
-    """key, parts and land_share of shapes (key, ring) of which at least `least` lies on land; others are left out.
-
-    Land is a table of convex, counter-clockwise rings (part_id, ring) that do not overlap, so land of any form is given
-    by what it is cut into. Rings are closed. Both sides are dealt to the cells of a grid that their boxes touch.
-    """
-    c = F.col
-    cells = lambda d: F.explode(F.sequence(F.floor(c(f"box.min_{d}") / side), F.floor(c(f"box.max_{d}") / side)))
-    deal = lambda rows: rows.withColumn("box", geometry.box(c("ring"))).withColumn("gx", cells("x")).withColumn("gy", cells("y"))
-    met = deal(shapes.select(key, "ring")).join(deal(land.select("part_id", c("ring"))).select("part_id", "gx", "gy", c("ring").alias("land"), c("box").alias("around")), ["gx", "gy"])
-    # a pair meets in many cells and counts in the first of them
-    first = lambda d: c(f"g{d}") == F.floor(F.greatest(f"box.min_{d}", f"around.min_{d}") / side)
-    pairs = met.where(first("x") & first("y")).select(key, "ring", "part_id", "land")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            parts = [kernels.clipped(_points(r), _points(w)) for r, w in zip(f["ring"], f["land"], strict=True)]
-            keep = [len(p) > 2 and abs(kernels.area(p)) > 0 for p in parts]
-            closed = [[{"x": x, "y": y} for x, y in [*p, p[0]]] for p, k in zip(parts, keep, strict=True) if k]
-            share = [abs(kernels.area(p)) / abs(kernels.area(_points(r))) for p, r, k in zip(parts, f["ring"], keep, strict=True) if k]
-            yield pd.DataFrame({key: f.loc[keep, key].to_numpy(), "part_id": f.loc[keep, "part_id"].to_numpy(), "part": pd.Series(closed, dtype=object), "share": pd.Series(share, dtype=float)})
-
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    found = pairs.where(geometry.signed_area(c("ring")) != 0).mapInPandas(run, f"`{key}` {kinds[key]}, part_id {kinds['part_id']}, part {RING}, share double")
-    whole = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part_id", "part"))).alias("p"), F.sum("share").alias("land_share"))
-    return whole.where(c("land_share") >= least).select(key, F.transform("p", lambda p: p["part"]).alias("parts"), "land_share")
-
-
 def georeferenced(features: DataFrame, pairs: DataFrame, by: str, key: str, segments: DataFrame | None = None, tolerance: float = 200.0) -> DataFrame:
     """features (by, key, ring in pixels) in degrees, with what a georeferenced feature says of itself.
 
@@ -154,3 +139,28 @@ def georeferenced(features: DataFrame, pairs: DataFrame, by: str, key: str, segm
     rows = rows.withColumn("snapped", F.lit(0)) if segments is None else snapped_rings(rows, segments, tolerance, key)
     says = {"is_pixel_space": F.lit(False), "is_georeferenced": F.lit(True), "crs": F.lit("EPSG:4326"), "transform_method": F.lit("affine"), "rmse_meters": F.round(F.coalesce("rmse", F.lit(0.0)), 2)}
     return rows.withColumns({"ring": F.transform("ring", lambda p: geometry.lon_lat(p["x"], p["y"])), **says}).drop("rmse")
+
+
+def georeferenced_polygons(
+    features: DataFrame, pairs: DataFrame, by: str, key: str, segments: DataFrame | None = None, land: DataFrame | None = None, diagonal_share: float = 0.01, least: float = 0.01, side: float = 100_000.0
+) -> DataFrame:
+    """features (by, key, polygons in pixels and others) in degrees, holes with them, and what each says of itself.
+
+    As georeferenced; but corners snap within a tolerance of their own collection, diagonal_share of the diagonal around
+    its shells in pixels, held within 3 to 40 pixels and 200 to 50,000 metres (snap_tolerance), and with land (polygons in
+    metres) each feature is clipped to it. Features of which less than `least` is on land are left out. key is unique.
+    """
+    c = F.col
+    fits = affine_fit(pairs, by).select(by, *"abcdef", "rmse")
+    around = features.select(by, polygons.box(c("polygons")).alias("box")).groupBy(by).agg(*(f(f"box.{n}_{d}").alias(f"{n}_{d}") for n, f in (("min", F.min), ("max", F.max)) for d in "xy"))
+    w, h = c("max_x") - c("min_x"), c("max_y") - c("min_y")
+    reach = snap_tolerance(F.sqrt(w * w + h * h) * (diagonal_share / 0.01), metres_per_pixel(*map(F.col, "abde")))
+    fits = fits.join(around, by).withColumn("reach", reach).drop("min_x", "min_y", "max_x", "max_y")
+    mapped = lambda to: F.transform("polygons", lambda p: F.struct(F.transform(p["shell"], to).alias("shell"), F.transform(p["holes"], lambda r: F.transform(r, to)).alias("holes")))
+    to = lambda p: geometry.point(c("a") * p["x"] + c("b") * p["y"] + c("c"), c("d") * p["x"] + c("e") * p["y"] + c("f"))
+    rows = features.join(fits, by).withColumn("polygons", mapped(to)).drop(*"abcdef")
+    rows = rows.withColumn("snapped", F.lit(0)) if segments is None else polygons.snapped(rows, segments, "reach", key)
+    if land is not None:
+        rows = rows.drop("polygons").join(polygons.clipped_to_land(rows.select(key, "polygons"), land, key, least, side).drop("land_share"), key)
+    says = {"is_pixel_space": F.lit(False), "is_georeferenced": F.lit(True), "crs": F.lit("EPSG:4326"), "transform_method": F.lit("affine"), "rmse_meters": F.round(F.coalesce("rmse", F.lit(0.0)), 2)}
+    return rows.withColumns({"polygons": mapped(lambda p: geometry.lon_lat(p["x"], p["y"])), **says}).drop("rmse", "reach")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maploom.functions import geometry, kernels
+from maploom.functions import geometry
+from maploom.operators import polygons
 from maploom.operators.scratch import written
 
 
@@ -45,32 +42,24 @@ def properties(kind: Column, number: Column, area: Column, perimeter: Column, ce
 def deduplicated(shapes: DataFrame, by: str, key: str, ring: str = "ring", similar: float = 0.6, overlap: float = 0.6, side: float = 64.0) -> DataFrame:
     """Per group (by) the shapes that stay when, from the largest down, each goes that is like one that stayed.
 
-    Alike are two rings (convex here) whose areas' ratio is at least similar and whose common area is at least overlap
+    Alike are two rings (of any form) whose areas' ratio is at least similar and whose common area is at least overlap
     of the smaller. Pairs meet over the cells of a grid that their boxes touch, and overlaps are computed for these
     alone. The greedy choice goes by rounds: a shape none of whose larger likes is still open is decided, so that
     each round settles all it can at once, and no group is gathered.
     """
     c = F.col
     rows = shapes.select(by, key, F.col(ring).alias("ring"), F.abs(geometry.signed_area(F.col(ring))).alias("area"), geometry.box(F.col(ring)).alias("box"))
-    cells = lambda d: F.explode(F.sequence(F.floor(c(f"box.min_{d}") / side), F.floor(c(f"box.max_{d}") / side)))
-    dealt = rows.select("*", cells("x").alias("gx")).select("*", cells("y").alias("gy"))
-    one, two = dealt.select(*(c(n).alias(f"{n}1") if n not in (by, "gx", "gy") else c(n) for n in dealt.columns)), dealt.select(*(c(n).alias(f"{n}2") if n not in (by, "gx", "gy") else c(n) for n in dealt.columns))
+    side_of = lambda n: rows.select(by, *(c(x).alias(f"{x}{n}") for x in (key, "ring", "area", "box")))
     larger = (c("area1") > c("area2")) | ((c("area1") == c("area2")) & (c(f"{key}1") < c(f"{key}2")))
-    met = one.join(two, [by, "gx", "gy"]).where(larger & (c("area2") / c("area1") >= similar) & (geometry.overlap(c("box1"), c("box2")) >= overlap * c("area2")))
-    pairs = met.groupBy(by, f"{key}1", f"{key}2").agg(F.first("ring1").alias("ring1"), F.first("ring2").alias("ring2"), F.first("area2").alias("area2"))
-
-    def shared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ring = lambda r: np.array([(p["x"], p["y"]) for p in r[:-1]])
-        turn = lambda r: r if kernels.area(r) >= 0 else r[::-1]
-        for f in frames:
-            keep = []
-            for a, b, size in zip(f["ring1"], f["ring2"], f["area2"], strict=True):
-                part = kernels.clipped(turn(ring(b)), turn(ring(a)))
-                keep.append(len(part) > 2 and abs(kernels.area(part)) >= overlap * size)
-            yield f.loc[keep, [by, f"{key}1", f"{key}2"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    likes = written(pairs.mapInPandas(shared, ", ".join(f"`{n}` {kinds[n]}" for n in (by, f"{key}1", f"{key}2"))).withColumnRenamed(f"{key}1", "larger").withColumnRenamed(f"{key}2", "smaller"))
+    met = polygons.pairs_that_meet(side_of(1), side_of(2), [by], side).where(larger & (c("area2") / c("area1") >= similar) & (geometry.overlap(c("box1"), c("box2")) >= overlap * c("area2")))
+    shared = polygons.common_area(polygons.polygon(c("ring1")), polygons.polygon(c("ring2")))
+    likes = written(met.where(shared >= overlap * c("area2")).select(by, c(f"{key}1").alias("larger"), c(f"{key}2").alias("smaller")))
+    return _greedy(shapes, likes, by, key)
+
+
+def _greedy(shapes: DataFrame, likes: DataFrame, by: str, key: str) -> DataFrame:
+    """shapes without those that go: likes (by, larger, smaller) are in the order of the choice."""
+    c = F.col
     open_rows, gone = likes.select(by, F.explode(F.array("larger", "smaller")).alias(key)).distinct(), None
     while not open_rows.isEmpty():
         left = likes.join(open_rows.withColumnRenamed(key, "smaller"), [by, "smaller"], "left_semi").join(open_rows.withColumnRenamed(key, "larger"), [by, "larger"], "left_semi")

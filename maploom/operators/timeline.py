@@ -90,20 +90,21 @@ def day_window(dates: DataFrame, group: str, date: str = "date") -> DataFrame:
 
 
 def tick_lanes(days: DataFrame, group: str) -> DataFrame:
-    """Ticks of a day window (rows: group, date, first_day, span) with their lane of two.
+    """Ticks of a day window (rows: group, date, first_day, span): day, lane and whether it is an exact date.
 
-    Both ends of the window are ticks, dates outside it are none. A tick within a tenth of the span from the one before
-    takes the other lane, any other the first. The lane depends on the lane before, but only back to the last gap:
-    within a run of close ticks lanes alternate, so that a tick's lane is its place in its run, even or odd.
+    Each date in the window is a tick. One within a tenth of the span from the date before takes the other lane, any
+    other the first; so lanes alternate within a run of close dates, and a date's lane is its place in its run, even or
+    odd. Both ends of the window are ticks besides, in the first lane, whatever dates are near or on them.
     """
     day = F.datediff("date", "first_day")
-    inner = days.select(group, "span", day.alias("day")).where(F.col("day").between(0, F.col("span")))
-    ticks = inner.unionByName(days.select(group, "span", F.explode(F.array(F.lit(0), F.col("span"))).alias("day"))).distinct()
+    dates = days.select(group, "span", day.alias("day")).where(F.col("day").between(0, F.col("span"))).distinct()
     order = Window.partitionBy(group).orderBy("day")
     gap = F.coalesce((F.col("day") - F.lag("day").over(order)) * 100.0 / F.col("span") >= 10, F.lit(True))
-    runs = ticks.withColumn("gap", gap).withColumn("run", F.sum(F.col("gap").cast("int")).over(order))
+    runs = dates.withColumn("run", F.sum(gap.cast("int")).over(order))
     place = F.row_number().over(Window.partitionBy(group, "run").orderBy("day")) - 1
-    return runs.select(group, "day", (place % 2).cast("int").alias("lane"))
+    exact = runs.select(group, "day", (place % 2).cast("int").alias("lane"), F.lit(True).alias("is_exact"))
+    ends = days.select(group, "span").distinct().select(group, F.explode(F.array(F.lit(0), F.col("span"))).alias("day"), F.lit(0).alias("lane"), F.lit(False).alias("is_exact"))
+    return exact.unionByName(ends.distinct())
 
 
 def nearest(value: Column, markers: Column) -> Column:

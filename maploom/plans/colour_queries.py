@@ -51,9 +51,12 @@ def dominant_colour_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mode within a window of 20 rows and 400 columns around a click, by blue, green, red among equals."""
-    near = view(spark, sf_dir, "v_pixels").where((F.abs(F.col("px") - 150) <= 400) & (F.abs(F.col("py") - 25) <= 20))
-    return colours.dominant(near, "image_id", order=("b", "g", "r"))
+    """The mode of a square around clicks on each image, some of them beside it, some with a radius of their own."""
+    images = view(spark, sf_dir, "v_pixels").select("image_id").distinct()
+    k = F.col("image_id") * 31 + F.col("click") * 17
+    size = {"width": F.lit(2000), "height": F.lit(51)}
+    clicks = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("click")).withColumns({"x": k % 103 / 100.0, "y": k % 101 / 100.0, **size, "radius": F.when(F.col("click") > 0, F.col("click") * 30 - 31)})
+    return colours.sampled(view(spark, sf_dir, "v_pixels"), clicks)
 
 
 def dominant_colour_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +139,14 @@ QUERIES = {
     ),
     "paper_background": (paper_background, f"WITH {_delta([(100.0, 0.0, 0.0)])} SELECT image_id, count(CASE WHEN d <= 10 THEN 1 END) AS paper, count(*) AS pixels FROM v_pixels JOIN best USING (r, g, b) GROUP BY image_id"),
     "dominant_colour_mode": (dominant_colour_mode, MODE % ("r, g, b", "")),
-    "sampled_colour": (sampled_colour, MODE % ("b, g, r", "WHERE abs(px - 150) <= 400 AND abs(py - 25) <= 20")),
+    "sampled_colour": (
+        sampled_colour,
+        """WITH i AS (SELECT image_id, click, ((image_id * 31 + click * 17) % 103) / 100.0::DOUBLE AS x, ((image_id * 31 + click * 17) % 101) / 100.0::DOUBLE AS y, CASE WHEN click > 0 THEN greatest(0, click * 30 - 31) ELSE 20 END AS reach
+                      FROM (SELECT DISTINCT image_id FROM v_pixels), (SELECT unnest([0, 1, 2, 3])::INT AS click)),
+           c AS (SELECT image_id, click, reach, round_even(x * 1999, 0) AS cx, round_even(y * 50, 0) AS cy FROM i WHERE x <= 1 AND y <= 1),
+           n AS (SELECT p.image_id, click, r, g, b, count(*) AS n FROM v_pixels p JOIN c ON c.image_id = p.image_id AND abs(px - cx) <= reach AND abs(py - cy) <= reach GROUP BY ALL)
+           SELECT image_id, click, r, g, b, n, printf('#%02x%02x%02x', r, g, b) AS hex FROM n QUALIFY row_number() OVER (PARTITION BY image_id, click ORDER BY n DESC, r, g, b) = 1""",
+    ),
     "dominant_colour_bins": (
         dominant_colour_bins,
         """WITH n AS (SELECT image_id, (r // 32) * 64 + (g // 32) * 8 + b // 32 AS bin, count(*) AS n FROM v_pixels GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, bin) AS k FROM n)

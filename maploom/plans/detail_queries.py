@@ -179,11 +179,11 @@ QUERIES = {
     "periods_in_zoom": (periods_in_zoom, "SELECT project_id, count(*) AS maps FROM v_maps WHERE 1998 BETWEEN year(start_date) AND year(end_date) GROUP BY project_id"),
     "day_tick_lanes": (
         day_tick_lanes,
-        f"""WITH RECURSIVE {DAYS}, e AS (SELECT project_id, span, unnest([0, span]) AS day FROM (SELECT DISTINCT project_id, span FROM t) UNION SELECT project_id, span, day FROM t WHERE day BETWEEN 0 AND span),
-            o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY day) AS n FROM e),
-            f AS (SELECT project_id, span, day, n, 0 AS lane FROM o WHERE n = 1
-                  UNION ALL SELECT o.project_id, o.span, o.day, o.n, CASE WHEN (o.day - f.day) * 100.0 / o.span < 10 THEN 1 - f.lane ELSE 0 END FROM f JOIN o ON o.project_id = f.project_id AND o.n = f.n + 1)
-            SELECT project_id, cast(day AS INT) AS day, cast(lane AS INT) AS lane FROM f""",
+        f"""WITH RECURSIVE {DAYS}, o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY day) AS n FROM (SELECT DISTINCT project_id, span, day FROM t WHERE day BETWEEN 0 AND span)),
+            f AS (SELECT project_id, 0::BIGINT AS n, -100::DOUBLE AS percent, 0 AS lane, NULL::BIGINT AS day FROM (SELECT DISTINCT project_id FROM o)
+                  UNION ALL SELECT o.project_id, o.n, o.day * 100.0 / o.span, CASE WHEN o.day * 100.0 / o.span - f.percent < 10 THEN 1 - f.lane ELSE 0 END, o.day FROM f JOIN o ON o.project_id = f.project_id AND o.n = f.n + 1)
+            SELECT project_id, cast(day AS INT) AS day, cast(lane AS INT) AS lane, true AS is_exact FROM f WHERE n > 0
+            UNION ALL SELECT project_id, cast(unnest([0, span]) AS INT), 0, false FROM (SELECT DISTINCT project_id, span FROM t)""",
     ),
     "day_bars": (
         day_bars,

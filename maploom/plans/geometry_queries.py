@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maploom.functions import geometry
-from maploom.operators import georeference
+from maploom.operators import georeference, polygons
 from maploom.plans.views import tables, view
 
 
@@ -178,7 +178,8 @@ def land_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = lambda x, y, w, h: F.array(geometry.point(x, y), geometry.point(x + w, y), geometry.point(x + w, y + h), geometry.point(x, y + h), geometry.point(x, y))
     boxes = p.select("p_partkey", box(F.col("p_partkey") % 900, F.col("p_partkey") % 700, F.col("p_size") + 3, F.col("p_partkey") % 37 + 2).alias("ring"))
     land = tables(spark, sf_dir, ["supplier"])["supplier"].select(k.alias("part_id"), box(k % 10 * 90, F.floor(k / 10) * 70, F.lit(60), F.lit(50)).alias("ring"))
-    return georeference.clipped_to_land(boxes, land, "p_partkey").select("p_partkey", F.size("parts").alias("parts"), F.round("land_share", 6).alias("land_share"))
+    as_polygons = lambda rows: rows.withColumn("polygons", polygons.polygon(F.col("ring")))
+    return polygons.clipped_to_land(as_polygons(boxes), as_polygons(land), "p_partkey").select("p_partkey", F.size("polygons").alias("parts"), F.round("land_share", 6).alias("land_share"))
 
 
 PAIR_SUMS = """m AS (SELECT image_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(gx) AS mg, avg(gy) AS mh FROM v_control GROUP BY image_id),

@@ -29,9 +29,11 @@ def gazetteer_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of part types that are no part name, with the part names that hold them."""
+    """Words of part names, and pieces of words, that are no part name, with the part names that contain them."""
     t = tables(spark, sf_dir, ["part"])["part"]
-    names = t.select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).unionByName(t.select(F.lower("p_name").alias("name"))).distinct()
+    words = t.select(F.explode(F.split(F.lower("p_name"), " ")).alias("name"))
+    pieces = words.select(F.explode(F.array(F.substring("name", 2, 4), F.substring("name", 2, 2), F.concat(F.substring("name", -2, 2), F.lit(" ")))).alias("name"))
+    names = words.unionByName(pieces).unionByName(t.select(F.lower("p_name").alias("name"))).distinct()
     places = t.groupBy(F.lower("p_name").alias("name")).agg(F.max("p_size").alias("population"))
     return gazetteer.containing(names, places).select("name", "candidate", "rank")
 
@@ -128,8 +130,9 @@ QUERIES = {
     ),
     "fuzzy_candidates": (
         fuzzy_candidates,
-        """WITH w AS (SELECT lower(p_name) AS p, max(p_size) AS size FROM {part} GROUP BY 1), u AS (SELECT p, size, unnest(list_distinct(string_split(p, ' '))) AS name FROM w)
-           SELECT name, p AS candidate, cast(row_number() OVER (PARTITION BY name ORDER BY size DESC, p) AS INT) AS rank FROM u WHERE name NOT IN (SELECT p FROM w) QUALIFY row_number() OVER (PARTITION BY name ORDER BY size DESC, p) <= 10""",
+        """WITH w AS (SELECT lower(p_name) AS p, max(p_size) AS size FROM {part} GROUP BY 1), u AS (SELECT DISTINCT unnest(string_split(p, ' ')) AS x FROM w),
+           q AS (SELECT x AS name FROM u UNION SELECT substr(x, 2, 4) FROM u UNION SELECT substr(x, 2, 2) FROM u UNION SELECT right(x, 2) || ' ' FROM u)
+           SELECT name, p AS candidate, cast(row_number() OVER (PARTITION BY name ORDER BY size DESC, p) AS INT) AS rank FROM q JOIN w ON contains(p, name) WHERE name <> '' AND name NOT IN (SELECT p FROM w) QUALIFY row_number() OVER (PARTITION BY name ORDER BY size DESC, p) <= 10""",
     ),
     "city_features": (
         city_features,

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maploom.functions import kernels
-from maploom.operators import georeference
+from maploom.operators import georeference, polygons
 
 RINGS = "k long, ring array<struct<x: double, y: double>>"
 
@@ -38,9 +38,11 @@ def test_rings_that_would_cross_keep_their_place(spark):
 def test_land_that_is_not_convex(spark):
     land = spark.createDataFrame([(1, _closed((0.0, 0.0), (200.0, 0.0), (200.0, 10.0), (0.0, 10.0))), (2, _closed((0.0, 10.0), (10.0, 10.0), (10.0, 200.0), (0.0, 200.0)))], RINGS.replace("k ", "part_id "))
     shapes = spark.createDataFrame([(1, _closed((0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0))), (2, _closed((20.0, 20.0), (90.0, 20.0), (90.0, 90.0))), (3, _closed((5.0, 20.0), (15.0, 20.0), (15.0, 30.0), (5.0, 30.0)))], RINGS)
-    rows = {r.k: r for r in georeference.clipped_to_land(shapes, land, "k").collect()}
+    as_polygons = lambda rows: rows.withColumn("polygons", polygons.polygon(F.col("ring")))
+    rows = {r.k: r for r in polygons.clipped_to_land(as_polygons(shapes), as_polygons(land), "k").collect()}
     assert set(rows) == {1, 3}
-    assert rows[1].land_share == pytest.approx(0.19) and len(rows[1].parts) == 2
+    # both pieces of land and their tiles, put together without seams
+    assert rows[1].land_share == pytest.approx(0.19) and len(rows[1].polygons) == 1
     assert rows[3].land_share == pytest.approx(0.5)
 
 
