@@ -27,16 +27,76 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(half(order)[:-1] + half(order[::-1])[:-1])
 
 
-def least_rectangle(points: np.ndarray) -> float:
-    """The area of the least rectangle around points; one of its sides lies along the hull."""
+def least_rectangle_corners(points: np.ndarray) -> np.ndarray:
+    """The corners, counter-clockwise, of the least rectangle around points; one of its sides lies along their hull.
+
+    Of equal ones the first along the hull. Points in one line have none.
+    """
     ring = hull(points)
     if len(ring) < 3:
-        return 0.0
+        return np.zeros((0, 2))
     side = np.roll(ring, -1, axis=0) - ring
     along = side / np.linalg.norm(side, axis=1)[:, None]
     across = np.stack([-along[:, 1], along[:, 0]], axis=1)
-    spread = lambda d: np.ptp(ring @ d.T, axis=0)
-    return float((spread(along) * spread(across)).min())
+    u, v = ring @ along.T, ring @ across.T
+    k = int(np.argmin(np.round(np.ptp(u, axis=0) * np.ptp(v, axis=0), 9)))
+    ends = [(u[:, k].min(), v[:, k].min()), (u[:, k].max(), v[:, k].min()), (u[:, k].max(), v[:, k].max()), (u[:, k].min(), v[:, k].max())]
+    return np.array([p * along[k] + q * across[k] for p, q in ends])
+
+
+def least_rectangle(points: np.ndarray) -> float:
+    """The area of the least rectangle around points."""
+    corners = least_rectangle_corners(points)
+    return abs(area(corners)) if len(corners) else 0.0
+
+
+def least_circle(points: np.ndarray) -> tuple[float, float, float]:
+    """Centre and radius of the least circle around points (Welzl, one point at a time, over the hull)."""
+    ring = hull(points)
+    if len(ring) < 3:
+        middle = (ring[0] + ring[-1]) / 2
+        return float(middle[0]), float(middle[1]), float(np.linalg.norm(ring[0] - middle))
+    ring = ring[np.random.default_rng(0).permutation(len(ring))]
+
+    def over(*ps: np.ndarray) -> tuple[np.ndarray, float]:
+        if len(ps) == 2:
+            return (ps[0] + ps[1]) / 2, float(np.linalg.norm(ps[0] - ps[1]) / 2)
+        b, c = ps[1] - ps[0], ps[2] - ps[0]
+        d = 2 * (b[0] * c[1] - b[1] * c[0])
+        if d == 0:
+            p, q = max(((x, y) for x in ps for y in ps), key=lambda e: np.linalg.norm(e[0] - e[1]))
+            return over(p, q)
+        off = np.array([c[1] * (b @ b) - b[1] * (c @ c), b[0] * (c @ c) - c[0] * (b @ b)]) / d
+        return ps[0] + off, float(np.linalg.norm(off))
+
+    def outside(p: np.ndarray, circle: tuple[np.ndarray, float]) -> bool:
+        return np.linalg.norm(p - circle[0]) > circle[1] * (1 + 1e-12) + 1e-12
+
+    found = over(ring[0], ring[1])
+    for i in range(2, len(ring)):
+        if outside(ring[i], found):
+            found = over(ring[0], ring[i])
+            for j in range(1, i):
+                if outside(ring[j], found):
+                    found = over(ring[j], ring[i])
+                    for k in range(j):
+                        if outside(ring[k], found):
+                            found = over(ring[k], ring[j], ring[i])
+    return float(found[0][0]), float(found[0][1]), found[1]
+
+
+def simplified_ring(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """A ring within tolerance of the given one: both halves between its first two mutually farthest points, simplified."""
+    if len(ring) < 4:
+        return ring
+    a = int(np.argmax(np.linalg.norm(ring - ring[0], axis=1)))
+    b = int(np.argmax(np.linalg.norm(ring - ring[a], axis=1)))
+    a, b = min(a, b), max(a, b)
+    if a == b:
+        return ring[:1]
+    forth = simplified(ring[a : b + 1], tolerance)
+    back = simplified(np.concatenate([ring[b:], ring[: a + 1]]), tolerance)
+    return np.concatenate([forth[:-1], back[:-1]])
 
 
 def simplified(line: np.ndarray, tolerance: float) -> np.ndarray:

@@ -22,7 +22,7 @@ _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 _POLYGON = pa.struct([("shell", pa.list_(_POINT)), ("holes", pa.list_(pa.list_(_POINT)))])
 
 
-def _rings(lists: pa.ListArray) -> list[np.ndarray]:
+def rings_of(lists: pa.ListArray) -> list[np.ndarray]:
     """Each closed ring without its last point."""
     points, ends = lists.values, lists.offsets.to_numpy()
     flat = np.column_stack([points.field("x").to_numpy(zero_copy_only=False), points.field("y").to_numpy(zero_copy_only=False)])
@@ -34,7 +34,7 @@ def decoded(column: pa.Array) -> list[list[overlay.Polygon] | None]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     parts, ends = column.values, column.offsets.to_numpy()
     holes = parts.field("holes")
-    shells, inner, places = _rings(parts.field("shell")), _rings(holes.values), holes.offsets.to_numpy().tolist()
+    shells, inner, places = rings_of(parts.field("shell")), rings_of(holes.values), holes.offsets.to_numpy().tolist()
     polygons = [(s, inner[a:b]) for s, a, b in zip(shells, places, places[1:], strict=False)]
     return [polygons[a:b] if ok else None for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), column.is_valid().to_pylist(), strict=True)]
 
@@ -55,13 +55,13 @@ def encoded(geometries: list[list[overlay.Polygon] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts, mask=mask)
 
 
-def _kernel(kind: T.DataType):
+def kernel(kind: T.DataType):
     """An Arrow function of this type that Spark neither repeats nor moves into filters: to it, each call may differ."""
     return lambda run: F.arrow_udf(run, kind).asNondeterministic()
 
 
 def _both(operation):
-    @_kernel(POLYGONS)
+    @kernel(POLYGONS)
     def run(one: pa.Array, two: pa.Array) -> pa.Array:
         return encoded([None if a is None or b is None else operation(a, b) for a, b in zip(decoded(one), decoded(two), strict=True)])
 
@@ -71,7 +71,7 @@ def _both(operation):
 _intersection, _difference, _union = _both(overlay.intersection), _both(overlay.difference), _both(overlay.union)
 
 
-@_kernel(POLYGONS)
+@kernel(POLYGONS)
 def _repaired(polygons: pa.Array) -> pa.Array:
     return encoded([None if g is None else overlay.repaired(g) for g in decoded(polygons)])
 
@@ -88,12 +88,12 @@ def _mended(rows: DataFrame, column: str) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-@_kernel(T.BooleanType())
+@kernel(T.BooleanType())
 def _valid(polygons: pa.Array) -> pa.Array:
     return pa.array([None if g is None else overlay.is_valid(g) for g in decoded(polygons)], pa.bool_())
 
 
-@_kernel(T.DoubleType())
+@kernel(T.DoubleType())
 def _common_area(one: pa.Array, two: pa.Array) -> pa.Array:
     return pa.array([None if a is None or b is None else overlay.area(overlay.intersection(a, b)) for a, b in zip(decoded(one), decoded(two), strict=True)], pa.float64())
 
@@ -192,7 +192,7 @@ def tiled(rows: DataFrame, side: float) -> DataFrame:
     return dealt.withColumn("polygons", intersection(F.col("polygons"), cell)).where(F.size("polygons") > 0)
 
 
-@_kernel(POLYGONS)
+@kernel(POLYGONS)
 def _dissolved(lists: pa.Array) -> pa.Array:
     return encoded([None if g is None else overlay.union(g, []) for g in decoded(lists)])
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from maploom.functions import geometry
+from maploom.functions import geometry, kernels
 from maploom.operators import polygons
 from maploom.operators.scratch import written
 
@@ -23,22 +26,148 @@ def circle_points(x: Column, y: Column, radius: Column) -> Column:
     return geometry.closed(F.transform(F.sequence(F.lit(0), n - 1), lambda k: geometry.point(F.round(x + r * F.cos(turn(k)), 3), F.round(y + r * F.sin(turn(k)), 3))))
 
 
-def idealised(kind: Column, ring: Column) -> Column:
-    """A circle's ring of the same area, a rectangle's four corners along its box, other rings as they are; 3 decimals."""
-    centre, box = geometry.centroid(ring), geometry.box(ring)
-    corners = F.array(*(geometry.point(F.round(box[x], 3), F.round(box[y], 3)) for x, y in (("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y"), ("min_x", "min_y"))))
-    round_ = circle_points(centre["x"], centre["y"], F.sqrt(F.abs(geometry.signed_area(ring)) / F.pi()))
-    return F.when(kind == "Circle", round_).when(kind == "Rectangle", corners).otherwise(F.transform(ring, lambda p: geometry.point(F.round(p["x"], 3), F.round(p["y"], 3))))
+#: The outline of what is neither circle nor rectangle keeps within this share of its perimeter.
+APPROXIMATION = 0.001
+_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_MEASURES = pa.struct([*((c, pa.float64()) for c in ("area", "perimeter", "min_x", "min_y", "max_x", "max_y", "x", "y")), ("hull_area", pa.float64()), ("rect_area", pa.float64()), ("rect", pa.list_(_POINT)), ("circle", pa.struct([("x", pa.float64()), ("y", pa.float64()), ("r", pa.float64())])), ("outline", pa.list_(_POINT))])
+MEASURES = T.StructType(
+    [T.StructField(c, T.DoubleType()) for c in ("area", "perimeter", "min_x", "min_y", "max_x", "max_y", "x", "y", "hull_area", "rect_area")]
+    + [T.StructField("rect", polygons.RING)]
+    + [T.StructField("circle", T.StructType([T.StructField(c, T.DoubleType()) for c in "xyr"])), T.StructField("outline", polygons.RING)]
+)
+
+
+def _measures_of(ring: np.ndarray) -> dict:
+    points = lambda r: [{"x": x, "y": y} for x, y in r.tolist()]
+    hull, corners = kernels.hull(ring), kernels.least_rectangle_corners(ring)
+    x, y, r = kernels.least_circle(ring)
+    length = float(np.linalg.norm(np.roll(ring, -1, axis=0) - ring, axis=1).sum())
+    low, high = ring.min(axis=0), ring.max(axis=0)
+    d, e = ring - low, np.roll(ring - low, -1, axis=0)
+    cross = d[:, 0] * e[:, 1] - e[:, 0] * d[:, 1]
+    middle = low + (((d + e) * cross[:, None]).sum(axis=0) / (3 * cross.sum()) if cross.sum() else (high - low) / 2)
+    return {
+        "area": abs(float(cross.sum())) / 2, "perimeter": length, "min_x": low[0], "min_y": low[1], "max_x": high[0], "max_y": high[1], "x": middle[0], "y": middle[1],
+        "hull_area": abs(kernels.area(hull)) if len(hull) > 2 else 0.0, "rect_area": abs(kernels.area(corners)) if len(corners) else 0.0, "rect": points(corners),
+        "circle": {"x": x, "y": y, "r": r}, "outline": points(kernels.simplified_ring(ring, APPROXIMATION * length)),
+    }
+
+
+@polygons.kernel(MEASURES)
+def _measures(rings: pa.Array) -> pa.Array:
+    rings = rings.combine_chunks() if isinstance(rings, pa.ChunkedArray) else rings
+    return pa.array([_measures_of(r) if len(r) else None for r in polygons.rings_of(rings)], _MEASURES)
+
+
+def measures(ring: Column) -> Column:
+    """Of a closed ring: area, perimeter, its box (min_x, min_y, max_x, max_y), its centroid (x, y; the middle of the box of a
+    ring without area); hull_area; rect_area and rect, the least rectangle around it; circle, the least circle around it;
+    outline, its points without those within a thousandth of its perimeter. Null for empty rings."""
+    return _measures(ring)
+
+
+def described(shapes: DataFrame, ring: str = "ring") -> DataFrame:
+    """shapes with what is measured on their closed ring of pixels: area, perimeter, bounding_box, center, aspect_ratio,
+    extent, solidity, rect_score, num_vertices, and measures. Boxes count their last pixels in."""
+    c, m = F.col, lambda n: F.col(f"measures.{n}")
+    w, h = m("max_x") - m("min_x") + 1, m("max_y") - m("min_y") + 1
+    whole = lambda v: F.floor(v).cast("int")
+    rows = shapes.withColumn("measures", measures(c(ring)))
+    share = lambda a, b, n: F.round(F.when(b > 0, a / b).otherwise(0.0), n)
+    return rows.withColumns({
+        "area": m("area"), "perimeter": m("perimeter"),
+        "bounding_box": F.struct(whole(m("min_x")).alias("x"), whole(m("min_y")).alias("y"), whole(w).alias("width"), whole(h).alias("height")),
+        "center": F.struct(m("x").cast("int").alias("x"), m("y").cast("int").alias("y")),
+        "aspect_ratio": share(w, h, 2), "extent": share(m("area"), w * h, 3), "solidity": share(m("area"), m("hull_area"), 3),
+        "rect_score": share(m("area"), m("rect_area"), 3), "num_vertices": F.size("measures.outline"),
+    })
+
+
+def classified(shapes: DataFrame, circles: DataFrame, by: str, key: str, near: float = 15.0) -> DataFrame:
+    """Described shapes (by, key, area, perimeter, center, rect_score) with shape_type.
+
+    A circle is rounder than 0.85 and has a given circle (by, x, y) less than near pixels from its centre in both
+    directions; a rectangle fills more than 0.85 of the least rectangle around it; all else is unknown. Centres and
+    circles meet over cells of that size. key is unique within by.
+    """
+    c = F.col
+    cell = lambda v: F.floor(v / near).cast("long")
+    around = lambda v: F.explode(F.sequence(cell(v) - 1, cell(v) + 1))
+    spots = circles.select(by, c("x").alias("hx"), c("y").alias("hy")).withColumn("gx", around(c("hx"))).withColumn("gy", around(c("hy")))
+    centres = shapes.select(by, key, c("center.x").alias("cx"), c("center.y").alias("cy"))
+    met = centres.withColumns({"gx": cell(c("cx")), "gy": cell(c("cy"))}).join(spots, [by, "gx", "gy"])
+    confirmed = met.where((F.abs(c("hx") - c("cx")) < near) & (F.abs(c("hy") - c("cy")) < near)).select(by, key).distinct().withColumn("confirmed", F.lit(True))
+    round_ = F.when(c("perimeter") > 0, 4 * F.pi() * c("area") / (c("perimeter") * c("perimeter"))).otherwise(0.0)
+    kind = F.when((round_ > 0.85) & F.coalesce("confirmed", F.lit(False)), "Circle").when(c("rect_score") > 0.85, "Rectangle").otherwise("Shape unknown")
+    return shapes.join(confirmed, [by, key], "left").withColumn("shape_type", kind).drop("confirmed")
+
+
+def idealised(kind: Column, measured: Column) -> Column:
+    """The points (not closed) of a shape of this kind, of its measures: for a rectangle the corners of the least one
+    around it, for a circle points on the least circle around it, else its outline. 3 decimals."""
+    circle = measured["circle"]
+    round_ = lambda ring: F.transform(ring, lambda p: geometry.point(F.round(p["x"], 3), F.round(p["y"], 3)))
+    points = circle_points(circle["x"], circle["y"], circle["r"])
+    return F.when(kind == "Circle", F.slice(points, 1, F.size(points) - 1)).when(kind == "Rectangle", round_(measured["rect"])).otherwise(round_(measured["outline"]))
+
+
+def post_filtered(shapes: DataFrame, by: str, key: str, legend: Column | None = None, unknown: tuple[float, float] = (80.0, 3000.0), coverage: float = 0.9, overlap: float = 0.7, similar: float = 0.95) -> DataFrame:
+    """Described and classified shapes without unknown ones of an area beyond `unknown`, those whose centre lies in the
+    legend (a box of min_x, min_y, max_x, max_y, or null) and which fill `coverage` of it or more, and duplicates of
+    larger ones (deduplicated)."""
+    c = F.col
+    noise = (c("shape_type") == "Shape unknown") & ~c("area").between(*unknown)
+    rows = shapes.where(~noise)
+    if legend is not None:
+        size = (legend["max_x"] - legend["min_x"]) * (legend["max_y"] - legend["min_y"])
+        within = c("center.x").between(legend["min_x"], legend["max_x"]) & c("center.y").between(legend["min_y"], legend["max_y"])
+        sized = (legend["max_x"] > legend["min_x"]) & (legend["max_y"] > legend["min_y"])
+        rows = rows.where(~F.coalesce(sized & within & (c("area") / size >= coverage), F.lit(False)))
+    return deduplicated(rows, by, key, similar=similar, overlap=overlap)
+
+
+def synchronised(shapes: DataFrame) -> DataFrame:
+    """Shapes with shape_type and measures: their ideal points, ring (these points on whole pixels, halves to even) and all
+    that described says, measured on the ring again; num_vertices counts the points."""
+    c = F.col
+    whole = lambda p: geometry.point(F.rint(p["x"]), F.rint(p["y"]))
+    rows = shapes.withColumn("points", idealised(c("shape_type"), c("measures")))
+    again = rows.withColumn("ring", geometry.closed(F.transform("points", whole)))
+    return described(again.drop("measures")).withColumn("num_vertices", F.size("points"))
+
+
+def extracted(
+    outlines: DataFrame, circles: DataFrame, by: str, key: str, image_area: float, legend: Column | None = None, area: tuple[float, float] = (50.0, 5000.0), unknown: tuple[float, float] = (500.0, 4000.0), overlap: float = 0.6, similar: float = 0.6
+) -> DataFrame:
+    """From outlines (by, key, closed ring) of images of image_area pixels to shapes: of the right size, described,
+    classified by given circles (by, x, y), made ideal and measured again, filtered, with is_legend for those whose centre
+    lies in the legend box. Text is taken away before, as are the outlines found (filters, masks)."""
+    c = F.col
+    sized = area_filter(outlines.withColumns({"_area": F.abs(geometry.signed_area(c("ring"))), "_points": F.size("ring") - 1}), "_area", "_points", image_area, *area).drop("_area", "_points")
+    whole = written(synchronised(classified(described(sized), circles, by, key)))  # read three times by what follows
+    kept = post_filtered(whole, by, key, legend, unknown, overlap=overlap, similar=similar)
+    within = F.lit(False) if legend is None else c("center.x").between(legend["min_x"], legend["max_x"]) & c("center.y").between(legend["min_y"], legend["max_y"])
+    return kept.withColumn("is_legend", within)
 
 
-def properties(kind: Column, number: Column, area: Column, perimeter: Column, centre: Column, legend: Column) -> Column:
-    """What a shape's feature says of it."""
+def properties(number: Column, normalised: bool, colour: Column, colour_name: Column) -> Column:
+    """What the feature of a described and classified shape says of itself; colour is a struct of r, g, b."""
+    c = F.col
+    hex_ = F.concat(F.lit("#"), *(F.lower(F.lpad(F.hex(colour[v]), 2, "0")) for v in "rgb"))
     return F.struct(
-        F.concat_ws(" ", kind, number.cast("string")).alias("name"), kind.alias("shape_type"), F.round(area, 3).alias("area"), F.round(perimeter, 3).alias("perimeter"),
-        centre["x"].cast("int").alias("center_x"), centre["y"].cast("int").alias("center_y"), legend.alias("is_legend"), F.lit("shape").alias("map_element_type"),
+        number.alias("shape_id"), *(c(n) for n in ("area", "perimeter", "aspect_ratio", "solidity", "extent", "num_vertices")), colour.alias("color_rgb"), colour_name.alias("color_name"),
+        F.when(colour.isNotNull(), hex_).alias("color_hex"), F.lit(0.5).alias("opacity"), colour.alias("stroke_color"), F.lit(2).alias("stroke_width"), F.lit(1.0).alias("stroke_opacity"),
+        F.lit("shape").alias("mapElementType"), F.concat_ws(" ", F.coalesce(c("shape_type"), F.lit("Shape")), number.cast("string")).alias("name"), F.lit(normalised).alias("is_normalized"),
     )
 
 
+def feature(points: Column, props: Column) -> Column:
+    """A GeoJSON polygon of points, closed; null for fewer than three."""
+    ring = F.transform(geometry.closed(points), lambda p: F.array(p["x"], p["y"]))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    return F.when(F.size(points) >= 3, F.struct(F.lit("Feature").alias("type"), props.alias("properties"), shape.alias("geometry")))
+
+
 def deduplicated(shapes: DataFrame, by: str, key: str, ring: str = "ring", similar: float = 0.6, overlap: float = 0.6, side: float = 64.0) -> DataFrame:
     """Per group (by) the shapes that stay when, from the largest down, each goes that is like one that stayed.
 

@@ -135,26 +135,6 @@ def duplicate_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.deduplicated(_boxes(spark, sf_dir), "image", "p_partkey").select("image", "p_partkey")
 
 
-def ideal_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ideal rings and what is measured on them again."""
-    kind = F.element_at(F.array(F.lit("Circle"), F.lit("Rectangle"), F.lit("Shape unknown")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    rows = _boxes(spark, sf_dir).select("p_partkey", kind.alias("shape"), shapes.idealised(kind, F.col("ring")).alias("ring"))
-    return rows.select("p_partkey", "shape", (F.size("ring") - 1).alias("points"), F.round(F.abs(geometry.signed_area(F.col("ring"))), 1).alias("area"), F.round(geometry.perimeter(F.col("ring")), 1).alias("perimeter"))
-
-
-def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of the shapes in and outside a legend box, numbered from 1 in each."""
-    from pyspark.sql import Window
-
-    ring = F.col("ring")
-    rows = _boxes(spark, sf_dir).select("p_partkey", "image", ring, geometry.centroid(ring).alias("c"))
-    legend = F.col("c.x").between(400, 900) & F.col("c.y").between(300, 700)
-    rows = rows.withColumn("legend", legend)
-    number = F.row_number().over(Window.partitionBy("image", "legend").orderBy("p_partkey"))
-    props = shapes.properties(F.lit("Rectangle"), number, F.abs(geometry.signed_area(ring)), geometry.perimeter(ring), F.col("c"), F.col("legend"))
-    return rows.select("p_partkey", props.alias("p")).select("p_partkey", "p.name", "p.area", "p.perimeter", "p.center_x", "p.center_y", "p.is_legend")
-
-
 def raster_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices within bounds as pixels of a picture of 1024 by 768; others are left out."""
     f = view(spark, sf_dir, "v_features").where("x BETWEEN 100 AND 1500 AND y BETWEEN 200 AND 1800")
@@ -239,20 +219,6 @@ QUERIES = {
                   THEN f.kept ELSE list_append(f.kept, struct_pack(k := o.p_partkey, x := o.x, y := o.y, w := o.w, h := o.h)) END FROM f JOIN o ON o.image = f.image AND o.n = f.n + 1),
             l AS (SELECT image, kept FROM f QUALIFY n = max(n) OVER (PARTITION BY image)), u AS (SELECT image, unnest(kept) AS q FROM l) SELECT image, q.k AS p_partkey FROM u""",
     ),
-    "ideal_shapes": (
-        ideal_shapes,
-        f"""WITH {BOXES}, c AS (SELECT *, p_partkey % 3 AS kind, sqrt(w * h / pi()) AS r FROM b), n AS (SELECT *, least(360, greatest(32, ceil(2 * pi() * r / 3)))::INT AS n FROM c),
-            p AS (SELECT *, CASE WHEN kind = 0 THEN list_transform(range(0, n + 1), lambda k: round(x + w / 2 + r * cos(2 * pi() * (k % n) / n), 3)) ELSE [x, x + w, x + w, x, x] END AS xs,
-                  CASE WHEN kind = 0 THEN list_transform(range(0, n + 1), lambda k: round(y + h / 2 + r * sin(2 * pi() * (k % n) / n), 3)) ELSE [y, y, y + h, y + h, y] END AS ys FROM n)
-            SELECT p_partkey, CASE kind WHEN 0 THEN 'Circle' WHEN 1 THEN 'Rectangle' ELSE 'Shape unknown' END AS shape, cast(len(xs) - 1 AS INT) AS points,
-                   round(abs(list_sum(list_transform(range(1, len(xs)), lambda k: xs[k] * ys[k + 1] - xs[k + 1] * ys[k]))) / 2, 1) AS area,
-                   round(list_sum(list_transform(range(1, len(xs)), lambda k: sqrt(pow(xs[k + 1] - xs[k], 2) + pow(ys[k + 1] - ys[k], 2)))), 1) AS perimeter FROM p""",
-    ),
-    "shape_features": (
-        shape_features,
-        f"""WITH {BOXES}, l AS (SELECT *, x + w / 2 BETWEEN 400 AND 900 AND y + h / 2 BETWEEN 300 AND 700 AS is_legend FROM b)
-            SELECT p_partkey, 'Rectangle ' || row_number() OVER (PARTITION BY image, is_legend ORDER BY p_partkey) AS name, w * h AS area, 2 * (w + h) AS perimeter, cast(trunc(x + w / 2) AS INT) AS center_x, cast(trunc(y + h / 2) AS INT) AS center_y, is_legend FROM l""",
-    ),
     "raster_vertices": (
         raster_vertices,
         """SELECT cast(least(1023, greatest(0, trunc((x - 100) / 1400 * 1024))) AS INT) AS px, cast(least(767, greatest(0, trunc((1800 - y) / 1600 * 768))) AS INT) AS py, count(*) AS vertices FROM v_features WHERE x BETWEEN 100 AND 1500 AND y BETWEEN 200 AND 1800 GROUP BY ALL""",

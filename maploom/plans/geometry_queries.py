@@ -97,22 +97,6 @@ def shape_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shape_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Circles are given by suppliers; a round shape is a circle where one is near its centre."""
-    rows = _rings(spark, sf_dir).select("p_partkey", F.abs(geometry.signed_area(F.col("ring"))).alias("area"), geometry.perimeter(F.col("ring")).alias("p"), geometry.centroid(F.col("ring")).alias("c"), geometry.box(F.col("ring")).alias("box"))
-    s = tables(spark, sf_dir, ["supplier"])["supplier"]
-    spot = s.select(((F.col("s_suppkey") * 31) % 900).cast("double").alias("hx"), ((F.col("s_suppkey") * 17) % 700).cast("double").alias("hy"))
-    cell = lambda v: F.floor(v / 15).cast("long")
-    near = lambda v: F.explode(F.sequence(cell(v) - 1, cell(v) + 1))
-    spread = spot.select("hx", "hy", near(F.col("hx")).alias("gx")).select("hx", "hy", "gx", near(F.col("hy")).alias("gy"))
-    met = rows.withColumns({"gx": cell(F.col("c.x")), "gy": cell(F.col("c.y"))}).join(spread, ["gx", "gy"]).where((F.abs(F.col("hx") - F.col("c.x")) <= 15) & (F.abs(F.col("hy") - F.col("c.y")) <= 15))
-    marked = rows.join(met.select("p_partkey").distinct().withColumn("near", F.lit(True)), "p_partkey", "left")
-    roundness = 4 * F.pi() * F.col("area") / (F.col("p") * F.col("p"))
-    rect = F.col("area") / ((F.col("box.max_x") - F.col("box.min_x")) * (F.col("box.max_y") - F.col("box.min_y")))
-    kind = F.when((roundness > 0.85) & F.col("near"), "Circle").when(rect > 0.85, "Rectangle").otherwise("Shape unknown")
-    return marked.groupBy(kind.alias("shape")).agg(F.count(F.lit(1)).alias("shapes"), F.round(F.sum("area"), 3).alias("area"))
-
-
 def text_overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes of which no text box covers half of the box."""
     shapes = _rings(spark, sf_dir).select("p_partkey", geometry.box(F.col("ring")).alias("box"))
@@ -249,12 +233,6 @@ QUERIES = {
             SELECT p_partkey, round(area, 4) AS area, round(p, 4) AS perimeter, round((w + 1) / (h + 1), 2) AS aspect_ratio, round(area / ((w + 1) * (h + 1)), 3) AS extent,
                    cast(trunc(round(x + (w*h*w/2 - w*t/2*w*2/3) / area, 9)) AS INT) AS cx, cast(trunc(round(y + (w*h*h/2 - w*t/2*t/3) / area, 9)) AS INT) AS cy, round(area / 800000.0 + 1e-12, 6) AS relative_size FROM q""",
     ),
-    "shape_classify": (
-        shape_classify,
-        f"""WITH {RING}, q AS (SELECT *, {AREA} AS area, {EDGES} AS p, x + (w*h*w/2 - w*t/2*w*2/3) / {AREA} AS cx, y + (w*h*h/2 - w*t/2*t/3) / {AREA} AS cy FROM r),
-            k AS (SELECT area, CASE WHEN 4 * pi() * area / (p * p) > 0.85 AND EXISTS (SELECT 1 FROM {{supplier}} WHERE abs((s_suppkey * 31) % 900 - cx) <= 15 AND abs((s_suppkey * 17) % 700 - cy) <= 15) THEN 'Circle' WHEN area / (w * h) > 0.85 THEN 'Rectangle' ELSE 'Shape unknown' END AS shape FROM q)
-            SELECT shape, count(*) AS shapes, round(sum(area), 3) AS area FROM k GROUP BY shape""",
-    ),
     "text_overlap_filter": (
         text_overlap_filter,
         f"""WITH {RING}, s AS (SELECT ((s_suppkey * 53) % 900)::DOUBLE AS tx, ((s_suppkey * 29) % 700)::DOUBLE AS ty FROM {{supplier}})

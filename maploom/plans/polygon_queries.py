@@ -123,6 +123,67 @@ def georeferenced_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shape for each part, each in an image of its own: a box, a rectangle turned by the angle of 3 and 4, a polygon of
+    24 corners, or a right triangle."""
+    k = F.col(K)
+    x, y = (k * 37 % 900 + 100).cast("double"), (k * 53 % 700 + 100).cast("double")
+    w, h, a, b = (F.col("p_size") + 20).cast("double"), (k % 31 + 24).cast("double"), (F.col("p_size") % 10 + 5).cast("double"), (k % 7 + 4).cast("double")
+    turn = lambda n: 2 * F.pi() * n / 24
+    many = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda n: geometry.point(x + 0.5 + w * F.cos(turn(n)), y + 0.5 + w * F.sin(turn(n))))
+    turned = _ring((x, y), (x + 4 * a, y + 3 * a), (x + 4 * a - 3 * b, y + 3 * a + 4 * b), (x - 3 * b, y + 4 * b))
+    ring = F.when(k % 4 == 0, _box(x, y, w, h)).when(k % 4 == 1, turned).when(k % 4 == 2, many).otherwise(_ring((x, y), (x + w, y), (x, y + h)))
+    return tables(spark, sf_dir, ["part"])["part"].select(K, k.alias("image"), x.alias("x"), y.alias("y"), geometry.closed(ring).alias("ring"))
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the polygons of 24 corners every other one has a circle 15 pixels from its centre, which is too far; the others nearer."""
+    rows = shapes.described(_outlines(spark, sf_dir))
+    circles = _outlines(spark, sf_dir).select("image", (F.col("x") + F.when(F.col(K) % 8 == 2, 14).otherwise(15)).alias("x"), (F.col("y") - 14).alias("y"))
+    return shapes.classified(rows, circles, "image", K)
+
+
+def shape_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir).select(K, "shape_type", "rect_score", "num_vertices", F.col("center.x").alias("cx"), F.col("center.y").alias("cy"))
+
+
+def ideal_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ideal points and what is measured on them again."""
+    rows = _classified(spark, sf_dir).select(K, "shape_type", shapes.idealised(F.col("shape_type"), F.col("measures")).alias("points"))
+    again = shapes.described(rows.withColumn("ring", geometry.closed(F.col("points"))))
+    return again.select(K, "shape_type", F.size("points").alias("points"), F.round("area", 1).alias("area"), F.round("perimeter", 1).alias("perimeter"), "aspect_ratio", "solidity")
+
+
+def shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features in pixels of the shapes in and outside a legend box, numbered from 1 in each of twenty groups."""
+    from pyspark.sql import Window
+
+    c, k = F.col, F.col(K)
+    rows = _classified(spark, sf_dir).withColumn("legend", c("center.x").between(400, 900) & c("center.y").between(300, 700))
+    number = F.row_number().over(Window.partitionBy(k % 20, "legend").orderBy(K))
+    colour = F.struct((k % 256).alias("r"), (k % 7).alias("g"), (k % 11).alias("b"))
+    rows = rows.withColumn("number", number).withColumn("f", shapes.feature(shapes.idealised(c("shape_type"), c("measures")), shapes.properties(c("number"), False, colour, F.lit("Plain"))))
+    p = "f.properties."
+    kept = ["shape_id", "name", "num_vertices", "color_hex", "opacity", "stroke_width", "stroke_opacity", "mapElementType", "is_normalized"]
+    return rows.select(K, "legend", *(c(p + n) for n in kept), *(F.round(p + n, 3).alias(n) for n in ("area", "perimeter", "solidity")), F.size(c("f.geometry.coordinates")[0]).alias("corners"), (c("f.geometry.coordinates")[0][0] == F.element_at(c("f.geometry.coordinates")[0], -1)).alias("closed"))
+
+
+def extracted_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines to shapes, end to end: sized, classified, ideal, measured again, filtered, in or outside the legend."""
+    c = F.col
+    circles = _outlines(spark, sf_dir).select("image", (c("x") + F.when(c(K) % 8 == 2, 14).otherwise(15)).alias("x"), (c("y") - 14).alias("y"))
+    legend = F.struct(*(F.lit(v).alias(n) for n, v in (("min_x", 400.0), ("min_y", 300.0), ("max_x", 460.0), ("max_y", 340.0))))
+    found = shapes.extracted(_outlines(spark, sf_dir).drop("x", "y"), circles, "image", K, 1000.0 * 800.0, legend)
+    box = [c(f"bounding_box.{n}").alias(n) for n in ("x", "y", "width", "height")]
+    return found.select(K, "shape_type", "num_vertices", "is_legend", *box, F.round("area", 1).alias("area"), F.round("perimeter", 1).alias("perimeter"))
+
+
+#: The outlines with their areas, and perimeters, boxes, kinds, by formula.
+OUTLINES = f"""o AS (SELECT {K}, {K} % 4 AS kind, ({K} * 37 % 900 + 100)::DOUBLE AS x, ({K} * 53 % 700 + 100)::DOUBLE AS y, (p_size + 20)::DOUBLE AS w, ({K} % 31 + 24)::DOUBLE AS h, (p_size % 10 + 5)::DOUBLE AS a, ({K} % 7 + 4)::DOUBLE AS b FROM {{part}}),
+  m AS (SELECT *, CASE kind WHEN 0 THEN w * h WHEN 1 THEN 25 * a * b WHEN 2 THEN 12 * w * w * sin(pi() / 12) ELSE w * h / 2 END AS area, CASE kind WHEN 0 THEN 2 * (w + h) WHEN 1 THEN 10 * (a + b) WHEN 2 THEN 48 * w * sin(pi() / 24) ELSE w + h + sqrt(w * w + h * h) END AS perimeter,
+         CASE kind WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 2 THEN 24 ELSE 3 END::INT AS corners, CASE kind WHEN 0 THEN x + w / 2 WHEN 1 THEN x + (4 * a - 3 * b) / 2 WHEN 2 THEN x + 0.5 ELSE x + w / 3 END AS gx, CASE kind WHEN 0 THEN y + h / 2 WHEN 1 THEN y + (3 * a + 4 * b) / 2 WHEN 2 THEN y + 0.5 ELSE y + h / 3 END AS gy FROM o),
+  t AS (SELECT *, CASE WHEN kind = 2 AND {K} % 8 = 2 THEN 'Circle' WHEN kind < 2 THEN 'Rectangle' ELSE 'Shape unknown' END AS shape_type, CASE kind WHEN 2 THEN round(3 * sin(pi() / 12) / pow(cos(pi() / 24), 2), 3) WHEN 3 THEN 0.5 ELSE 1 END AS rect_score, cast(trunc(round(gx, 9)) AS INT) AS cx, cast(trunc(round(gy, 9)) AS INT) AS cy FROM m)"""
+
 QUERIES = {
     "cut_results": (
         cut_results,
@@ -161,4 +222,37 @@ QUERIES = {
                    round(degrees(2 * atan(exp(bottom / 6378137.0::DOUBLE)) - pi() / 2), 7) AS south, round(degrees(2 * atan(exp(top / 6378137.0::DOUBLE)) - pi() / 2), 7) AS north,
                    CASE WHEN c[1] < c[3] AND c[3] < c[4] AND c[4] < c[2] AND c[3] > 200000 THEN 1 ELSE 0 END AS holes, 'EPSG:4326' AS crs FROM o""",
     ),
+    "shape_classify": (shape_classify, f"WITH {OUTLINES} SELECT {K}, shape_type, rect_score, corners AS num_vertices, cx, cy FROM t"),
+    "ideal_shapes": (
+        ideal_shapes,
+        f"""WITH {OUTLINES}, n AS (SELECT *, least(360, greatest(32, ceil(2 * pi() * w / 3)))::INT AS n FROM t),
+            p AS (SELECT *, CASE WHEN shape_type = 'Circle' THEN list_transform(range(0, n + 1), lambda k: round(gx + w * cos(2 * pi() * (k % n) / n), 3)) WHEN kind = 2 THEN list_transform(range(0, 25), lambda k: round(gx + w * cos(2 * pi() * (k % 24) / 24), 3))
+                    WHEN kind = 0 THEN [x, x + w, x + w, x, x] WHEN kind = 1 THEN [x, x + 4 * a, x + 4 * a - 3 * b, x - 3 * b, x] ELSE [x, x + w, x, x] END AS xs,
+                  CASE WHEN shape_type = 'Circle' THEN list_transform(range(0, n + 1), lambda k: round(gy + w * sin(2 * pi() * (k % n) / n), 3)) WHEN kind = 2 THEN list_transform(range(0, 25), lambda k: round(gy + w * sin(2 * pi() * (k % 24) / 24), 3))
+                    WHEN kind = 0 THEN [y, y, y + h, y + h, y] WHEN kind = 1 THEN [y, y + 3 * a, y + 3 * a + 4 * b, y + 4 * b, y] ELSE [y, y, y + h, y] END AS ys FROM n)
+            SELECT {K}, shape_type, cast(len(xs) - 1 AS INT) AS points, round(abs(list_sum(list_transform(range(1, len(xs)), lambda k: xs[k] * ys[k + 1] - xs[k + 1] * ys[k]))) / 2, 1) AS area,
+                   round(list_sum(list_transform(range(1, len(xs)), lambda k: sqrt(pow(xs[k + 1] - xs[k], 2) + pow(ys[k + 1] - ys[k], 2)))), 1) AS perimeter,
+                   round((list_max(xs) - list_min(xs) + 1) / (list_max(ys) - list_min(ys) + 1), 2) AS aspect_ratio, 1.0::DOUBLE AS solidity FROM p""",
+    ),
+    "shape_features": (
+        shape_features,
+        f"""WITH {OUTLINES}, l AS (SELECT *, cx BETWEEN 400 AND 900 AND cy BETWEEN 300 AND 700 AS legend FROM t), n AS (SELECT *, row_number() OVER (PARTITION BY {K} % 20, legend ORDER BY {K}) AS shape_id FROM l),
+            c AS (SELECT *, CASE WHEN shape_type = 'Circle' THEN least(360, greatest(32, ceil(2 * pi() * w / 3)))::INT ELSE corners END AS ideal FROM n)
+            SELECT {K}, legend, shape_id, shape_type || ' ' || shape_id AS name, corners AS num_vertices, printf('#%02x%02x%02x', {K} % 256, {K} % 7, {K} % 11) AS color_hex, 0.5::DOUBLE AS opacity, 2 AS stroke_width, 1.0::DOUBLE AS stroke_opacity, 'shape' AS mapElementType, false AS is_normalized,
+                   round(area, 3) AS area, round(perimeter, 3) AS perimeter, 1.0::DOUBLE AS solidity, cast(ideal + 1 AS INT) AS corners, true AS closed FROM c""",
+    ),
+    "extracted_shapes": (
+        extracted_shapes,
+        f"""WITH {OUTLINES}, n AS (SELECT *, least(360, greatest(32, ceil(2 * pi() * w / 3)))::INT AS n FROM t WHERE area BETWEEN 50 AND 5000),
+            p AS (SELECT *, CASE WHEN shape_type = 'Circle' THEN list_transform(range(0, n + 1), lambda k: round_even(round(gx + w * cos(2 * pi() * (k % n) / n), 3), 0)) WHEN kind = 2 THEN list_transform(range(0, 25), lambda k: round_even(round(gx + w * cos(2 * pi() * (k % 24) / 24), 3), 0))
+                    WHEN kind = 0 THEN [x, x + w, x + w, x, x] WHEN kind = 1 THEN [x, x + 4 * a, x + 4 * a - 3 * b, x - 3 * b, x] ELSE [x, x + w, x, x] END AS xs,
+                  CASE WHEN shape_type = 'Circle' THEN list_transform(range(0, n + 1), lambda k: round_even(round(gy + w * sin(2 * pi() * (k % n) / n), 3), 0)) WHEN kind = 2 THEN list_transform(range(0, 25), lambda k: round_even(round(gy + w * sin(2 * pi() * (k % 24) / 24), 3), 0))
+                    WHEN kind = 0 THEN [y, y, y + h, y + h, y] WHEN kind = 1 THEN [y, y + 3 * a, y + 3 * a + 4 * b, y + 4 * b, y] ELSE [y, y, y + h, y] END AS ys FROM n),
+            e AS (SELECT {K}, shape_type, kind, gx, gy, cast(len(xs) - 1 AS INT) AS num_vertices, cast(list_min(xs) AS INT) AS x, cast(list_min(ys) AS INT) AS y, cast(list_max(xs) - list_min(xs) + 1 AS INT) AS width, cast(list_max(ys) - list_min(ys) + 1 AS INT) AS height,
+                    list_sum(list_transform(range(1, len(xs)), lambda k: (xs[k] - xs[1]) * (ys[k + 1] - ys[1]) - (xs[k + 1] - xs[1]) * (ys[k] - ys[1]))) / 2 AS area, list_sum(list_transform(range(1, len(xs)), lambda k: sqrt(pow(xs[k + 1] - xs[k], 2) + pow(ys[k + 1] - ys[k], 2)))) AS perimeter,
+                    list_sum(list_transform(range(1, len(xs)), lambda k: (xs[k] + xs[k + 1]) * (xs[k] * ys[k + 1] - xs[k + 1] * ys[k]))) AS mx, list_sum(list_transform(range(1, len(xs)), lambda k: (ys[k] + ys[k + 1]) * (xs[k] * ys[k + 1] - xs[k + 1] * ys[k]))) AS my FROM p),
+            l AS (SELECT *, trunc(round(mx / (6 * area), 9)) BETWEEN 400 AND 460 AND trunc(round(my / (6 * area), 9)) BETWEEN 300 AND 340 AS is_legend FROM e)
+            SELECT {K}, shape_type, num_vertices, is_legend, x, y, width, height, round(area, 1) AS area, round(perimeter, 1) AS perimeter FROM l
+            WHERE NOT (shape_type = 'Shape unknown' AND area NOT BETWEEN 500 AND 4000) AND NOT (is_legend AND area / 2400 >= 0.9)""",
+    ),
 }
