@@ -176,28 +176,63 @@ def _shifted(mask: np.ndarray, radius: int, outside: bool, combine) -> np.ndarra
     return combine.reduce([padded[radius + y : radius + y + h, radius + x : radius + x + w] for y, x in disk(radius)])
 
 
+def shrunk(mask: np.ndarray, radius: int) -> np.ndarray:
+    """Where the disk lies within mask; what is beyond the array counts as set."""
+    return _shifted(mask, radius, True, np.logical_and)
+
+
+def grown(mask: np.ndarray, radius: int) -> np.ndarray:
+    """Where the disk touches mask; what is beyond the array counts as not set."""
+    return _shifted(mask, radius, False, np.logical_or)
+
+
 def opened(mask: np.ndarray, radius: int) -> np.ndarray:
-    return _shifted(_shifted(mask, radius, True, np.logical_and), radius, False, np.logical_or)
+    return grown(shrunk(mask, radius), radius)
 
 
 def closed(mask: np.ndarray, radius: int) -> np.ndarray:
-    return _shifted(_shifted(mask, radius, False, np.logical_or), radius, True, np.logical_and)
+    return shrunk(grown(mask, radius), radius)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n things the least that each is joined to by pairs a, b."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        if (ra == rb).all():
+            return root
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def labelled(mask: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for the sets of set pixels that paths of side neighbours join, in reading order; -1 elsewhere.
+
+    Runs of a row are joined to those of the next that they lie beside, all rows at once.
+    """
+    h, w = mask.shape
+    flat = np.zeros((h, w + 1), bool)
+    flat[:, :w] = mask
+    change = np.diff(flat.ravel().astype(np.int8), prepend=0)
+    start, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    # runs of the next row that begin before a run's end and end behind its start
+    first, last = np.searchsorted(end, start + w + 1, side="right"), np.searchsorted(start, end + w + 1, side="left")
+    n = np.maximum(last - first, 0)
+    above = np.repeat(np.arange(len(start)), n)
+    below = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    _, number = np.unique(roots(len(start), above, below), return_inverse=True)
+    out = np.full(h * (w + 1), -1, np.int64)
+    size = end - start
+    out[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = np.repeat(number, size)
+    return out.reshape(h, w + 1)[:, :w]
 
 
 def filled(mask: np.ndarray) -> np.ndarray:
     """mask with the holes that no path of side neighbours joins to the border."""
-    outside = np.zeros_like(mask)
-    outside[0], outside[-1], outside[:, 0], outside[:, -1] = ~mask[0], ~mask[-1], ~mask[:, 0], ~mask[:, -1]
-    while True:
-        grown = outside.copy()
-        grown[1:] |= outside[:-1]
-        grown[:-1] |= outside[1:]
-        grown[:, 1:] |= outside[:, :-1]
-        grown[:, :-1] |= outside[:, 1:]
-        grown &= ~mask
-        if (grown == outside).all():
-            return ~outside
-        outside = grown
+    parts = labelled(~mask)
+    outside = np.unique(np.concatenate([parts[0], parts[-1], parts[:, 0], parts[:, -1]]))
+    return ~np.isin(parts, outside[outside >= 0])
 
 
 #: Steps of an outline through a square of four pixels, whose set corners add up to the key (top left 1, top

@@ -47,9 +47,10 @@ def dominant_bin(pixels: DataFrame, *by: str) -> DataFrame:
     return best.select(*by, middle(F.floor(F.col("bin") / 64)).alias("r"), middle(F.floor(F.col("bin") / 8) % 8).alias("g"), middle(F.col("bin") % 8).alias("b"))
 
 
-def stretched(pixels: DataFrame, *by: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Channels scaled by exact percentiles of their group; distinct values are counted first, 256 at most."""
-    long = pixels.select(*by, F.posexplode(F.array(*CHANNELS)).alias("channel", "v")).groupBy(*by, "channel", "v").agg(F.count(F.lit(1)).alias("n"))
+def stretched(pixels: DataFrame, *by: str, low: float = 0.01, high: float = 0.99, known: DataFrame | None = None) -> DataFrame:
+    """Channels scaled by exact percentiles of their group, of the pixels in known if it is given; distinct values are counted
+    first, 256 at most. Groups without a known pixel are left out."""
+    long = (pixels if known is None else known).select(*by, F.posexplode(F.array(*CHANNELS)).alias("channel", "v")).groupBy(*by, "channel", "v").agg(F.count(F.lit(1)).alias("n"))
     ends = long.groupBy(*by, "channel").agg(F.percentile("v", F.array(F.lit(low), F.lit(high)), F.col("n")).alias("p"))
     wide = ends.groupBy(*by).agg(*(F.max(F.when(F.col("channel") == k, F.col("p"))).alias(f"_{c}") for k, c in enumerate(CHANNELS)))
     scaled = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) - F.col(f"_{c}")[0]) / (F.col(f"_{c}")[1] - F.col(f"_{c}")[0] + 1e-8)))

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maploom.functions import kernels
+from maploom.functions import colour, kernels
+from maploom.operators.scratch import written
 
 SIDE = 256
 
@@ -93,3 +94,70 @@ def flat_field(pixels: DataFrame, by: str, channels: tuple[str, str, str] = ("r"
     most = flat.groupBy(by).agg(F.max(F.greatest(*channels)).alias("_most"))
     level = F.when(F.col("_most") > 1e-8, F.col("_most")).otherwise(1.0)
     return flat.join(most, by).select(by, "x", "y", *(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / level)).alias(c) for c in channels))
+
+
+def _clipped(counts: Column, limit: Column) -> Column:
+    """A histogram (array) with what exceeds limit dealt back to all bins alike, as OpenCV deals it: an equal share to each,
+    and what is left one by one to every so many-th bin."""
+    bins = F.size(counts)
+    over = F.aggregate(counts, F.lit(0).cast("long"), lambda n, c: n + F.greatest(F.lit(0).cast("long"), c - limit))
+    share, rest = F.floor(over / bins), F.pmod(over, bins.cast("long"))
+    step = F.greatest(F.lit(1).cast("long"), F.floor(bins / F.greatest(rest, F.lit(1).cast("long"))))
+    # bins 0, step, 2 step and so on get one more, until nothing is left
+    more = lambda k: F.when((F.pmod(k.cast("long"), step) == 0) & (F.floor(k / step) < rest), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.transform(counts, lambda c, k: F.least(c, limit) + share + more(k))
+
+
+def equalised(pixels: DataFrame, by: str, grey: str = "grey", clip: float = 2.0, tiles: tuple[int, int] = (64, 64)) -> DataFrame:
+    """by, x, y and grey as bytes, equalised by contrast-limited histograms of tiles (columns, rows of them) of each image.
+
+    Images have all their pixels. Where a side is no multiple of its tiles the image goes on mirrored, its edge not
+    repeated, until it is. A tile's histogram has no bin above clip times the mean one (1 at least); what exceeds it is
+    dealt back. A pixel takes its grey through the cumulated histograms of the four nearest tiles, by its distances from
+    their middles. Histograms are rows, and so are the maps: a tile and a grey value each.
+    """
+    c = F.col
+    sizes = pixels.groupBy(by).agg((F.max("x") + 1).cast("long").alias("_w"), (F.max("y") + 1).cast("long").alias("_h"))
+    # both sides are extended if one must be, each then by a whole number of pixels a tile
+    even = (c("_w") % tiles[0] == 0) & (c("_h") % tiles[1] == 0)
+    wide = lambda n, k: F.when(even, c(n)).otherwise(c(n) + k - c(n) % k)
+    sizes = sizes.withColumns({"_tw": (wide("_w", tiles[0]) / tiles[0]).cast("long"), "_th": (wide("_h", tiles[1]) / tiles[1]).cast("long")})
+    rows = pixels.select(by, c("x").cast("long").alias("x"), c("y").cast("long").alias("y"), c(grey).cast("int").alias("_v")).join(sizes, by)
+    # the places at which a pixel stands, once as itself and once mirrored at the far edge
+    places = lambda d, n, t, k: F.filter(F.array(c(d), 2 * (c(n) - 1) - c(d)), lambda p: (p == c(d)) | ((p >= c(n)) & (p < c(t) * k)))
+    spread = rows.withColumn("_x", F.explode(F.array_distinct(places("x", "_w", "_tw", tiles[0])))).withColumn("_y", F.explode(F.array_distinct(places("y", "_h", "_th", tiles[1]))))
+    counted = spread.groupBy(by, F.floor(c("_x") / c("_tw")).alias("_tx"), F.floor(c("_y") / c("_th")).alias("_ty"), "_v").agg(F.count(F.lit(1)).alias("n"), F.first(c("_tw") * c("_th")).alias("_area"))
+    listed = counted.groupBy(by, "_tx", "_ty").agg(F.map_from_entries(F.collect_list(F.struct("_v", "n"))).alias("_n"), F.first("_area").alias("_area"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.coalesce(F.try_element_at("_n", v), F.lit(0).cast("long")))
+    limit = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(float(clip)) * c("_area") / 256).cast("long"))
+    level = _clipped(full, limit) if clip > 0 else full
+    maps = listed.withColumn("_level", level)
+    summed = F.aggregate("_level", F.array().cast("array<long>"), lambda acc, n: F.array_append(acc, n + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long"))))
+    maps = maps.select(by, c("_tx").alias("_kx"), c("_ty").alias("_ky"), F.posexplode(F.transform(summed, lambda n: F.least(F.lit(255.0), F.rint(n * 255.0 / c("_area"))))).alias("_v", "_to"))
+    # a pixel's four tiles and their shares
+    at = lambda d, t: c(d) / c(t) - 0.5
+    ends = lambda d, t, k: F.array(
+        F.struct(F.greatest(F.lit(0).cast("long"), F.floor(at(d, t))).alias("k"), (1 - (at(d, t) - F.floor(at(d, t)))).alias("s")),
+        F.struct(F.least(F.lit(k - 1).cast("long"), F.floor(at(d, t)) + 1).alias("k"), (at(d, t) - F.floor(at(d, t))).alias("s")),
+    )
+    four = rows.withColumn("_i", F.explode(ends("x", "_tw", tiles[0]))).withColumn("_j", F.explode(ends("y", "_th", tiles[1])))
+    asked = four.select(by, "x", "y", "_v", c("_i.k").alias("_kx"), c("_j.k").alias("_ky"), (c("_i.s") * c("_j.s")).alias("_s"))
+    found = asked.join(maps, [by, "_kx", "_ky", "_v"]).groupBy(by, "x", "y").agg(F.sum(c("_to") * c("_s")).alias("_sum"))
+    return found.select(by, "x", "y", F.least(F.lit(255), F.rint(F.round("_sum", 6)).cast("int")).alias(grey))
+
+
+def min_max(pixels: DataFrame, by: str, grey: str = "grey") -> DataFrame:
+    """by, x, y and grey stretched to all bytes; images of one level become 0."""
+    ends = pixels.groupBy(by).agg(F.min(grey).alias("_low"), F.max(grey).alias("_high"))
+    spread = F.col("_high") - F.col("_low")
+    value = F.when(spread > 0, F.rint(F.round((F.col(grey) - F.col("_low")) * 255.0 / spread, 6))).otherwise(0).cast("int")
+    return pixels.join(ends, by).select(by, "x", "y", value.alias(grey))
+
+
+def contour_mask(pixels: DataFrame, by: str, channels: tuple[str, str, str] = ("r", "g", "b"), tiles: tuple[int, int] = (64, 64), threshold: int = 127) -> DataFrame:
+    """by, x, y, set: what outlines are drawn around, of pixels (by, x, y, byte channels). The image is smoothed, its lightness
+    stretched to all bytes, equalised and binarised; each step is a table that the next reads."""
+    smooth = written(denoised(pixels, by, list(channels)))
+    light = smooth.withColumn("lab", colour.lab(*map(F.col, channels))).select(by, "x", "y", F.rint(F.round(F.col("lab.L") * 2.55, 6)).cast("int").alias("grey"))
+    even = written(equalised(written(min_max(light, by)), by, tiles=tiles))
+    return binarised(even, by, threshold=threshold)
