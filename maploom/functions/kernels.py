@@ -294,3 +294,26 @@ def bilateral(values: np.ndarray, radius: int, alike: float, near: float, disk_o
             one = np.exp(-(y * y + x * x) / (2 * near * near) - distance(other - middle) ** 2 / (2 * alike * alike))[:, :, None]
             total, weight = total + one * other, weight + one
     return total / weight
+
+
+def spans(ring: np.ndarray) -> np.ndarray:
+    """Rows (y, first, last) of the whole places in a ring or on it, by crossings of each line of pixels."""
+    a, b = ring, np.roll(ring, -1, axis=0)
+    found = []
+    for y in range(int(np.ceil(ring[:, 1].min())), int(np.floor(ring[:, 1].max())) + 1):
+        lines = []
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
+        # with the upper and with the lower end of sides left out, and sides along the line
+        for hit in ((a[:, 1] <= y) != (b[:, 1] <= y), (a[:, 1] < y) != (b[:, 1] < y)):
+            at = np.sort(x[hit])
+            lines += zip(at[::2].tolist(), at[1::2].tolist(), strict=True)
+        flat = (a[:, 1] == y) & (b[:, 1] == y)
+        lines += zip(np.minimum(a, b)[flat, 0].tolist(), np.maximum(a, b)[flat, 0].tolist(), strict=True)
+        lines += [(v, v) for v in ring[ring[:, 1] == y, 0].tolist()]
+        end = -np.inf
+        for first, last in sorted((int(np.ceil(p - 1e-9)), int(np.floor(q + 1e-9))) for p, q in lines):
+            if max(first, end + 1) <= last:
+                found.append((y, int(max(first, end + 1)), last))
+            end = max(end, last)
+    return np.array(found, np.int64).reshape(-1, 3)

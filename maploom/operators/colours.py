@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from maploom.functions import kernels
 from maploom.functions.colour import bin_of, lab, with_ciede2000
+from maploom.operators import polygons
 
 CHANNELS = ("r", "g", "b")
 #: CIEDE2000 differences up to which a pixel belongs to a layer, and to the paper.
@@ -39,6 +44,33 @@ def sampled(pixels: DataFrame, clicks: DataFrame, side: int = 64) -> DataFrame:
     return found.withColumn("hex", F.concat(F.lit("#"), *(F.lower(F.lpad(F.hex(v), 2, "0")) for v in CHANNELS)))
 
 
+_SPANS = pa.list_(pa.struct([(c, pa.int64()) for c in ("y", "first", "last")]))
+
+
+@polygons.kernel(T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("y", "first", "last")])))
+def _spans(rings: pa.Array) -> pa.Array:
+    rows = [None if r is None else kernels.spans(np.trunc([(p["x"], p["y"]) for p in r])) if r else np.zeros((0, 3), np.int64) for r in rings.to_pylist()]
+    return pa.array([None if s is None else [dict(zip(("y", "first", "last"), v, strict=True)) for v in s.tolist()] for s in rows], _SPANS)
+
+
+def of_legends(pixels: DataFrame, legends: DataFrame, by: str, key: str) -> DataFrame:
+    """by, key, r, g, b of legend shapes (by, key, ring, box): the most frequent colour of the pixels (by, px, py) in the
+    ring or on it, of equally frequent ones the least b, g, r; where ring is null or empty, the medians of the box
+    (x, y, width, height), halves to even. Points of rings lose their fractions.
+
+    A ring becomes spans of pixels, one or a few for each row it crosses, and pixels meet those of their row. Shapes without
+    a pixel, or with neither ring nor box, have no colour.
+    """
+    c = F.col
+    drawn = legends.where(F.size("ring") > 0).select(by, key, F.explode(_spans(c("ring"))).alias("s")).select(by, key, c("s.y").alias("py"), "s.first", "s.last")
+    inside = pixels.join(drawn, [by, "py"]).where(c("px").between(c("first"), c("last")))
+    modes = dominant(inside, by, key, order=("b", "g", "r")).drop("n")
+    boxed = legends.where(F.coalesce(F.size("ring") <= 0, F.lit(True)) & c("box").isNotNull()).select(by, key, "box", F.explode(F.sequence(c("box.y").cast("long"), (c("box.y") + c("box.height") - 1).cast("long"))).alias("py"))
+    framed = pixels.join(boxed.where("box.width > 0 AND box.height > 0"), [by, "py"]).where((c("px") >= c("box.x")) & (c("px") < c("box.x") + c("box.width")))
+    medians = framed.groupBy(by, key).agg(*(F.bround(F.percentile(v, F.lit(0.5))).cast("int").alias(v) for v in CHANNELS))
+    return modes.select(by, key, *CHANNELS).unionByName(medians)
+
+
 def dominant_bin(pixels: DataFrame, *by: str) -> DataFrame:
     """The middle of the fullest cell of an 8 by 8 by 8 grid; of equally full ones the least."""
     counts = pixels.groupBy(*by, bin_of(*map(F.col, CHANNELS)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

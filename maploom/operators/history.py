@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,8 +23,12 @@ class History:
     redo: list[float | None] = field(default_factory=list)
     changes: int = 0
 
-    def apply(self, action: str, value: float | None) -> None:
-        if action == "commit" and value != self.current:
+    def apply(self, action: str, value: float | None, tracked: bool = True) -> None:
+        """An edit that is not tracked takes its value without a way back, and leaves both stacks alone."""
+        if action == "commit" and not tracked:
+            self.changes += value != self.current
+            self.current = value
+        elif action == "commit" and value != self.current:
             self.undo = [self.current, *self.undo][:LIMIT]
             self.redo = []
             self.current = value
@@ -47,9 +51,15 @@ class History:
 RESULT = "user_id long, current double, undo_depth int, redo_depth int, changes long"
 
 
+def _tracked(log: DataFrame) -> Column:
+    return (F.coalesce(F.col("tracked").cast("boolean"), F.lit(True)) if "tracked" in log.columns else F.lit(True)).alias("tracked")
+
+
 def fold(log: DataFrame) -> DataFrame:
     """The history of each user_id after all rows (user_id, ts, event_id, action, value) of the log, in order.
 
+    A log may have a column tracked: a commit where it is false is applied without history; null counts as true.
+
     Tasks stream through their users' sorted rows and keep one bounded history at a time.
     """
 
@@ -64,17 +74,17 @@ def fold(log: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for own, action, value in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+            for own, action, value, tracked in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5)), strict=True):
                 if started and own != user:
                     done.append((user, *state.row()))
                     state = History()
                 user, started = own, True
-                state.apply(action, value)
+                state.apply(action, value, tracked)
             yield emit(done)
         if started:
             yield emit([(user, *state.row())])
 
-    rows = log.select("user_id", "ts", "event_id", "action", "value")
+    rows = log.select("user_id", "ts", "event_id", "action", "value", _tracked(log))
     return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInArrow(run, RESULT)
 
 
@@ -84,13 +94,13 @@ def stream(log: DataFrame) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         history = History(*state.get[:1], list(state.get[1]), list(state.get[2]), state.get[3]) if state.exists else History()
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for action, value in zip(rows["action"], rows["value"], strict=True):
-            history.apply(action, None if pd.isna(value) else float(value))
+        for action, value, tracked in zip(rows["action"], rows["value"], rows["tracked"], strict=True):
+            history.apply(action, None if pd.isna(value) else float(value), bool(tracked))
         state.update((history.current, history.undo, history.redo, history.changes))
         yield pd.DataFrame([(key[0], *history.row())], columns=[c.split()[0] for c in RESULT.split(", ")])
 
     kept = "current double, undo array<double>, redo array<double>, changes long"
-    rows = log.select("user_id", "ts", "event_id", "action", "value")
+    rows = log.select("user_id", "ts", "event_id", "action", "value", _tracked(log))
     return rows.groupBy("user_id").applyInPandasWithState(run, RESULT, kept, "update", GroupStateTimeout.NoTimeout)
 
 

@@ -90,11 +90,14 @@ def imposed_dominants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legend_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent colour within a legend shape, by blue, green, red among equals; without its outline the median of its box."""
-    inside = view(spark, sf_dir, "v_pixels").where("px BETWEEN 50 AND 800 AND py BETWEEN 5 AND 45")
-    modes = colours.dominant(inside.where("image_id % 2 = 0"), "image_id", order=("b", "g", "r"))
-    medians = inside.where("image_id % 2 = 1").groupBy("image_id").agg(*(F.bround(F.percentile(c, F.lit(0.5))).cast("int").alias(c) for c in colours.CHANNELS))
-    return modes.select("image_id", *colours.CHANNELS).unionByName(medians)
+    """Of each image's legend shapes: a triangle, an arrow with a notch, and one that is a box alone."""
+    point = lambda x, y: geometry.point(F.lit(x), F.lit(y))
+    images = view(spark, sf_dir, "v_pixels").select("image_id").distinct()
+    triangle = F.array(point(50, 5), point(800, 10), point(300, 45))
+    arrow = F.array(point(100, 4), point(1700, 4), point(1700, 44), point(900, 14), point(100, 44))
+    box = F.struct(F.lit(50).alias("x"), F.lit(5).alias("y"), F.lit(751).alias("width"), F.lit(41).alias("height"))
+    legends = images.select("image_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("shape")).withColumns({"ring": F.when(F.col("shape") == 0, triangle).when(F.col("shape") == 1, arrow), "box": box})
+    return colours.of_legends(view(spark, sf_dir, "v_pixels"), legends, "image_id", "shape")
 
 
 def balanced_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,8 +202,13 @@ QUERIES = {
     ),
     "legend_colours": (
         legend_colours,
-        """WITH i AS (SELECT * FROM v_pixels WHERE px BETWEEN 50 AND 800 AND py BETWEEN 5 AND 45), n AS (SELECT image_id, r, g, b, count(*) AS n FROM i WHERE image_id % 2 = 0 GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, b, g, r) AS k FROM n)
-           SELECT image_id, r, g, b FROM c WHERE k = 1 UNION ALL SELECT image_id, cast(round_even(quantile_cont(r, 0.5), 0) AS INT), cast(round_even(quantile_cont(g, 0.5), 0) AS INT), cast(round_even(quantile_cont(b, 0.5), 0) AS INT) FROM i WHERE image_id % 2 = 1 GROUP BY image_id""",
+        """WITH c AS (SELECT * FROM (VALUES (0, 1, 50, 5, 800, 10), (0, 2, 800, 10, 300, 45), (0, 3, 300, 45, 50, 5), (1, 1, 100, 4, 1700, 4), (1, 2, 1700, 4, 1700, 44), (1, 3, 1700, 44, 900, 14), (1, 4, 900, 14, 100, 44), (1, 5, 100, 44, 100, 4)) v(shape, side, x1, y1, x2, y2)),
+           p AS (SELECT DISTINCT px, py FROM v_pixels),
+           h AS (SELECT shape, px, py, sum(CASE WHEN (y1 <= py) <> (y2 <= py) AND px < x1 + (py - y1) * (x2 - x1) / (y2 - y1)::DOUBLE THEN 1 ELSE 0 END) % 2 = 1
+                        OR bool_or((x2 - x1) * (py - y1) = (y2 - y1) * (px - x1) AND px BETWEEN least(x1, x2) AND greatest(x1, x2) AND py BETWEEN least(y1, y2) AND greatest(y1, y2)) AS inside FROM p, c GROUP BY ALL),
+           n AS (SELECT image_id, shape, r, g, b, count(*) AS n FROM v_pixels v JOIN h ON h.px = v.px AND h.py = v.py WHERE inside GROUP BY ALL)
+           SELECT image_id, shape::INT AS shape, r, g, b FROM n QUALIFY row_number() OVER (PARTITION BY image_id, shape ORDER BY n DESC, b, g, r) = 1
+           UNION ALL SELECT image_id, 2, cast(round_even(quantile_cont(r, 0.5), 0) AS INT), cast(round_even(quantile_cont(g, 0.5), 0) AS INT), cast(round_even(quantile_cont(b, 0.5), 0) AS INT) FROM v_pixels WHERE px BETWEEN 50 AND 800 AND py BETWEEN 5 AND 45 GROUP BY image_id""",
     ),
     "balanced_pixels": (
         balanced_pixels,
