@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from maploom.functions import geometry, kernels
 from maploom.operators import polygons
+from maploom.operators.scratch import written
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -101,6 +102,49 @@ def spaced_keypoints(points: DataFrame, by: str, apart: float = 10.0, most: int
     return chosen.select(by, F.posexplode("chosen").alias("rank", "p")).select(by, "rank", "p.id", "p.x", "p.y", (-F.col("p.r")).alias("response"))
 
 
+def keypoints_with_fallback(points: DataFrame, more: DataFrame, by: str, apart: float = 10.0, most: int = 10) -> DataFrame:
+    """spaced_keypoints of points, and where a group has fewer than `most` of them those of `more` in their place.
+
+    points are what was found with a coast alone, more what was found with lakes as well; used_lakes says which. Groups of
+    either are returned, if they have a keypoint.
+    """
+    first = written(spaced_keypoints(points, by, apart, most))
+    enough = first.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= most).select(by)
+    rest = spaced_keypoints(more.join(enough, by, "left_anti"), by, apart, most)
+    return first.join(enough, by, "left_semi").withColumn("used_lakes", F.lit(False)).unionByName(rest.withColumn("used_lakes", F.lit(True)))
+
+
+def rasterised(lines: DataFrame, bounds: tuple[float, float, float, float], width: int, height: int, by: list[str]) -> DataFrame:
+    """by, px, py of the pixels of a picture of bounds (west, south, east, north) that lines (by, points) touch.
+
+    points is an array of x, y. Those beyond the bounds are left out and their neighbours joined; a line of one point that is
+    left has no pixels. A pixel is touched no more than a pixel and a half from a line's way between the pixels of its
+    points, in whole numbers throughout. Each segment's pixels are steps along its longer side and a few across.
+    """
+    c = F.col
+    west, south, east, north = bounds
+    whole = lambda v, n: F.greatest(F.lit(0).cast("long"), F.least(F.lit(n - 1).cast("long"), v.cast("long")))
+    inside = F.filter("points", lambda p: p["x"].between(west, east) & p["y"].between(south, north))
+    drawn = F.transform(inside, lambda p: F.struct(whole((p["x"] - west) / (east - west) * width, width).alias("x"), whole((north - p["y"]) / (north - south) * height, height).alias("y")))
+    rows = lines.select(*by, drawn.alias("_d")).where(F.size("_d") > 1)
+    pairs = F.arrays_zip(F.slice("_d", 1, F.size("_d") - 1).alias("a"), F.slice("_d", 2, F.size("_d") - 1).alias("b"))
+    ends = rows.select(*by, F.explode(F.array_distinct(pairs)).alias("e")).select(*by, *(c(f"e.{e}.{d}").alias(f"{d}{n}") for e, n in (("a", 1), ("b", 2)) for d in "xy")).distinct()
+    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
+    flat = F.abs(dx) >= F.abs(dy)
+    long, first, other, run, rise = (F.when(flat, p).otherwise(q) for p, q in ((F.abs(dx), F.abs(dy)), (c("x1"), c("y1")), (c("y1"), c("x1")), (dx, dy), (dy, dx)))
+    steps = ends.withColumn("_k", F.explode(F.sequence(F.lit(-2).cast("long"), long + 2))).withColumn("_o", F.explode(F.sequence(F.lit(-3).cast("long"), F.lit(3).cast("long"))))
+    along = first + F.when(run >= 0, c("_k")).otherwise(-c("_k"))
+    across = other + F.when(long > 0, F.rint(rise * c("_k") / long)).otherwise(0).cast("long") + c("_o")
+    # by way of inline, so that the place is computed once and not wherever it is named
+    place = F.struct(F.when(flat, along).otherwise(across).alias("px"), F.when(flat, across).otherwise(along).alias("py"))
+    at = steps.select(*by, "x1", "y1", "x2", "y2", F.inline(F.array(place)))
+    square = lambda u, v: u * u + v * v
+    wx, wy = c("px") - c("x1"), c("py") - c("y1")
+    size, dot, cross = square(dx, dy), wx * dx + wy * dy, wx * dy - wy * dx
+    near = F.when(dot <= 0, 4 * square(wx, wy) <= 9).when(dot >= size, 4 * square(c("px") - c("x2"), c("py") - c("y2")) <= 9).otherwise(4 * cross * cross <= 9 * size)
+    return at.where(near & c("px").between(0, width - 1) & c("py").between(0, height - 1)).select(*by, "px", "py").distinct()
+
+
 def _points(ring) -> np.ndarray:
     """The corners of a closed ring."""
     return np.array([(p["x"], p["y"]) for p in ring[:-1]]).reshape(-1, 2)

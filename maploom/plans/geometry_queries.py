@@ -166,6 +166,29 @@ def land_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polygons.clipped_to_land(as_polygons(boxes), as_polygons(land), "p_partkey").select("p_partkey", F.size("polygons").alias("parts"), F.round("land_share", 6).alias("land_share"))
 
 
+def coast_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines through the features of each order, drawn on one picture of 40 by 30 pixels for each kind of priority."""
+    f = view(spark, sf_dir, "v_features")
+    lines = f.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("line", "feature_id", "x", "y"))).alias("points"))
+    drawn = georeference.rasterised(lines.select((F.col("source_id") % 7).alias("sheet"), "points"), (100.0, 200.0, 1500.0, 1800.0), 40, 30, ["sheet"])
+    return drawn.groupBy("sheet", "py").agg(F.count(F.lit(1)).alias("pixels"), F.min("px").alias("first"), F.max("px").alias("last"))
+
+
+def lakes_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = view(spark, sf_dir, "v_features")
+    points = f.select("project_id", "x", "y", F.col("price").alias("response"), F.col("feature_id").alias("id"), "kind")
+    found = georeference.keypoints_with_fallback(points.where("kind <> 'N'"), points, "project_id", 120.0, 10)
+    return found.groupBy("project_id", "used_lakes").agg(F.count(F.lit(1)).alias("keypoints"), F.min("id").alias("first"))
+
+
+def _spaced(name: str, where: str) -> str:
+    return f"""{name}_o AS (SELECT project_id, feature_id AS id, x, y, row_number() OVER (PARTITION BY project_id ORDER BY price DESC, feature_id) AS n FROM v_features WHERE {where}),
+      {name}_f AS (SELECT project_id, n, [struct_pack(id := id, x := x, y := y)] AS chosen FROM {name}_o WHERE n = 1
+        UNION ALL SELECT o.project_id, o.n, CASE WHEN len(chosen) >= 10 OR len(list_filter(chosen, lambda q: pow(q.x - o.x, 2) + pow(q.y - o.y, 2) < 14400)) > 0 THEN chosen ELSE list_append(chosen, struct_pack(id := o.id, x := o.x, y := o.y)) END
+        FROM {name}_f f JOIN {name}_o o ON o.project_id = f.project_id AND o.n = f.n + 1),
+      {name} AS (SELECT project_id, len(chosen) AS n, list_min(list_transform(chosen, lambda q: q.id)) AS first FROM {name}_f QUALIFY {name}_f.n = max({name}_f.n) OVER (PARTITION BY project_id))"""
+
+
 PAIR_SUMS = """m AS (SELECT image_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(gx) AS mg, avg(gy) AS mh FROM v_control GROUP BY image_id),
   d AS (SELECT image_id, x - mx AS x, y - my AS y, gx - mg AS g, gy - mh AS h FROM v_control JOIN m USING (image_id)),
   s AS (SELECT image_id, sum(x*x) AS xx, sum(x*y) AS xy, sum(y*y) AS yy, sum(x*g) AS xg, sum(y*g) AS yg, sum(x*h) AS xh, sum(y*h) AS yh, sum(g*g) AS gg, sum(h*h) AS hh FROM d GROUP BY image_id),
@@ -257,4 +280,17 @@ QUERIES = {
         """WITH q AS (SELECT image_id, (x - 10) / (1000 * 1.8::DOUBLE) AS u, (y - 20 - 150) / (500 * 1.8::DOUBLE) AS v FROM v_features)
            SELECT image_id, count(CASE WHEN u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 THEN 1 END) AS on_image, round(avg(CASE WHEN u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 THEN u * 999 END), 4) AS mean_column, round(avg(CASE WHEN u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 THEN v * 499 END), 4) AS mean_row FROM q GROUP BY image_id""",
     ),
+    "coast_lines": (
+        coast_lines,
+        """WITH p AS (SELECT source_id, line, feature_id, cast(greatest(0, least(39, trunc((x - 100) / 1400 * 40))) AS BIGINT) AS x, cast(greatest(0, least(29, trunc((1800 - y) / 1600 * 30))) AS BIGINT) AS y FROM v_features WHERE x BETWEEN 100 AND 1500 AND y BETWEEN 200 AND 1800),
+           s AS (SELECT DISTINCT source_id % 7 AS sheet, x AS x1, y AS y1, x2, y2 FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY source_id ORDER BY line, feature_id)) WHERE x2 IS NOT NULL),
+           g AS (SELECT sheet, x1, y1, x2, y2, px, py, px - x1 AS wx, py - y1 AS wy, x2 - x1 AS dx, y2 - y1 AS dy FROM s JOIN range(40) a(px) ON px BETWEEN least(x1, x2) - 2 AND greatest(x1, x2) + 2 JOIN range(30) b(py) ON py BETWEEN least(y1, y2) - 2 AND greatest(y1, y2) + 2),
+           h AS (SELECT DISTINCT sheet, px, py FROM g WHERE CASE WHEN wx * dx + wy * dy <= 0 THEN 4 * (wx * wx + wy * wy) <= 9 WHEN wx * dx + wy * dy >= dx * dx + dy * dy THEN 4 * ((px - x2) * (px - x2) + (py - y2) * (py - y2)) <= 9 ELSE 4 * (wx * dy - wy * dx) * (wx * dy - wy * dx) <= 9 * (dx * dx + dy * dy) END)
+           SELECT sheet, py, count(*) AS pixels, min(px) AS first, max(px) AS last FROM h GROUP BY ALL""",
+    ),
+    "lakes_fallback": (
+        lakes_fallback,
+        f"""WITH RECURSIVE {_spaced("a", "kind <> 'N'")}, {_spaced("b", "true")}
+            SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.n, 0) < 10 AS used_lakes, cast(CASE WHEN a.n >= 10 THEN a.n ELSE b.n END AS BIGINT) AS keypoints, CASE WHEN a.n >= 10 THEN a.first ELSE b.first END AS first FROM b LEFT JOIN a ON a.project_id = b.project_id""",
+    ),
 }
