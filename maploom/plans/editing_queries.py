@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maploom.operators import documents, editing
+from maploom.operators import documents, drawing, editing
 from maploom.plans.views import tables, view
 
 
@@ -90,9 +90,28 @@ def added_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def freehand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strokes of one point are none."""
-    points = view(spark, sf_dir, "v_features").groupBy("source_id").agg(F.count(F.lit(1)).alias("points"))
-    return points.where("points > 1").select("source_id", "points")
+    """Strokes of each user's pencil: every fifth event presses, some others release, the rest move."""
+    e, k = _t(spark, sf_dir, "events"), F.col("event_id") % 5
+    moves = e.select("user_id", "ts", "event_id", F.when(k == 0, "down").when(k == 3, "up").otherwise("move").alias("kind"), F.floor("value").cast("double").alias("lat"), (F.col("event_id") % 360).cast("double").alias("lng"))
+    found = drawing.strokes(moves, "user_id", "ts", "event_id")
+    total = lambda c: F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p[c])
+    return found.select("user_id", "stroke", F.size("points").alias("points"), total("lat").alias("lat"), total("lng").alias("lng"))
+
+
+def drawn_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers drawn around each part's place to features with their geometry, and back to layers."""
+    p, k = _t(spark, sf_dir, "part"), F.col("p_partkey")
+    at = lambda dy, dx: F.struct((k % 60 + dy).cast("double").alias("lat"), (k % 90 + dx).cast("double").alias("lng"))
+    ring = F.array(at(0, 0), at(0, 4), at(3, 4), at(3, 0))
+    parts = F.when(k % 14 == 5, F.array(F.array(ring), F.array(ring))).when(k % 14 == 12, F.array(F.array(ring, F.array(at(1, 1), at(1, 2), at(2, 1))))).otherwise(F.array(F.array(ring)))
+    none = {"created_at": "timestamp", "name": "string", "kept_type": "string", "size_px": "int", "color_name": "string", "color_rgb": "array<int>", "fill_opacity": "double", "stroke_color": "array<int>", "stroke_width": "int", "stroke_opacity": "double"}
+    shape = F.element_at(F.array(*map(F.lit, SHAPES)), (k % 7 + 1).cast("int"))
+    layers = p.select(k.alias("id"), F.when(k % 29 > 0, k % 10).alias("project_id"), F.lit(None).cast("long").alias("map_id"), shape.alias("shape"), parts.alias("parts"), F.lit(1000.0).alias("radius"), F.when(k % 3 > 0, F.lit(" a ")).otherwise(" ").alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in none.items()))
+    features = drawing.drawn_features(layers, F.lit("2024-01-02").cast("timestamp"))
+    back = drawing.layers_of(features).select("id", "layer", F.col("parts")[0][0][0]["lat"].alias("lat"))
+    count = F.aggregate("geometry.parts", F.lit(0), lambda n, rings: n + F.aggregate(rings, F.lit(0), lambda m, r: m + F.size(r)))
+    said = features.select("id", F.col("geometry.type").alias("type"), F.col("properties.map_element_type").alias("element_type"), count.alias("points"))
+    return said.join(back, "id").select("id", "type", "element_type", "points", "layer", F.round("lat", 6).alias("lat"))
 
 
 def project_save(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +204,22 @@ QUERIES = {
     ),
     "finalised_labels": (finalised_labels, "SELECT event_id % 300 AS layer, arg_min(event_type, struct_pack(t := ts, e := event_id)) AS name FROM {events} WHERE event_id % 3 > 0 GROUP BY 1"),
     "added_cities": (added_cities, "SELECT p_partkey, trim(p_name) AS name, make_date(1990 + p_size, 1, 1) AS start_date, make_date(1990 + p_size, 12, 31) AS end_date, '#000000' AS colour FROM {part} WHERE trim(p_name) <> ''"),
-    "freehand_lines": (freehand_lines, "SELECT source_id, count(*) AS points FROM v_features GROUP BY source_id HAVING count(*) > 1"),
+    "freehand_lines": (
+        freehand_lines,
+        """WITH m AS (SELECT user_id, ts, event_id, CASE event_id % 5 WHEN 0 THEN 'down' WHEN 3 THEN 'up' ELSE 'move' END AS kind, floor(value) AS lat, (event_id % 360)::DOUBLE AS lng FROM {events}),
+           p AS (SELECT *, sum(CASE WHEN kind = 'down' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS press FROM m),
+           u AS (SELECT *, sum(CASE WHEN kind = 'up' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, press ORDER BY ts, event_id) AS ups FROM p WHERE press > 0),
+           g AS (SELECT user_id, press, max(ups) AS ups, count(*) FILTER (ups = 0) AS points, sum(lat) FILTER (ups = 0) AS lat, sum(lng) FILTER (ups = 0) AS lng FROM u GROUP BY ALL)
+           SELECT user_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY press) AS INT) AS stroke, cast(points AS INT) AS points, lat, lng FROM g WHERE ups > 0 AND points > 1""",
+    ),
+    "drawn_shapes": (
+        drawn_shapes,
+        """WITH l AS (SELECT p_partkey AS id, p_partkey % 7 AS s, p_partkey % 14 AS f, (p_partkey % 60)::DOUBLE AS lat FROM {part} WHERE p_partkey % 29 > 0 AND NOT (p_partkey % 7 = 0 AND p_partkey % 3 = 0))
+           SELECT id, CASE WHEN s < 2 THEN 'Point' WHEN s = 2 THEN 'Polygon' WHEN s IN (3, 6) THEN 'LineString' WHEN f = 5 THEN 'MultiPolygon' ELSE 'Polygon' END AS type,
+                  CASE s WHEN 0 THEN 'label' WHEN 1 THEN 'point' WHEN 2 THEN 'shape' WHEN 4 THEN 'shape' WHEN 5 THEN 'zone' ELSE 'polyline' END AS element_type,
+                  cast(CASE WHEN s < 2 THEN 1 WHEN s = 2 THEN 33 WHEN s IN (3, 6) THEN 4 WHEN f = 5 THEN 10 WHEN f = 12 THEN 9 ELSE 5 END AS INT) AS points,
+                  CASE WHEN s = 0 THEN 'text' WHEN s = 1 THEN 'marker' WHEN s IN (3, 6) THEN 'line' ELSE 'polygon' END AS layer, lat FROM l""",
+    ),
     "project_save": (
         project_save,
         "SELECT project_id, count(*) AS features, sum(CASE WHEN r % 3 = 0 THEN x + 1 ELSE x END) AS sum_x FROM v_features WHERE (r % 2 = 0 OR r % 3 = 0) AND line <> 6 GROUP BY project_id",
