@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,13 +169,13 @@ def feature(points: Column, props: Column) -> Column:
     return F.when(F.size(points) >= 3, F.struct(F.lit("Feature").alias("type"), props.alias("properties"), shape.alias("geometry")))
 
 
-def deduplicated(shapes: DataFrame, by: str, key: str, ring: str = "ring", similar: float = 0.6, overlap: float = 0.6, side: float = 64.0) -> DataFrame:
+def deduplicated(shapes: DataFrame, by: str, key: str, ring: str = "ring", similar: float = 0.6, overlap: float = 0.6, side: float = 64.0, most: int = 1_000_000) -> DataFrame:
     """Per group (by) the shapes that stay when, from the largest down, each goes that is like one that stayed.
 
     Alike are two rings (of any form) whose areas' ratio is at least similar and whose common area is at least overlap
     of the smaller. Pairs meet over the cells of a grid that their boxes touch, and overlaps are computed for these
-    alone. The greedy choice goes by rounds: a shape none of whose larger likes is still open is decided, so that
-    each round settles all it can at once, and no group is gathered.
+    alone. The choice is a fold over a group's pairs in one task, where they are no more than `most`; in a larger group it
+    goes by rounds, in which a shape none of whose larger likes is still open is decided, and no group is gathered.
     """
     c = F.col
     rows = shapes.select(by, key, F.col(ring).alias("ring"), F.abs(geometry.signed_area(F.col(ring))).alias("area"), geometry.box(F.col(ring)).alias("box"))
@@ -182,12 +183,30 @@ def deduplicated(shapes: DataFrame, by: str, key: str, ring: str = "ring", simil
     larger = (c("area1") > c("area2")) | ((c("area1") == c("area2")) & (c(f"{key}1") < c(f"{key}2")))
     met = polygons.pairs_that_meet(side_of(1), side_of(2), [by], side).where(larger & (c("area2") / c("area1") >= similar) & (geometry.overlap(c("box1"), c("box2")) >= overlap * c("area2")))
     shared = polygons.common_area(polygons.polygon(c("ring1")), polygons.polygon(c("ring2")))
-    likes = written(met.where(shared >= overlap * c("area2")).select(by, c(f"{key}1").alias("larger"), c(f"{key}2").alias("smaller")))
-    return _greedy(shapes, likes, by, key)
+    likes = written(met.where(shared >= overlap * c("area2")).select(by, c(f"{key}1").alias("larger"), c(f"{key}2").alias("smaller"), c("area2").alias("area")))
+    many = likes.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(c("n") > most).select(by)
+    gone = _folded(likes.join(many, by, "left_anti"), by, key)
+    by_rounds = _in_rounds(likes.join(many, by, "left_semi"), by, key)
+    return shapes.join(gone if by_rounds is None else gone.unionByName(by_rounds), [by, key], "left_anti")
 
 
-def _greedy(shapes: DataFrame, likes: DataFrame, by: str, key: str) -> DataFrame:
-    """shapes without those that go: likes (by, larger, smaller) are in the order of the choice."""
+def _folded(likes: DataFrame, by: str, key: str) -> DataFrame:
+    """by and key of what goes: a group's pairs in one task, from the largest smaller one down."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        gone: set = set()
+        order = frame.sort_values(["area", "smaller"], ascending=[False, True])
+        for smaller, pairs in order.groupby("smaller", sort=False):
+            if not gone.issuperset(pairs["larger"]):
+                gone.add(smaller)
+        return pd.DataFrame({by: pd.Series([frame[by].iloc[0]] * len(gone), dtype=frame[by].dtype), key: pd.Series(list(gone), dtype=frame["smaller"].dtype)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in likes.schema}
+    return likes.groupBy(by).applyInPandas(run, f"`{by}` {kinds[by]}, `{key}` {kinds['smaller']}")
+
+
+def _in_rounds(likes: DataFrame, by: str, key: str) -> DataFrame | None:
+    """As _folded, for groups of any size: each round decides all that wait for no other, as many rounds as chains are long."""
     c = F.col
     open_rows, gone = likes.select(by, F.explode(F.array("larger", "smaller")).alias(key)).distinct(), None
     while not open_rows.isEmpty():
@@ -196,4 +215,4 @@ def _greedy(shapes: DataFrame, likes: DataFrame, by: str, key: str) -> DataFrame
         goes = written(left.join(stays.withColumnRenamed(key, "larger"), [by, "larger"], "left_semi").select(by, c("smaller").alias(key)).distinct())
         gone = goes if gone is None else gone.unionByName(goes)
         open_rows = written(open_rows.join(stays, [by, key], "left_anti").join(goes, [by, key], "left_anti"))
-    return shapes if gone is None else shapes.join(gone, [by, key], "left_anti")
+    return gone

@@ -75,3 +75,5 @@ def test_filters_equal_plain_loops(spark):
                 kept.append((size, k, r))
         want |= {k for _, k, _ in kept}
     assert got == want and 0 < len(got) < 100
+    one, other = (shapes.deduplicated(df, "image", "k", overlap=0.3, most=most) for most in (0, 10**6))
+    assert {r.k for r in one.collect()} == {r.k for r in other.collect()}
