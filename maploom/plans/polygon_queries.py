@@ -232,7 +232,7 @@ QUERIES = {
                     WHEN kind = 0 THEN [y, y, y + h, y + h, y] WHEN kind = 1 THEN [y, y + 3 * a, y + 3 * a + 4 * b, y + 4 * b, y] ELSE [y, y, y + h, y] END AS ys FROM n)
             SELECT {K}, shape_type, cast(len(xs) - 1 AS INT) AS points, round(abs(list_sum(list_transform(range(1, len(xs)), lambda k: xs[k] * ys[k + 1] - xs[k + 1] * ys[k]))) / 2, 1) AS area,
                    round(list_sum(list_transform(range(1, len(xs)), lambda k: sqrt(pow(xs[k + 1] - xs[k], 2) + pow(ys[k + 1] - ys[k], 2)))), 1) AS perimeter,
-                   round((list_max(xs) - list_min(xs) + 1) / (list_max(ys) - list_min(ys) + 1), 2) AS aspect_ratio, 1.0::DOUBLE AS solidity FROM p""",
+                   round((list_max(xs) - list_min(xs) + 1) / (list_max(ys) - list_min(ys) + 1) + 1e-9, 2) AS aspect_ratio, 1.0::DOUBLE AS solidity FROM p""",
     ),
     "shape_features": (
         shape_features,
