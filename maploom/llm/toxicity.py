@@ -158,9 +158,17 @@ def _features(texts: pd.Series) -> pd.Series:
     return texts.map(text_features)
 
 
+def _at_most(rows: DataFrame, most: int) -> DataFrame:
+    """Distinct rows (id, text), and of these the first `most` by a hash."""
+    one = rows.groupBy("id", F.xxhash64("text").alias("x")).agg(F.first("text").alias("text"))
+    return one.orderBy(F.xxhash64("id", "x", F.lit("order")), "id", "x").limit(most).select("id", "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, max_positive: int = 2000, max_unlabelled: int = 4000, prior: float | None = None) -> Model:
-    """Fits on about max_positive toxic and max_unlabelled other texts at most, chosen by a hash of their ids.
+    """Fits on max_positive toxic and max_unlabelled other texts at most, chosen by a hash of their ids, then of their texts.
 
+    A row that repeats an id and its text is one text of the sample, so that no number of repeats fills it, and however many
+    texts one id bears, no more than these reach the driver.
     prior: the share of toxic texts among all; by default that among the labels, or PRIOR where all labels are toxic.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~held_out("id", folds))
@@ -172,8 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 30))
     cut = lambda most, of: int((1 << 30) * min(1.0, most / max(of, 1)))
     known = marked.where((F.col("toxic") == 1) & (place < cut(max_positive, toxic))).select("id")
-    pos = rows.join(F.broadcast(known), "id", "left_semi")
-    unl = rows.where(place < cut(max_unlabelled, rows.count()))
+    pos = _at_most(rows.join(F.broadcast(known), "id", "left_semi"), max_positive)
+    unl = _at_most(rows.where(place < cut(max_unlabelled, rows.count())), max_unlabelled)
     sample = pos.select(F.lit(True).alias("p"), _features("text").alias("f")).unionByName(unl.select(F.lit(False).alias("p"), _features("text").alias("f")))
     found = sample.toArrow()
     lists = [row for chunk in found.column("f").chunks if len(chunk) for row in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]

@@ -23,6 +23,9 @@ EXPECTED = {
     "op8_byte_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op9_simhash": {"doc_id", "fingerprint", "component_id"},
     "op10_toxicity": {"doc_id", "held_out", "score", "predicted"},
+    "op11_merkle": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op12_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+    "op13_minhash": {"doc_id", "n_shingles", "component_id", "kept"},
 }
 
 
@@ -55,7 +58,7 @@ def test_query_has_its_columns_and_a_row_for_each(spark, tables, name):
     assert EXPECTED[name] <= set(rows.columns)
     rows = [r.asDict() for r in rows.collect()]
     ids = lambda key: sorted((r[key] for r in rows), key=str)
-    if name in ("op1_exact_dedup", "op6_repeats", "op7_quality", "op8_byte_bpe", "op9_simhash", "op10_toxicity"):
+    if name in ("op1_exact_dedup", "op6_repeats", "op7_quality", "op8_byte_bpe", "op9_simhash", "op10_toxicity", "op11_merkle", "op12_alignment", "op13_minhash"):
         assert ids("doc_id") == sorted((i for i, _ in docs), key=str)
     if name == "op2_warc":
         assert ids("page_id") == sorted((p[0] for p in pages), key=str)

@@ -87,3 +87,18 @@ def test_confirmed_positives_alone_suffice(spark):
     test = [(r.predicted, truth[r.doc_id]) for r in out if r.held_out]
     assert np.mean([p for p, y in test if y]) > 0.8 and np.mean([p for p, y in test if not y]) < 0.05
     assert any(r.predicted for r in toxicity.scored(docs, toxicity.train(docs, labels.where("toxic = 1"))).collect())
+
+
+def test_repeated_ids_do_not_outgrow_the_sample(spark, monkeypatch):
+    """One labelled id on thousands of rows, of one text and of many: what reaches the driver stays within the bounds."""
+    own = next(i for i in range(100) if crc32(str(i).encode()) % 5)
+    texts = [(own, "moron " * 5)] * 2000 + [(own, f"moron number {k}") for k in range(2000)] + [(1000 + k, f"plain text {k}") for k in range(300)]
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda pos, unl, prior: seen.append((len(pos), len(unl))) or fit(pos, unl, prior))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(own, 1, 1)] + [(1000 + k, 1, 0) for k in range(0, 300, 3)], "doc_id long, quality int, toxic int")
+    toxicity.train(docs, labels, max_positive=50, max_unlabelled=5000)
+    toxicity.train(docs.limit(2000), labels, max_positive=50, max_unlabelled=80)
+    (pos, unl), (one, other) = seen
+    assert pos == 50 and unl <= 5000 and one == 1 and other <= 80
