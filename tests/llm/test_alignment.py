@@ -1,7 +1,10 @@
 """Alignment of tokenizers against plain code over small texts."""
 
 import hashlib
+import json
 import random
+import sys
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -87,3 +90,77 @@ def test_spans_cover_both_sides(spark):
     rows = alignment.aligned(spark.createDataFrame([(1, "hello  world\n\nfoo"), (2, None)], "doc_id long, text string"), A, B).orderBy("doc_id").collect()
     assert sum(rows[0].a_tokens) == len(rows[0].a_ids) and sum(rows[0].b_tokens) == len(rows[0].b_ids)
     assert sum(rows[0].n_bytes) == len(" hello  world\n\nfoo") and rows[1].a_ids == []
+
+
+def invented(seed, words):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 11))) for _ in range(100)) for _ in range(words // 100)]
+
+
+def test_ids_are_those_of_the_library():
+    one, rng = alignment.side(A), random.Random(6)
+    assert one.ranked is not None
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)} {chr(c)}1" for c in points[k : k + 500]) for k in range(0, len(points), 500)]
+    marks = ["'s", "'ll", "'L", "don't", " ", "  ", "\n", "\t ", "\u00a0", "\u2003", "\x1c", "\x85", "12", "½", "é", "日本", "🙂", "!?", "<|endoftext|>", "▁", "word", "Ünï"]
+    texts += ["".join(rng.choices(marks, k=rng.randrange(1, 40))) for _ in range(5000)] + [t for t in TEXTS if t] + invented(7, 5000)
+    texts += ["ab" * 20_000, "x" * 50_000, "a" + " " * 100_000 + "b"]
+    assert one.ids(texts) == one.by_library(texts)
+
+
+@pytest.mark.parametrize("run", [" " * 1_200_000 + "b", "a" + "\n " * 600_000])
+def test_long_runs_of_white_space_are_encoded(run):
+    assert alignment.side(A).ids(["x", run]) == alignment.side(A).by_library(["x", run])
+
+
+def test_new_words_cost_less_than_by_the_library():
+    one, texts, spent = alignment.side(A), invented(8, 100_000), []
+    for encode in (one.ids, one.by_library):
+        begin = time.process_time()
+        encode(texts)
+        spent.append(time.process_time() - begin)
+    assert spent[0] < 0.7 * spent[1]
+
+
+def _file(tmp_path, name, change):
+    with open(A, encoding="utf-8") as file:
+        spec = json.load(file)
+    change(spec)
+    path = tmp_path / f"{name}.json"
+    path.write_text(json.dumps(spec))
+    return alignment.ByteLevel(str(path))
+
+
+def _few_merges(merges):
+    def change(spec):
+        base = [t for t in spec["model"]["vocab"] if len(t) == 1]
+        spec["model"]["merges"] = merges
+        spec["model"]["vocab"] = {t: k for k, t in enumerate([*base, *("".join(m) for m in merges)])}
+        spec["added_tokens"] = []
+
+    return change
+
+
+def test_files_that_tokens_alone_do_not_decide_stay_with_the_library(tmp_path):
+    # no merge names a and bc, so abc is never made
+    crossed = _file(tmp_path, "crossed", _few_merges([["b", "c"], ["a", "b"], ["ab", "c"]]))
+    assert crossed.ranked is None and [len(x) for x in crossed.ids(["abc"])] == [3]
+    assert _file(tmp_path, "plain", _few_merges([["a", "b"], ["ab", "c"]])).ranked is not None
+    for name, change in {
+        "normalised": lambda s: s.update(normalizer={"type": "Lowercase"}),
+        "spaced": lambda s: s["pre_tokenizer"].update(add_prefix_space=True),
+        "added": lambda s: s["added_tokens"].append(s["added_tokens"][0] | {"id": 50257, "content": "ordinary", "special": False}),
+        "whole": lambda s: s["model"].update(ignore_merges=True),
+    }.items():
+        assert _file(tmp_path, name, change).ranked is None, name
+
+
+def test_links_are_counted_for_each_text_in_large_blocks():
+    rng = np.random.default_rng(9)
+    n = 2000
+    a, b, of = rng.integers(0, 50_000, n), rng.integers(0, 32_000, n), np.sort(rng.integers(0, 9_000, n))
+    a[1::2], b[1::2], of[1::2] = a[::2], b[::2], of[::2]
+    ones = np.ones(n, np.int64)
+    doc, pair, times = alignment.linked(alignment.Block(a, b, ones, ones, of, np.arange(n), np.arange(n), ones, ones), 32_000)
+    held = Counter(zip(of.tolist(), a.tolist(), b.tolist()))
+    assert [(d, p // 32_000, p % 32_000, k) for d, p, k in zip(doc.tolist(), pair.tolist(), times.tolist())] == sorted((*x, k) for x, k in held.items())
