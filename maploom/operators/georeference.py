@@ -153,7 +153,8 @@ def _points(ring) -> np.ndarray:
 def snapped_rings(shapes: DataFrame, segments: DataFrame, tolerance: float, key: str) -> DataFrame:
     """shapes (key, ring) with the corners of their closed rings on the nearest segment, and how many of them moved.
 
-    A ring that would cross or touch itself keeps its place and counts none. key is one column, unique.
+    A ring that would cross or touch itself keeps its place and counts none; a corner that stands where the one before it
+    does is no touch. key is one column, unique.
     """
     c = F.col
     corners = shapes.select(c(key), F.posexplode(F.slice("ring", 1, F.size("ring") - 1)).alias("n", "p")).select(F.struct(c(key).alias("k"), "n").alias("corner"), "p.x", "p.y")
@@ -167,7 +168,8 @@ def snapped_rings(shapes: DataFrame, segments: DataFrame, tolerance: float, key:
 
 @F.pandas_udf(T.BooleanType())
 def _simple(rings: pd.Series) -> pd.Series:
-    return pd.Series([r is not None and kernels.is_simple(_points(r)) for r in rings], dtype=bool)
+    once = lambda ring: ring[(ring != np.roll(ring, 1, axis=0)).any(axis=1)]
+    return pd.Series([r is not None and kernels.is_simple(once(_points(r))) for r in rings], dtype=bool)
 
 
 def georeferenced(features: DataFrame, pairs: DataFrame, by: str, key: str, segments: DataFrame | None = None, tolerance: float = 200.0) -> DataFrame:

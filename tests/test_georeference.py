@@ -35,6 +35,15 @@ def test_rings_that_would_cross_keep_their_place(spark):
     assert [tuple(p) for p in rows[2].ring] == flat and [tuple(p) for p in rows[3].ring] == far
 
 
+def test_rings_with_a_corner_twice_in_a_row_snap(spark):
+    twice, all_one = _closed((0.0, 0.5), (9.0, 0.4), (9.0, 9.0), (9.0, 9.0), (0.0, 9.0)), _closed((0.0, 0.5), (0.0, 0.5), (0.0, 0.4))
+    shapes = spark.createDataFrame([(1, twice), (2, all_one)], RINGS)
+    coast = spark.createDataFrame([(1, -20.0, 0.0, 20.0, 0.0)], "sid long, x1 double, y1 double, x2 double, y2 double")
+    rows = {r.k: r for r in georeference.snapped_rings(shapes, coast, 1.0, "k").collect()}
+    assert {k: r.snapped for k, r in rows.items()} == {1: 2, 2: 0}
+    assert [tuple(p) for p in rows[1].ring] == _closed((0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (9.0, 9.0), (0.0, 9.0)) and [tuple(p) for p in rows[2].ring] == all_one
+
+
 def test_land_that_is_not_convex(spark):
     land = spark.createDataFrame([(1, _closed((0.0, 0.0), (200.0, 0.0), (200.0, 10.0), (0.0, 10.0))), (2, _closed((0.0, 10.0), (10.0, 10.0), (10.0, 200.0), (0.0, 200.0)))], RINGS.replace("k ", "part_id "))
     shapes = spark.createDataFrame([(1, _closed((0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0))), (2, _closed((20.0, 20.0), (90.0, 20.0), (90.0, 90.0))), (3, _closed((5.0, 20.0), (15.0, 20.0), (15.0, 30.0), (5.0, 30.0)))], RINGS)
