@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maploom.functions import colour, kernels
@@ -96,16 +97,27 @@ def flat_field(pixels: DataFrame, by: str, channels: tuple[str, str, str] = ("r"
     return flat.join(most, by).select(by, "x", "y", *(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / level)).alias(c) for c in channels))
 
 
-def _clipped(counts: Column, limit: Column) -> Column:
-    """A histogram (array) with what exceeds limit dealt back to all bins alike, as OpenCV deals it: an equal share to each,
-    and what is left one by one to every so many-th bin."""
-    bins = F.size(counts)
-    over = F.aggregate(counts, F.lit(0).cast("long"), lambda n, c: n + F.greatest(F.lit(0).cast("long"), c - limit))
-    share, rest = F.floor(over / bins), F.pmod(over, bins.cast("long"))
-    step = F.greatest(F.lit(1).cast("long"), F.floor(bins / F.greatest(rest, F.lit(1).cast("long"))))
-    # bins 0, step, 2 step and so on get one more, until nothing is left
-    more = lambda k: F.when((F.pmod(k.cast("long"), step) == 0) & (F.floor(k / step) < rest), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-    return F.transform(counts, lambda c, k: F.least(c, limit) + share + more(k))
+def _levels(clip: float):
+    """Arrays of struct(v, n), the grey values of tiles and how many pixels have them, and the tiles' areas to the 256 bytes that
+    the values become. What exceeds the limit is dealt back to all bins alike, as OpenCV deals it: an equal share to each, and
+    what is left one by one to every so many-th bin."""
+
+    @F.arrow_udf("array<double>")
+    def run(counts: pa.Array, areas: pa.Array) -> pa.Array:
+        ends, pairs, area = counts.offsets.to_numpy(), counts.flatten(), areas.to_numpy()[:, None]
+        tile, value = np.repeat(np.arange(len(counts)), np.diff(ends)), pairs.field("v").to_numpy()
+        bins = np.zeros((len(counts), 256), np.int64)
+        bins[tile, value] = pairs.field("n").to_numpy()
+        if clip > 0:
+            limit = np.maximum(1, np.floor(clip * area / 256)).astype(np.int64)
+            share, rest = np.divmod(np.maximum(bins - limit, 0).sum(axis=1, keepdims=True), 256)
+            # bins 0, step, 2 step and so on get one more, until nothing is left
+            step, k = 256 // np.maximum(1, rest), np.arange(256)
+            bins = np.minimum(bins, limit) + share + ((k % step == 0) & (k // step < rest))
+        level = np.minimum(255.0, np.rint(np.cumsum(bins, axis=1) * 255.0 / area))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * 256, pa.int32()), pa.array(level.ravel()))
+
+    return run
 
 
 def equalised(pixels: DataFrame, by: str, grey: str = "grey", clip: float = 2.0, tiles: tuple[int, int] = (64, 64)) -> DataFrame:
@@ -114,7 +126,7 @@ def equalised(pixels: DataFrame, by: str, grey: str = "grey", clip: float = 2.0,
     Images have all their pixels. Where a side is no multiple of its tiles the image goes on mirrored, its edge not
     repeated, until it is. A tile's histogram has no bin above clip times the mean one (1 at least); what exceeds it is
     dealt back. A pixel takes its grey through the cumulated histograms of the four nearest tiles, by its distances from
-    their middles. Histograms are rows, and so are the maps: a tile and a grey value each.
+    their middles. A tile is a row, with the grey values that it has, and then with what each of 256 becomes.
     """
     c = F.col
     sizes = pixels.groupBy(by).agg((F.max("x") + 1).cast("long").alias("_w"), (F.max("y") + 1).cast("long").alias("_h"))
@@ -127,13 +139,8 @@ def equalised(pixels: DataFrame, by: str, grey: str = "grey", clip: float = 2.0,
     places = lambda d, n, t, k: F.filter(F.array(c(d), 2 * (c(n) - 1) - c(d)), lambda p: (p == c(d)) | ((p >= c(n)) & (p < c(t) * k)))
     spread = rows.withColumn("_x", F.explode(F.array_distinct(places("x", "_w", "_tw", tiles[0])))).withColumn("_y", F.explode(F.array_distinct(places("y", "_h", "_th", tiles[1]))))
     counted = spread.groupBy(by, F.floor(c("_x") / c("_tw")).alias("_tx"), F.floor(c("_y") / c("_th")).alias("_ty"), "_v").agg(F.count(F.lit(1)).alias("n"), F.first(c("_tw") * c("_th")).alias("_area"))
-    listed = counted.groupBy(by, "_tx", "_ty").agg(F.map_from_entries(F.collect_list(F.struct("_v", "n"))).alias("_n"), F.first("_area").alias("_area"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.coalesce(F.try_element_at("_n", v), F.lit(0).cast("long")))
-    limit = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(float(clip)) * c("_area") / 256).cast("long"))
-    level = _clipped(full, limit) if clip > 0 else full
-    maps = listed.withColumn("_level", level)
-    summed = F.aggregate("_level", F.array().cast("array<long>"), lambda acc, n: F.array_append(acc, n + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long"))))
-    maps = maps.select(by, c("_tx").alias("_kx"), c("_ty").alias("_ky"), F.posexplode(F.transform(summed, lambda n: F.least(F.lit(255.0), F.rint(n * 255.0 / c("_area"))))).alias("_v", "_to"))
+    listed = counted.where(c("_v").between(0, 255)).groupBy(by, "_tx", "_ty").agg(F.collect_list(F.struct(c("_v").alias("v"), "n")).alias("_n"), F.first("_area").alias("_area"))
+    maps = listed.select(by, c("_tx").alias("_kx"), c("_ty").alias("_ky"), _levels(clip)("_n", "_area").alias("_to"))
     # a pixel's four tiles and their shares
     at = lambda d, t: c(d) / c(t) - 0.5
     ends = lambda d, t, k: F.array(
@@ -142,7 +149,8 @@ def equalised(pixels: DataFrame, by: str, grey: str = "grey", clip: float = 2.0,
     )
     four = rows.withColumn("_i", F.explode(ends("x", "_tw", tiles[0]))).withColumn("_j", F.explode(ends("y", "_th", tiles[1])))
     asked = four.select(by, "x", "y", "_v", c("_i.k").alias("_kx"), c("_j.k").alias("_ky"), (c("_i.s") * c("_j.s")).alias("_s"))
-    found = asked.join(maps, [by, "_kx", "_ky", "_v"]).groupBy(by, "x", "y").agg(F.sum(c("_to") * c("_s")).alias("_sum"))
+    met = asked.where(c("_v").between(0, 255)).join(maps.hint("merge"), [by, "_kx", "_ky"])
+    found = met.select(by, "x", "y", (F.element_at("_to", c("_v") + 1) * c("_s")).alias("_part")).groupBy(by, "x", "y").agg(F.sum("_part").alias("_sum"))
     return found.select(by, "x", "y", F.least(F.lit(255), F.rint(F.round("_sum", 6)).cast("int")).alias(grey))
 
 

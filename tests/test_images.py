@@ -1,5 +1,7 @@
 """Outlines over tile borders and at image borders; filters over tiles against the same filter over whole images."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +58,28 @@ def test_halo_wider_than_the_image(spark):
     rows = spark.createDataFrame([(1, x, 0, 0.5, 0.5, 0.5) for x in range(3)], "image long, x long, y long, r double, g double, b double")
     out = filters.flat_field(rows, "image").collect()
     assert [round(r.r, 4) for r in out] == [1.0] * 3
+
+
+def test_equalised_by_many_tiles_as_by_plain_loops(spark):
+    """An image of 64 by 64 tiles of four pixels: each tile is one row of work, not one of 256 times 256 steps."""
+    rng, n = np.random.default_rng(5), 128
+    grey = rng.integers(0, 256, (n, n))
+    rows = spark.createDataFrame([(1, x, y, int(grey[y, x])) for y in range(n) for x in range(n)], "image long, x long, y long, grey int")
+    start = time.monotonic()
+    found = {(r.x, r.y): r.grey for r in filters.equalised(rows, "image").collect()}
+    assert time.monotonic() - start < 120
+    maps = {}
+    for ty in range(64):
+        for tx in range(64):
+            bins = np.bincount(grey[2 * ty : 2 * ty + 2, 2 * tx : 2 * tx + 2].ravel(), minlength=256)
+            over, bins = int(np.maximum(bins - 1, 0).sum()), np.minimum(bins, 1)
+            for k in range(over):
+                bins[k * (256 // over)] += 1
+            maps[tx, ty] = np.minimum(255, np.rint(np.cumsum(bins) * 255.0 / 4))
+    for x, y in rng.integers(0, n, (300, 2)).tolist():
+        ax, ay = x / 2 - 0.5, y / 2 - 0.5
+        total = 0.0
+        for kx, sx in ((max(0, int(np.floor(ax))), 1 - ax % 1), (min(63, int(np.floor(ax)) + 1), ax % 1)):
+            for ky, sy in ((max(0, int(np.floor(ay))), 1 - ay % 1), (min(63, int(np.floor(ay)) + 1), ay % 1)):
+                total += maps[kx, ky][grey[y, x]] * sx * sy
+        assert found[x, y] == min(255, int(np.rint(round(total, 6))))
