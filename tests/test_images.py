@@ -83,3 +83,13 @@ def test_equalised_by_many_tiles_as_by_plain_loops(spark):
             for ky, sy in ((max(0, int(np.floor(ay))), 1 - ay % 1), (min(63, int(np.floor(ay)) + 1), ay % 1)):
                 total += maps[kx, ky][grey[y, x]] * sx * sy
         assert found[x, y] == min(255, int(np.rint(round(total, 6))))
+
+
+def test_contour_mask_of_many_tiles(spark):
+    """64 by 64 tiles by default: a flat picture with dark lines keeps the lines, and in bounded time."""
+    n = 70
+    rows = spark.createDataFrame([(1, x, y, v, v, v) for y in range(n) for x in range(n) for v in [20 if x % 23 == 11 else 220 - (x + y) % 9]], "image long, x long, y long, r int, g int, b int")
+    start = time.monotonic()
+    found = {(r.x, r.y): r.set for r in filters.contour_mask(rows, "image").collect()}
+    assert time.monotonic() - start < 120 and len(found) == n * n
+    assert all(found[x, y] for x in (11, 34, 57) for y in range(n)) and 0 < sum(found.values()) < n * n
