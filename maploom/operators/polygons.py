@@ -60,20 +60,33 @@ def kernel(kind: T.DataType):
     return lambda run: F.arrow_udf(run, kind).asNondeterministic()
 
 
-def _both(operation):
+def _combined(one: pa.Array, two: pa.Array, inside) -> list[list[overlay.Polygon] | None]:
+    """overlay.combined of each two, a batch at a time; null where either is."""
+    pairs = [None if a is None or b is None else (a, b) for a, b in zip(decoded(one), decoded(two), strict=True)]
+    known = [p for p in pairs if p is not None]
+    found = iter(overlay.combined_each([a for a, _ in known], [b for _, b in known], inside))
+    return [None if p is None else next(found) for p in pairs]
+
+
+def _both(inside):
     @kernel(POLYGONS)
     def run(one: pa.Array, two: pa.Array) -> pa.Array:
-        return encoded([None if a is None or b is None else operation(a, b) for a, b in zip(decoded(one), decoded(two), strict=True)])
+        return encoded(_combined(one, two, inside))
 
     return run
 
 
-_intersection, _difference, _union = _both(overlay.intersection), _both(overlay.difference), _both(overlay.union)
+_intersection, _difference, _union = _both(np.logical_and), _both(lambda a, b: a & ~b), _both(np.logical_or)
+
+
+def _repaired_each(geometries: list[list[overlay.Polygon] | None]) -> list[list[overlay.Polygon] | None]:
+    found = iter(overlay.repaired_each([g for g in geometries if g is not None]))
+    return [None if g is None else next(found) for g in geometries]
 
 
 @kernel(POLYGONS)
 def _repaired(polygons: pa.Array) -> pa.Array:
-    return encoded([None if g is None else overlay.repaired(g) for g in decoded(polygons)])
+    return encoded(_repaired_each(decoded(polygons)))
 
 
 def _mended(rows: DataFrame, column: str) -> DataFrame:
@@ -82,7 +95,11 @@ def _mended(rows: DataFrame, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fixed = encoded([g if g is None or overlay.is_valid(g) else overlay.repaired(g) for g in decoded(batch.column(at))])
+            own = decoded(batch.column(at))
+            broken = iter(~overlay.is_valid_each([g for g in own if g is not None]))
+            wrong = [g is not None and bool(next(broken)) for g in own]
+            mended = iter(overlay.repaired_each([g for g, w in zip(own, wrong, strict=True) if w]))
+            fixed = encoded([next(mended) if w else g for g, w in zip(own, wrong, strict=True)])
             yield pa.RecordBatch.from_arrays([fixed if k == at else batch.column(k) for k in range(batch.num_columns)], names=batch.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
@@ -90,12 +107,16 @@ def _mended(rows: DataFrame, column: str) -> DataFrame:
 
 @kernel(T.BooleanType())
 def _valid(polygons: pa.Array) -> pa.Array:
-    return pa.array([None if g is None else overlay.is_valid(g) for g in decoded(polygons)], pa.bool_())
+    own = decoded(polygons)
+    valid = iter(overlay.is_valid_each([g for g in own if g is not None]).tolist())
+    return pa.array([None if g is None else next(valid) for g in own], pa.bool_())
 
 
 @kernel(T.DoubleType())
 def _common_area(one: pa.Array, two: pa.Array) -> pa.Array:
-    return pa.array([None if a is None or b is None else overlay.area(overlay.intersection(a, b)) for a, b in zip(decoded(one), decoded(two), strict=True)], pa.float64())
+    both = _combined(one, two, np.logical_and)
+    areas = overlay.area_each([g or [] for g in both])
+    return pa.array(areas, mask=np.array([g is None for g in both], bool))
 
 
 def polygon(ring: Column, holes: Column | None = None) -> Column:
@@ -138,9 +159,10 @@ def area(polygons: Column) -> Column:
 
 def overlap_ratio(one: Column, two: Column) -> Column:
     """Intersection over union; 0 where neither has an area."""
-    both = common_area(one, two)
-    whole = area(one) + area(two) - both
-    return F.when(whole > 0, both / whole).otherwise(0.0)
+    # by way of a struct, so that the kernel runs once and not wherever its result is named
+    areas = F.struct(common_area(one, two).alias("both"), (area(one) + area(two)).alias("sum"))
+    ratio = lambda e: F.when(e["sum"] > e["both"], e["both"] / (e["sum"] - e["both"])).otherwise(0.0)
+    return F.transform(F.array(areas), ratio)[0]
 
 
 def box(polygons: Column) -> Column:
@@ -157,9 +179,10 @@ def with_cells(rows: DataFrame, around: str, side: float) -> DataFrame:
 def pairs_that_meet(one: DataFrame, two: DataFrame, by: list[str], side: float) -> DataFrame:
     """Rows of one and two (their boxes in columns box1 and box2; other names apart but by) whose boxes meet, once each.
 
-    Both are dealt to the cells of a grid; a pair counts in the first cell that both boxes touch.
+    Both are dealt to the cells of a grid; a pair counts in the first cell that both boxes touch. They are merged: what a
+    plan takes for small before it is dealt would be gathered on the driver.
     """
-    met = with_cells(one, "box1", side).join(with_cells(two, "box2", side), [*by, "gx", "gy"])
+    met = with_cells(one, "box1", side).join(with_cells(two, "box2", side).hint("merge"), [*by, "gx", "gy"])
     first = lambda d: F.col(f"g{d}") == F.floor(F.greatest(f"box1.min_{d}", f"box2.min_{d}") / side)
     meet = [F.col(f"box1.min_{d}") <= F.col(f"box2.max_{d}") for d in "xy"] + [F.col(f"box2.min_{d}") <= F.col(f"box1.max_{d}") for d in "xy"]
     return met.where(first("x") & first("y") & meet[0] & meet[1] & meet[2] & meet[3]).drop("gx", "gy")
@@ -177,7 +200,7 @@ def cut_results(features: DataFrame, cuts: DataFrame, by: str, key: str, at: Col
     drawn = cuts.where(F.size("polygons") > 0).select(by, c("polygons").alias("cut"), box(c("polygons")).alias("box2"))
     # a place is in the union of cuts where the windings of their rings add up to something
     touched = pairs_that_meet(own, drawn, [by], side).groupBy(by, key).agg(F.flatten(F.collect_list("cut")).alias("cut"))
-    rows = features.join(touched, [by, key]).withColumn("left", difference(c("polygons"), c("cut")))
+    rows = features.join(touched.hint("merge"), [by, key]).withColumn("left", difference(c("polygons"), c("cut")))
     less = area(c("left")) < area(c("polygons")) * (1 - 1e-12)
     action = F.when(F.size("left") == 0, "deleted").otherwise("updated")
     changed = rows.where(less).withColumn("action", action).withColumn("polygons", c("left")).drop("left", "cut")
@@ -194,7 +217,10 @@ def tiled(rows: DataFrame, side: float) -> DataFrame:
 
 @kernel(POLYGONS)
 def _dissolved(lists: pa.Array) -> pa.Array:
-    return encoded([None if g is None else overlay.union(g, []) for g in decoded(lists)])
+    own = decoded(lists)
+    known = [g for g in own if g is not None]
+    found = iter(overlay.combined_each(known, [[]] * len(known), np.logical_or))
+    return encoded([None if g is None else next(found) for g in own])
 
 
 def dissolved(polygons: Column) -> Column:
@@ -212,7 +238,7 @@ def clipped_to_land(shapes: DataFrame, land: DataFrame, key: str, least: float =
     c = F.col
     valid = shapes.select(key, repaired(c("polygons")).alias("own")).where(F.size("own") > 0)
     dealt = with_cells(valid.withColumn("box1", box(c("own"))), "box1", side).drop("box1")
-    met = dealt.join(tiled(land.select("polygons"), side).withColumnRenamed("polygons", "land"), ["gx", "gy"])
+    met = dealt.join(tiled(land.select("polygons"), side).withColumnRenamed("polygons", "land").hint("merge"), ["gx", "gy"])
     pieces = met.withColumn("piece", intersection(c("own"), c("land"))).where(F.size("piece") > 0)
     whole = pieces.groupBy(key).agg(F.flatten(F.collect_list("piece")).alias("polygons"), F.first(area(c("own"))).alias("size"))
     found = whole.withColumn("polygons", dissolved(c("polygons"))).withColumn("land_share", area(c("polygons")) / c("size"))
@@ -239,7 +265,7 @@ def snapped(shapes: DataFrame, segments: DataFrame, tolerance: float | str, key:
     to = lambda part, ring, n, q: F.coalesce(F.try_element_at("to", F.struct(part.alias("part"), ring.alias("ring"), n.alias("n"))), q)
     ring = lambda r, part, number: geometry.closed(F.transform(body(r), lambda q, n: to(part, number, n, q)))
     new = F.transform(c("polygons"), lambda p, k: F.struct(ring(p["shell"], k, F.lit(0)).alias("shell"), F.transform(p["holes"], lambda h, n: ring(h, k, n + 1)).alias("holes")))
-    rows = shapes.join(placed, key, "left").withColumn("new", F.when(c("to").isNotNull(), new).cast(POLYGONS)).withColumn("to", F.size("to"))
+    rows = shapes.join(placed.hint("merge"), key, "left").withColumn("new", F.when(c("to").isNotNull(), new).cast(POLYGONS)).withColumn("to", F.size("to"))
     rows = _mended(rows, "new")
     fits = c("new").isNotNull() & (F.size("new") > 0)
     return rows.withColumns({"polygons": F.when(fits, c("new")).otherwise(c("polygons")), "snapped": F.when(fits, c("to")).otherwise(0)}).drop("to", "new")

@@ -24,3 +24,11 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/maploom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(rows: DataFrame, *cols: str) -> DataFrame:
+    """rows dealt by cols over as many tasks as there are shuffle partitions.
+
+    For kernels in Python that cost far more than reading: a file of narrow rows is one task, however many they are.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)

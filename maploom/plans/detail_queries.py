@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maploom.functions import colour, geometry
 from maploom.operators import colours, shapes, timeline
+from maploom.operators.scratch import dealt
 from maploom.plans.timeline_queries import BOUNDS, PERIODS
 from maploom.plans.views import tables, view
 
@@ -126,7 +127,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, w, h = ((k - k % 4) * 37 % 900 + k % 4).cast("double"), ((k - k % 4) * 53 % 700).cast("double"), (F.col("p_size") + 20).cast("double"), (40 + k % 4).cast("double")
     corner = lambda a, b: geometry.point(a, b)
     ring = F.array(corner(x, y), corner(x + w, y), corner(x + w, y + h), corner(x, y + h), corner(x, y))
-    return _t(spark, sf_dir, "part").select("p_partkey", ((k - k % 4) / 4 % 20).cast("int").alias("image"), ring.alias("ring"))
+    return dealt(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", ((k - k % 4) / 4 % 20).cast("int").alias("image"), ring.alias("ring"))
 
 
 def area_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Boolean operations of polygons against points, areas and each other."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -107,3 +109,19 @@ def _away(p, r):
     size = (d * d).sum(axis=1)
     t = np.clip(((p - a) * d).sum(axis=1) / np.where(size == 0, 1, size), 0, 1)
     return float(np.hypot(*(a + t[:, None] * d - p).T).min())
+
+
+def test_many_at_once_are_as_one_by_one():
+    """Items share calls, not grids: the results are those of each alone, in bounded time."""
+    rng = np.random.default_rng(7)
+    ones = [poly(rng.integers(0, 12, (rng.integers(3, 9), 2)).astype(float), *([box(2, 2, 3, 3)] if k % 3 else [])) if k % 7 else [] for k in range(60)]
+    twos = [poly(rng.integers(0, 12, (rng.integers(3, 9), 2)) * 10.0 ** (k % 4)) if k % 11 else [] for k in range(60)]
+    flat = lambda g: [[r.tolist() for r in (s, *h)] for s, h in g]
+    for inside, alone in ((np.logical_and, overlay.intersection), (np.logical_or, overlay.union)):
+        found = overlay.combined_each(ones, twos, inside)
+        assert [sorted(flat(g)) for g in found] == [sorted(flat(alone(a, b))) for a, b in zip(ones, twos, strict=True)]
+        assert overlay.area_each(found) == pytest.approx([overlay.area(g) for g in found])
+    assert overlay.is_valid_each(ones).tolist() == [overlay.is_valid(g) for g in ones]
+    start = time.monotonic()
+    many = overlay.combined_each([poly(L + k) for k in range(20_000)], [poly(box(k + 2, k + 2, 20, 20)) for k in range(20_000)], np.logical_and)
+    assert set(overlay.area_each(many).tolist()) == {28.0} and time.monotonic() - start < 15
