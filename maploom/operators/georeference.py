@@ -61,7 +61,7 @@ def snap_to_lines(points: DataFrame, segments: DataFrame, tolerance: float | str
     """points (key, x, y) with the nearest place on segments (sid, x1, y1, x2, y2) at most tolerance away, else as they are.
 
     Both sides are dealt to square cells of the tolerance: a segment to all cells its box touches or borders on,
-    so that only neighbours meet. tolerance may name a column of points, up to 65,536: then cells are powers of two, and
+    so that only neighbours meet; they are merged, as a long segment is many rows. tolerance may name a column of points, up to 65,536: then cells are powers of two, and
     segments are dealt to each size. Returns key, x, y, moved.
     """
     c = F.col
@@ -77,14 +77,14 @@ def snap_to_lines(points: DataFrame, segments: DataFrame, tolerance: float | str
     cell = lambda v: F.floor(v / side).cast("long")
     span = lambda p, q: F.sequence(cell(F.least(p, q)) - 1, cell(F.greatest(p, q)) + 1)
     spread = segments.select("*", F.explode(span(c("x1"), c("x2"))).alias("cx")).select("*", F.explode(span(c("y1"), c("y2"))).alias("cy"))
-    met = points.select(key, "x", "y", "reach", "level", cell(c("x")).alias("cx"), cell(c("y")).alias("cy")).join(spread, ["level", "cx", "cy"])
+    met = points.select(key, "x", "y", "reach", "level", cell(c("x")).alias("cx"), cell(c("y")).alias("cy")).join(spread.hint("merge"), ["level", "cx", "cy"])
     dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
     size = dx * dx + dy * dy
     along = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c("x") - c("x1")) * dx + (c("y") - c("y1")) * dy) / size)))
     placed = met.withColumn("t", along).select(key, "x", "y", "reach", "sid", (c("x1") + c("t") * dx).alias("nx"), (c("y1") + c("t") * dy).alias("ny"))
     away = placed.withColumn("d2", (c("nx") - c("x")) * (c("nx") - c("x")) + (c("ny") - c("y")) * (c("ny") - c("y"))).where(c("d2") <= c("reach") * c("reach"))
     best = away.groupBy(key).agg(F.min(F.struct("d2", "sid", "nx", "ny")).alias("best"))
-    return points.select(key, "x", "y").join(best, key, "left").select(key, F.coalesce("best.nx", "x").alias("x"), F.coalesce("best.ny", "y").alias("y"), c("best").isNotNull().alias("moved"))
+    return points.select(key, "x", "y").join(best.hint("merge"), key, "left").select(key, F.coalesce("best.nx", "x").alias("x"), F.coalesce("best.ny", "y").alias("y"), c("best").isNotNull().alias("moved"))
 
 
 def spaced_keypoints(points: DataFrame, by: str, apart: float = 10.0, most: int = 10) -> DataFrame:
@@ -162,7 +162,7 @@ def snapped_rings(shapes: DataFrame, segments: DataFrame, tolerance: float, key:
     placed = moved.groupBy(c("corner.k").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("corner.n", geometry.point(c("x"), c("y"))))).alias("to"))
     at = lambda n, p: F.coalesce(F.try_element_at("to", n), p)
     new = geometry.closed(F.transform(F.slice("ring", 1, F.size("ring") - 1), lambda p, n: at(n, p)))
-    rows = shapes.join(placed, key, "left").withColumn("new", F.when(c("to").isNotNull(), new)).withColumn("fits", _simple(c("new")))
+    rows = shapes.join(placed.hint("merge"), key, "left").withColumn("new", F.when(c("to").isNotNull(), new)).withColumn("fits", _simple(c("new")))
     return rows.withColumns({"ring": F.when(c("fits"), c("new")).otherwise(c("ring")), "snapped": F.when(c("fits"), F.size("to")).otherwise(0)}).drop("to", "new", "fits")
 
 
@@ -181,7 +181,7 @@ def georeferenced(features: DataFrame, pairs: DataFrame, by: str, key: str, segm
     c = F.col
     fits = affine_fit(pairs, by).select(by, *"abcdef", "rmse")
     to = lambda p: geometry.point(c("a") * p["x"] + c("b") * p["y"] + c("c"), c("d") * p["x"] + c("e") * p["y"] + c("f"))
-    rows = features.join(fits, by).withColumn("ring", F.transform(geometry.closed(c("ring")), to)).drop(*"abcdef")
+    rows = features.join(fits.hint("merge"), by).withColumn("ring", F.transform(geometry.closed(c("ring")), to)).drop(*"abcdef")
     rows = rows.withColumn("snapped", F.lit(0)) if segments is None else snapped_rings(rows, segments, tolerance, key)
     says = {"is_pixel_space": F.lit(False), "is_georeferenced": F.lit(True), "crs": F.lit("EPSG:4326"), "transform_method": F.lit("affine"), "rmse_meters": F.round(F.coalesce("rmse", F.lit(0.0)), 2)}
     return rows.withColumns({"ring": F.transform("ring", lambda p: geometry.lon_lat(p["x"], p["y"])), **says}).drop("rmse")
@@ -204,9 +204,9 @@ def georeferenced_polygons(
     fits = fits.join(around, by).withColumn("reach", reach).drop("min_x", "min_y", "max_x", "max_y")
     mapped = lambda to: F.transform("polygons", lambda p: F.struct(F.transform(p["shell"], to).alias("shell"), F.transform(p["holes"], lambda r: F.transform(r, to)).alias("holes")))
     to = lambda p: geometry.point(c("a") * p["x"] + c("b") * p["y"] + c("c"), c("d") * p["x"] + c("e") * p["y"] + c("f"))
-    rows = features.join(fits, by).withColumn("polygons", mapped(to)).drop(*"abcdef")
+    rows = features.join(fits.hint("merge"), by).withColumn("polygons", mapped(to)).drop(*"abcdef")
     rows = rows.withColumn("snapped", F.lit(0)) if segments is None else polygons.snapped(rows, segments, "reach", key)
     if land is not None:
-        rows = rows.drop("polygons").join(polygons.clipped_to_land(rows.select(key, "polygons"), land, key, least, side).drop("land_share"), key)
+        rows = rows.drop("polygons").join(polygons.clipped_to_land(rows.select(key, "polygons"), land, key, least, side).drop("land_share").hint("merge"), key)
     says = {"is_pixel_space": F.lit(False), "is_georeferenced": F.lit(True), "crs": F.lit("EPSG:4326"), "transform_method": F.lit("affine"), "rmse_meters": F.round(F.coalesce("rmse", F.lit(0.0)), 2)}
     return rows.withColumns({"polygons": mapped(lambda p: geometry.lon_lat(p["x"], p["y"])), **says}).drop("rmse", "reach")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maploom.functions import geometry, kernels
+from maploom.functions import geometry, kernels, overlay
 from maploom.operators import polygons
 from maploom.operators.scratch import written
 
@@ -38,26 +38,42 @@ MEASURES = T.StructType(
 )
 
 
-def _measures_of(ring: np.ndarray) -> dict:
-    points = lambda r: [{"x": x, "y": y} for x, y in r.tolist()]
-    hull, corners = kernels.hull(ring), kernels.least_rectangle_corners(ring)
-    x, y, r = kernels.least_circle(ring)
-    length = float(np.linalg.norm(np.roll(ring, -1, axis=0) - ring, axis=1).sum())
-    low, high = ring.min(axis=0), ring.max(axis=0)
-    d, e = ring - low, np.roll(ring - low, -1, axis=0)
-    cross = d[:, 0] * e[:, 1] - e[:, 0] * d[:, 1]
-    middle = low + (((d + e) * cross[:, None]).sum(axis=0) / (3 * cross.sum()) if cross.sum() else (high - low) / 2)
-    return {
-        "area": abs(float(cross.sum())) / 2, "perimeter": length, "min_x": low[0], "min_y": low[1], "max_x": high[0], "max_y": high[1], "x": middle[0], "y": middle[1],
-        "hull_area": abs(kernels.area(hull)) if len(hull) > 2 else 0.0, "rect_area": abs(kernels.area(corners)) if len(corners) else 0.0, "rect": points(corners),
-        "circle": {"x": x, "y": y, "r": r}, "outline": points(kernels.simplified_ring(ring, APPROXIMATION * length)),
-    }
+def _listed(rings: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([np.zeros((0, 2)), *rings])
+    points = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], fields=list(_POINT))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rings)]), pa.int32()), points)
+
+
+def _measured(rings: list[np.ndarray]) -> pa.StructArray:
+    """The measures of rings of a point or more; sums over sides for all rings at once."""
+    sizes = np.array([len(r) for r in rings], np.int64)
+    first, after = overlay.round_trips(sizes)
+    flat = np.concatenate(rings)
+    low, high = np.minimum.reduceat(flat, first), np.maximum.reduceat(flat, first)
+    d = flat - np.repeat(low, sizes, axis=0)
+    cross = d[:, 0] * d[after, 1] - d[after, 0] * d[:, 1]
+    total, moments = np.add.reduceat(cross, first), np.add.reduceat((d + d[after]) * cross[:, None], first)
+    length = np.add.reduceat(np.sqrt(((flat[after] - flat) ** 2).sum(axis=1)), first)
+    flatten = total == 0
+    middle = low + np.where(flatten[:, None], (high - low) / 2, moments / np.where(flatten, 1, 3 * total)[:, None])
+    hulls = [kernels.hull(r) for r in rings]
+    corners, circles = [kernels.rectangle_around(h) for h in hulls], np.array([kernels.circle_around(h) for h in hulls])
+    outlines = [kernels.simplified_ring(r, APPROXIMATION * t) for r, t in zip(rings, length.tolist(), strict=True)]
+    around = lambda shapes: overlay.area_each([[(r, [])] for r in shapes])
+    numbers = [np.abs(total) / 2, length, low[:, 0], low[:, 1], high[:, 0], high[:, 1], middle[:, 0], middle[:, 1], around(hulls), around(corners)]
+    circle = pa.StructArray.from_arrays([pa.array(circles[:, k]) for k in range(3)], fields=list(_MEASURES.field("circle").type))
+    return pa.StructArray.from_arrays([*map(pa.array, numbers), _listed(corners), circle, _listed(outlines)], fields=list(_MEASURES))
 
 
 @polygons.kernel(MEASURES)
 def _measures(rings: pa.Array) -> pa.Array:
     rings = rings.combine_chunks() if isinstance(rings, pa.ChunkedArray) else rings
-    return pa.array([_measures_of(r) if len(r) else None for r in polygons.rings_of(rings)], _MEASURES)
+    own = polygons.rings_of(rings)
+    some = [r for r in own if len(r)]
+    if not some:
+        return pa.nulls(len(own), _MEASURES)
+    place = np.cumsum([len(r) > 0 for r in own]) - 1
+    return _measured(some).take(pa.array(place, mask=np.array([not len(r) for r in own])))
 
 
 def measures(ring: Column) -> Column:
@@ -88,19 +104,19 @@ def classified(shapes: DataFrame, circles: DataFrame, by: str, key: str, near: f
     """Described shapes (by, key, area, perimeter, center, rect_score) with shape_type.
 
     A circle is rounder than 0.85 and has a given circle (by, x, y) less than near pixels from its centre in both
-    directions; a rectangle fills more than 0.85 of the least rectangle around it; all else is unknown. Centres and
-    circles meet over cells of that size. key is unique within by.
+    directions; a rectangle fills more than 0.85 of the least rectangle around it; all else is unknown. Centres meet
+    the circles of their cell and those around it, cells of that size, in one join: shapes are measured once.
     """
     c = F.col
     cell = lambda v: F.floor(v / near).cast("long")
     around = lambda v: F.explode(F.sequence(cell(v) - 1, cell(v) + 1))
     spots = circles.select(by, c("x").alias("hx"), c("y").alias("hy")).withColumn("gx", around(c("hx"))).withColumn("gy", around(c("hy")))
-    centres = shapes.select(by, key, c("center.x").alias("cx"), c("center.y").alias("cy"))
-    met = centres.withColumns({"gx": cell(c("cx")), "gy": cell(c("cy"))}).join(spots, [by, "gx", "gy"])
-    confirmed = met.where((F.abs(c("hx") - c("cx")) < near) & (F.abs(c("hy") - c("cy")) < near)).select(by, key).distinct().withColumn("confirmed", F.lit(True))
+    listed = spots.groupBy(by, "gx", "gy").agg(F.collect_set(F.struct("hx", "hy")).alias("_spots"))
+    close = lambda s: (F.abs(s["hx"] - c("center.x")) < near) & (F.abs(s["hy"] - c("center.y")) < near)
     round_ = F.when(c("perimeter") > 0, 4 * F.pi() * c("area") / (c("perimeter") * c("perimeter"))).otherwise(0.0)
-    kind = F.when((round_ > 0.85) & F.coalesce("confirmed", F.lit(False)), "Circle").when(c("rect_score") > 0.85, "Rectangle").otherwise("Shape unknown")
-    return shapes.join(confirmed, [by, key], "left").withColumn("shape_type", kind).drop("confirmed")
+    kind = F.when((round_ > 0.85) & F.coalesce(F.exists("_spots", close), F.lit(False)), "Circle").when(c("rect_score") > 0.85, "Rectangle").otherwise("Shape unknown")
+    placed = shapes.withColumns({"gx": cell(c("center.x")), "gy": cell(c("center.y"))})
+    return placed.join(listed.hint("merge"), [by, "gx", "gy"], "left").withColumn("shape_type", kind).drop("_spots", "gx", "gy")
 
 
 def idealised(kind: Column, measured: Column) -> Column:
@@ -178,7 +194,8 @@ def deduplicated(shapes: DataFrame, by: str, key: str, ring: str = "ring", simil
     goes by rounds, in which a shape none of whose larger likes is still open is decided, and no group is gathered.
     """
     c = F.col
-    rows = shapes.select(by, key, F.col(ring).alias("ring"), F.abs(geometry.signed_area(F.col(ring))).alias("area"), geometry.box(F.col(ring)).alias("box"))
+    # read by both sides: what makes the rings runs once
+    rows = written(shapes.select(by, key, F.col(ring).alias("ring"), F.abs(geometry.signed_area(F.col(ring))).alias("area"), geometry.box(F.col(ring)).alias("box")))
     side_of = lambda n: rows.select(by, *(c(x).alias(f"{x}{n}") for x in (key, "ring", "area", "box")))
     larger = (c("area1") > c("area2")) | ((c("area1") == c("area2")) & (c(f"{key}1") < c(f"{key}2")))
     met = polygons.pairs_that_meet(side_of(1), side_of(2), [by], side).where(larger & (c("area2") / c("area1") >= similar) & (geometry.overlap(c("box1"), c("box2")) >= overlap * c("area2")))
@@ -187,7 +204,7 @@ def deduplicated(shapes: DataFrame, by: str, key: str, ring: str = "ring", simil
     many = likes.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(c("n") > most).select(by)
     gone = _folded(likes.join(many, by, "left_anti"), by, key)
     by_rounds = _in_rounds(likes.join(many, by, "left_semi"), by, key)
-    return shapes.join(gone if by_rounds is None else gone.unionByName(by_rounds), [by, key], "left_anti")
+    return shapes.join((gone if by_rounds is None else gone.unionByName(by_rounds)).hint("merge"), [by, key], "left_anti")
 
 
 def _folded(likes: DataFrame, by: str, key: str) -> DataFrame:

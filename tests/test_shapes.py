@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maploom.functions import kernels, overlay
-from maploom.operators import shapes
+from maploom.operators import georeference, polygons, shapes
 
 SCHEMA = "image long, k long, ring array<struct<x: double, y: double>>"
 
@@ -77,3 +77,27 @@ def test_filters_equal_plain_loops(spark):
     assert got == want and 0 < len(got) < 100
     one, other = (shapes.deduplicated(df, "image", "k", overlap=0.3, most=most) for most in (0, 10**6))
     assert {r.k for r in one.collect()} == {r.k for r in other.collect()}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shapes_are_measured_once_and_nothing_of_them_is_broadcast(spark):
+    rows = spark.createDataFrame([(1, k, closed([(k, 0), (k + 20, 0), (k + 20, 9), (k, 9)])) for k in range(0, 90, 30)], SCHEMA)
+    circles = spark.createDataFrame([(1, 10.0, 4.0)], "image long, x double, y double")
+    plan = _plan(shapes.classified(shapes.described(rows), circles, "image", "k"))
+    assert plan.count("ArrowEvalPython") == 1 and "Broadcast" not in plan
+    moved = rows.withColumn("polygons", polygons.polygon(F.col("ring"))).select("image", "k", "polygons")
+    cuts = moved.select("image", "polygons")
+    assert "Broadcast" not in _plan(polygons.cut_results(moved, cuts, "image", "k"))
+    assert "Broadcast" not in _plan(polygons.clipped_to_land(moved.select("k", "polygons"), cuts, "k"))
+    ratio = polygons.overlap_ratio(F.col("polygons"), F.col("polygons"))
+    assert _plan(moved.select("k", ratio.alias("iou"))).count("ArrowEvalPython") == 1
+
+
+def test_points_and_segments_are_not_broadcast(spark):
+    points = spark.createDataFrame([(1, 0.0, 1.0)], "k long, x double, y double")
+    coast = spark.createDataFrame([(1, -20.0, 0.0, 20.0, 0.0)], "sid long, x1 double, y1 double, x2 double, y2 double")
+    found = georeference.snap_to_lines(points, coast, 2.0, "k")
+    assert "Broadcast" not in _plan(found) and tuple(found.first()) == (1, 0.0, 0.0, True)
