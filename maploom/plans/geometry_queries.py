@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maploom.functions import geometry
 from maploom.operators import georeference, polygons
+from maploom.operators.scratch import dealt
 from maploom.plans.views import tables, view
 
 
@@ -160,7 +161,7 @@ def land_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of the parts on land that is cut into boxes."""
     p, k = tables(spark, sf_dir, ["part"])["part"], F.col("s_suppkey")
     box = lambda x, y, w, h: F.array(geometry.point(x, y), geometry.point(x + w, y), geometry.point(x + w, y + h), geometry.point(x, y + h), geometry.point(x, y))
-    boxes = p.select("p_partkey", box(F.col("p_partkey") % 900, F.col("p_partkey") % 700, F.col("p_size") + 3, F.col("p_partkey") % 37 + 2).alias("ring"))
+    boxes = dealt(p.select("p_partkey", "p_size"), "p_partkey").select("p_partkey", box(F.col("p_partkey") % 900, F.col("p_partkey") % 700, F.col("p_size") + 3, F.col("p_partkey") % 37 + 2).alias("ring"))
     land = tables(spark, sf_dir, ["supplier"])["supplier"].select(k.alias("part_id"), box(k % 10 * 90, F.floor(k / 10) * 70, F.lit(60), F.lit(50)).alias("ring"))
     as_polygons = lambda rows: rows.withColumn("polygons", polygons.polygon(F.col("ring")))
     return polygons.clipped_to_land(as_polygons(boxes), as_polygons(land), "p_partkey").select("p_partkey", F.size("polygons").alias("parts"), F.round("land_share", 6).alias("land_share"))

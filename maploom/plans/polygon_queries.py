@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maploom.functions import geometry
 from maploom.operators import georeference, polygons, shapes
+from maploom.operators.scratch import dealt
 from maploom.plans.views import tables, view
 
 K = "p_partkey"
@@ -16,7 +17,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place and a size for each part: x, y, w, h."""
     k = F.col(K)
     sizes = {"image": k % 25, "x": (k * 37 % 900).cast("double"), "y": (k * 53 % 700).cast("double"), "w": (F.col("p_size") + 20).cast("double"), "h": (k % 31 + 24).cast("double")}
-    return tables(spark, sf_dir, ["part"])["part"].select(K, *(v.alias(n) for n, v in sizes.items()))
+    return dealt(tables(spark, sf_dir, ["part"])["part"].select(K, "p_size"), K).select(K, *(v.alias(n) for n, v in sizes.items()))
 
 
 def _ring(*corners: tuple[Column, Column]) -> Column:
@@ -89,7 +90,7 @@ def golden_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _forms(_parts(spark, sf_dir))
     moved = _forms(_parts(spark, sf_dir).withColumn("x", F.col("x") + (F.col(K) % 4) * 0.125)).select(K, F.col("polygons").alias("golden"))
     iou = polygons.overlap_ratio(F.col("polygons"), F.col("golden"))
-    return rows.join(moved, K).select(K, F.round(iou, 6).alias("iou"), (iou > 0.9).alias("matched"))
+    return rows.join(moved.hint("merge"), K).select(K, iou.alias("iou")).select(K, F.round("iou", 6).alias("iou"), (F.col("iou") > 0.9).alias("matched"))
 
 
 def concave_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ def concave_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     el = lambda s: _ring((x, y), (x + s, y), (x + s, y + 10), (x + 10, y + 10), (x + 10, y + s), (x, y + s))
     notch = _ring((x + 40, y + 40), (x + 12, y + 40), (x + 12, y + 30), (x + 30, y + 30), (x + 30, y + 12), (x + 40, y + 12))
     ring = F.when(k % 2 == 0, el(F.lit(40.0))).when(F.floor(k / 2) % 3 == 0, el(F.lit(38.0))).otherwise(notch)
-    rows = tables(spark, sf_dir, ["part"])["part"].select(K, (F.floor(k / 2) % 20).alias("image"), geometry.closed(ring).alias("ring"))
+    rows = dealt(tables(spark, sf_dir, ["part"])["part"].select(K), K).select(K, (F.floor(k / 2) % 20).alias("image"), geometry.closed(ring).alias("ring"))
     return shapes.deduplicated(rows, "image", K).select("image", K)
 
 
@@ -133,7 +134,7 @@ def _outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda n: geometry.point(x + 0.5 + w * F.cos(turn(n)), y + 0.5 + w * F.sin(turn(n))))
     turned = _ring((x, y), (x + 4 * a, y + 3 * a), (x + 4 * a - 3 * b, y + 3 * a + 4 * b), (x - 3 * b, y + 4 * b))
     ring = F.when(k % 4 == 0, _box(x, y, w, h)).when(k % 4 == 1, turned).when(k % 4 == 2, many).otherwise(_ring((x, y), (x + w, y), (x, y + h)))
-    return tables(spark, sf_dir, ["part"])["part"].select(K, k.alias("image"), x.alias("x"), y.alias("y"), geometry.closed(ring).alias("ring"))
+    return dealt(tables(spark, sf_dir, ["part"])["part"].select(K, "p_size"), K).select(K, k.alias("image"), x.alias("x"), y.alias("y"), geometry.closed(ring).alias("ring"))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
